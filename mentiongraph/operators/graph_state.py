@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scan import ewma_scan, keyed_running_sum, positions
+from ..session import cut_lineage
 from .cooccurrence import cooccurrence_pairs
 
 NODE_ALPHA = 0.05
@@ -47,7 +48,9 @@ def _bucketed(df: DataFrame, ts: str = "ts", article: str = "article_id") -> Dat
 
 
 def _r6(c):
-    return F.round(c, 6)
+    """Round to 6 places through DECIMAL(38,12), so exact decimal ties (scores are multiples of 0.2)
+    round half-up the same way whatever the last binary digit of the double is."""
+    return F.round(c.cast("decimal(38,12)"), 6).cast("double")
 
 
 @dataclass
@@ -60,17 +63,22 @@ class GraphFold:
     centrality: DataFrame         # entity, article_id, ts, p, degree, node_count, centrality
 
 
-def fold_graph(mentions: DataFrame, order: Sequence[str], window: int = 1) -> GraphFold:
+def fold_graph(mentions: DataFrame, order: Sequence[str], window: int = 1, materialize: bool = True) -> GraphFold:
     """Build every per-step table of the graph fold from a mentions DataFrame.
 
     ``mentions`` needs article_id (numeric), ts, entity, etype, sent_idx, score and the ``order``
     tie-break columns (mention order inside an article).
+
+    With ``materialize`` the step tables are checkpointed into the shared checkpoint folder: each
+    is read by several later joins, so computing it once both saves work and keeps the plans of
+    the outputs small (the un-cut plan repeats the same sub-plans many times over).
     """
+    mat = cut_lineage if materialize else (lambda d: d)
     m = mentions.withColumn("entity", F.trim("entity")).filter(F.col("entity") != "")
     m = _bucketed(m)
     mk = positions(m, ["entity"], ["ts", "article_id", *order], ["_day", "_rng"], "k")
-    mx = ewma_scan(mk.select("entity", "article_id", "ts", "etype", "score", "k"),
-                   ["entity"], "k", [("score", "x")], alpha=NODE_ALPHA)
+    mx = mat(ewma_scan(mk.select("entity", "article_id", "ts", "etype", "score", "k"),
+                       ["entity"], "k", [("score", "x")], alpha=NODE_ALPHA))
 
     ea = mx.groupBy("entity", "article_id").agg(
         F.min("ts").alias("ts"), F.min("k").alias("k_first"), F.max("k").alias("k_last"),
@@ -79,7 +87,7 @@ def fold_graph(mentions: DataFrame, order: Sequence[str], window: int = 1) -> Gr
     prev_x = mx.select("entity", F.col("k").alias("_kprev"), F.col("x").alias("x_old"))
     ea = (ea.withColumn("_kprev", F.col("k_first") - 1)
             .join(prev_x, ["entity", "_kprev"], "left").drop("_kprev"))
-    ea = positions(_bucketed(ea), ["entity"], ["ts", "article_id"], ["_day", "_rng"], "p").drop("_day", "_rng")
+    ea = mat(positions(_bucketed(ea), ["entity"], ["ts", "article_id"], ["_day", "_rng"], "p").drop("_day", "_rng"))
 
     # articles in order, with the number of entities / edges seen for the first time
     arts = m.select("article_id", "ts").distinct()
@@ -94,8 +102,8 @@ def fold_graph(mentions: DataFrame, order: Sequence[str], window: int = 1) -> Gr
     pk = positions(_bucketed(pj), ["entity_1", "entity_2"], ["ts", "article_id"], ["_day", "_rng"], "kk") \
         .drop("_day", "_rng")
     pk = pk.withColumn("_cnt_d", F.col("count").cast("double"))
-    py = ewma_scan(pk, ["entity_1", "entity_2"], "kk", [("_cnt_d", "strength"), ("joint", "joint_sentiment")],
-                   alpha=EDGE_ALPHA).drop("_cnt_d")
+    py = mat(ewma_scan(pk, ["entity_1", "entity_2"], "kk", [("_cnt_d", "strength"), ("joint", "joint_sentiment")],
+                       alpha=EDGE_ALPHA).drop("_cnt_d"))
     new_edges = py.filter(F.col("kk") == 1).groupBy("article_id").agg(F.count(F.lit(1)).alias("_ne"))
 
     tot = (arts.join(new_nodes, "article_id", "left").join(new_edges, "article_id", "left")
@@ -103,8 +111,8 @@ def fold_graph(mentions: DataFrame, order: Sequence[str], window: int = 1) -> Gr
     tot = _bucketed(tot)
     tot = keyed_running_sum(tot, [], ["ts", "article_id"], F.col("_nn"), ["_day", "_rng"], "node_count")
     tot = keyed_running_sum(tot, [], ["ts", "article_id"], F.col("_ne"), ["_day", "_rng"], "edge_count")
-    totals = tot.select("article_id", "ts", F.col("node_count").cast("long").alias("node_count"),
-                        F.col("edge_count").cast("long").alias("edge_count"))
+    totals = mat(tot.select("article_id", "ts", F.col("node_count").cast("long").alias("node_count"),
+                            F.col("edge_count").cast("long").alias("edge_count")))
 
     first_edges = py.filter(F.col("kk") == 1)
     nb_new = (first_edges.select(F.col("entity_1").alias("entity"), "article_id")
@@ -117,6 +125,7 @@ def fold_graph(mentions: DataFrame, order: Sequence[str], window: int = 1) -> Gr
           .withColumn("degree", F.col("degree").cast("long"))
           .withColumn("centrality", F.col("degree").cast("double") /
                       F.greatest(F.lit(1), F.col("node_count") - 1).cast("double")))
+    ce = mat(ce)
     return GraphFold(mention_steps=mx, entity_articles=ea, pairs=pj.select("article_id", "ts", "entity_1", "entity_2", "count"),
                      edge_steps=py, totals=totals, centrality=ce)
 

@@ -33,7 +33,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _fold(spark: SparkSession, sf_dir: str) -> gs.GraphFold:
-    return gs.fold_graph(adapters.mentions(spark, sf_dir), adapters.MENTION_ORDER[1:])
+    return gs.fold_graph(adapters.mentions(spark, sf_dir), adapters.MENTION_ORDER)
 
 
 # --------------------------------------------------------------------------- co-occurrence
@@ -66,20 +66,20 @@ typ AS (SELECT entity, arg_max(etype, k) AS type FROM mk WHERE etype <> '' GROUP
 rate AS (SELECT m.entity, count(*) AS hourly_rate FROM m JOIN last l ON l.entity = m.entity
          WHERE m.ts >= l.last_seen - INTERVAL 1 HOUR GROUP BY m.entity)
 SELECT l.entity AS id, coalesce(t.type, '') AS type, CAST(l.mention_count AS BIGINT) AS mention_count,
-       round(l.sentiment, 6) AS sentiment, round(coalesce(c.centrality, 0.0), 6) AS centrality,
+       CAST(round(CAST(l.sentiment AS DECIMAL(38,12)), 6) AS DOUBLE) AS sentiment, CAST(round(CAST(coalesce(c.centrality, 0.0) AS DECIMAL(38,12)), 6) AS DOUBLE) AS centrality,
        CAST(r.hourly_rate AS DOUBLE) AS hourly_rate, l.first_seen, l.last_seen
 FROM last l LEFT JOIN typ t ON t.entity = l.entity
 LEFT JOIN cent2 c ON c.entity = l.entity AND c.article_id = l.last_article
 LEFT JOIN rate r ON r.entity = l.entity""")
 def q_node_state(spark, sf_dir):
     m = adapters.mentions(spark, sf_dir)
-    return gs.node_state(gs.fold_graph(m, adapters.MENTION_ORDER[1:]), m)
+    return gs.node_state(gs.fold_graph(m, adapters.MENTION_ORDER), m)
 
 
 @register("edge_state", f"""
 WITH {S.GRAPH_CTES}
-SELECT entity_1 AS source, entity_2 AS target, round(arg_max(strength, kk), 6) AS strength,
-       round(arg_max(joint_sentiment, kk), 6) AS joint_sentiment, min(ts) AS first_seen,
+SELECT entity_1 AS source, entity_2 AS target, CAST(round(CAST(arg_max(strength, kk) AS DECIMAL(38,12)), 6) AS DOUBLE) AS strength,
+       CAST(round(CAST(arg_max(joint_sentiment, kk) AS DECIMAL(38,12)), 6) AS DOUBLE) AS joint_sentiment, min(ts) AS first_seen,
        max(ts) AS last_strengthened, CAST(max(kk) AS BIGINT) AS updates
 FROM py GROUP BY entity_1, entity_2""")
 def q_edge_state(spark, sf_dir):
@@ -88,7 +88,7 @@ def q_edge_state(spark, sf_dir):
 
 @register("degree_centrality", f"""
 WITH {S.GRAPH_CTES}
-SELECT entity AS id, CAST(arg_max(degree, p) AS BIGINT) AS degree, round(arg_max(centrality, p), 6) AS centrality
+SELECT entity AS id, CAST(arg_max(degree, p) AS BIGINT) AS degree, CAST(round(CAST(arg_max(centrality, p) AS DECIMAL(38,12)), 6) AS DOUBLE) AS centrality
 FROM cent2 GROUP BY entity""")
 def q_degree_centrality(spark, sf_dir):
     return gs.degree_centrality(_fold(spark, sf_dir))
@@ -103,9 +103,9 @@ ed AS (
   LEFT JOIN cent2 pc ON pc.entity = c.entity AND pc.p = c.p - 1)
 SELECT article_id, ts, entity AS entity_id, k_first - 1 AS old_mentions, k_last AS new_mentions,
        k_last - k_first + 1 AS delta_mentions,
-       round(old_s, 6) AS old_sentiment, round(x_last, 6) AS new_sentiment, round(x_last - old_s, 6) AS delta_sentiment,
-       round(old_c, 6) AS old_centrality, round(centrality, 6) AS new_centrality,
-       round(centrality - old_c, 6) AS delta_centrality
+       CAST(round(CAST(old_s AS DECIMAL(38,12)), 6) AS DOUBLE) AS old_sentiment, CAST(round(CAST(x_last AS DECIMAL(38,12)), 6) AS DOUBLE) AS new_sentiment, CAST(round(CAST(x_last - old_s AS DECIMAL(38,12)), 6) AS DOUBLE) AS delta_sentiment,
+       CAST(round(CAST(old_c AS DECIMAL(38,12)), 6) AS DOUBLE) AS old_centrality, CAST(round(CAST(centrality AS DECIMAL(38,12)), 6) AS DOUBLE) AS new_centrality,
+       CAST(round(CAST(centrality - old_c AS DECIMAL(38,12)), 6) AS DOUBLE) AS delta_centrality
 FROM ed"""
 
 
@@ -117,11 +117,11 @@ def q_entity_deltas(spark, sf_dir):
 EDGE_DELTAS_SQL = f"""
 WITH {S.GRAPH_CTES}
 SELECT a.article_id, a.ts, a.entity_1 AS source, a.entity_2 AS target,
-       round(coalesce(b.strength, 0.0), 6) AS old_strength, round(a.strength, 6) AS new_strength,
-       round(a.strength - coalesce(b.strength, 0.0), 6) AS delta_strength,
-       round(coalesce(b.joint_sentiment, 0.0), 6) AS old_joint_sentiment,
-       round(a.joint_sentiment, 6) AS new_joint_sentiment,
-       round(a.joint_sentiment - coalesce(b.joint_sentiment, 0.0), 6) AS delta_joint_sentiment
+       CAST(round(CAST(coalesce(b.strength, 0.0) AS DECIMAL(38,12)), 6) AS DOUBLE) AS old_strength, CAST(round(CAST(a.strength AS DECIMAL(38,12)), 6) AS DOUBLE) AS new_strength,
+       CAST(round(CAST(a.strength - coalesce(b.strength, 0.0) AS DECIMAL(38,12)), 6) AS DOUBLE) AS delta_strength,
+       CAST(round(CAST(coalesce(b.joint_sentiment, 0.0) AS DECIMAL(38,12)), 6) AS DOUBLE) AS old_joint_sentiment,
+       CAST(round(CAST(a.joint_sentiment AS DECIMAL(38,12)), 6) AS DOUBLE) AS new_joint_sentiment,
+       CAST(round(CAST(a.joint_sentiment - coalesce(b.joint_sentiment, 0.0) AS DECIMAL(38,12)), 6) AS DOUBLE) AS delta_joint_sentiment
 FROM py a LEFT JOIN py b ON b.entity_1 = a.entity_1 AND b.entity_2 = a.entity_2 AND b.kk = a.kk - 1
 WHERE abs(round(a.strength - coalesce(b.strength, 0.0), 9)) >= 0.0001
    OR abs(round(a.joint_sentiment - coalesce(b.joint_sentiment, 0.0), 9)) >= 0.01"""

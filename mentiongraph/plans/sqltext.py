@@ -103,3 +103,8 @@ cent AS (
 cent2 AS (
   SELECT *, CAST(degree AS DOUBLE) / greatest(1, node_count - 1) AS centrality FROM cent
 )"""
+
+
+def r6(expr: str) -> str:
+    """SQL for rounding to 6 places through DECIMAL(38,12) (same rule as the Spark side)."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(38,12)), 6) AS DOUBLE)"

@@ -33,6 +33,10 @@ def get_session(master: str | None = None, app: str = "mentiongraph", shuffle_pa
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = os.environ.get("MENTIONGRAPH_DRIVER_MEMORY", "12g")
+        conf["spark.ui.enabled"] = "false"
+        conf["spark.ui.showConsoleProgress"] = "false"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
