@@ -59,7 +59,7 @@ class GraphFold:
     entity_articles: DataFrame    # entity, article_id, ts, k_first, k_last, x_last, x_old, etype_last, p
     pairs: DataFrame              # article_id, ts, entity_1, entity_2, count
     edge_steps: DataFrame         # article_id, ts, entity_1, entity_2, count, kk, joint, strength, joint_sentiment
-    totals: DataFrame             # article_id, ts, node_count, edge_count
+    totals: DataFrame             # article_id, ts, node_count, edge_count, event_id (article order)
     centrality: DataFrame         # entity, article_id, ts, p, degree, node_count, centrality
 
 
@@ -111,8 +111,10 @@ def fold_graph(mentions: DataFrame, order: Sequence[str], window: int = 1, mater
     tot = _bucketed(tot)
     tot = keyed_running_sum(tot, [], ["ts", "article_id"], F.col("_nn"), ["_day", "_rng"], "node_count")
     tot = keyed_running_sum(tot, [], ["ts", "article_id"], F.col("_ne"), ["_day", "_rng"], "edge_count")
+    tot = keyed_running_sum(tot, [], ["ts", "article_id"], F.lit(1), ["_day", "_rng"], "event_id")
     totals = mat(tot.select("article_id", "ts", F.col("node_count").cast("long").alias("node_count"),
-                            F.col("edge_count").cast("long").alias("edge_count")))
+                            F.col("edge_count").cast("long").alias("edge_count"),
+                            F.col("event_id").cast("long").alias("event_id")))
 
     first_edges = py.filter(F.col("kk") == 1)
     nb_new = (first_edges.select(F.col("entity_1").alias("entity"), "article_id")

@@ -162,3 +162,117 @@ GROUP BY a.event_id, a.user_id, a.ts""")
 def q_hourly_rate(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     return win.rolling_hour_count(ev, "user_id", "ts", "event_id", "hourly_rate")
+
+
+# --------------------------------------------------------------------------- history
+
+from ..operators import history as hs  # noqa: E402
+
+STATE_AT = "1998-07-01 00:00:00"
+SEARCH_ENTITY = "part-42"
+
+
+def _history(spark, sf_dir) -> hs.History:
+    return hs.build_history(_fold(spark, sf_dir))
+
+
+@register("snapshot_schedule", f"""
+WITH RECURSIVE {S.HISTORY_CTES}{S.SNAPSHOT_CTES}
+SELECT snapshot_event_id, snapshot_time FROM snaps""")
+def q_snapshot_schedule(spark, sf_dir):
+    return hs.snapshot_schedule(_history(spark, sf_dir).events)
+
+
+@register("state_at", f"""
+WITH RECURSIVE {S.HISTORY_CTES}{S.SNAPSHOT_CTES}{S.state_sel_cte(STATE_AT)},
+chosen AS (SELECT h.* FROM hist_e h, sel
+           WHERE h.event_id <= sel.s_id OR (h.event_time > sel.s_time AND h.event_time <= TIMESTAMP '{STATE_AT}'))
+SELECT entity_id AS id, arg_max(new_mentions, event_id) AS mention_count, arg_max(new_sentiment, event_id) AS sentiment,
+       arg_max(coalesce(new_centrality, 0.0), event_id) AS centrality
+FROM chosen GROUP BY entity_id""")
+def q_state_at(spark, sf_dir):
+    h = _history(spark, sf_dir)
+    return hs.state_at(h, hs.snapshot_schedule(h.events), STATE_AT)
+
+
+@register("state_at_edges", f"""
+WITH RECURSIVE {S.HISTORY_CTES}{S.SNAPSHOT_CTES}{S.state_sel_cte(STATE_AT)},
+chosen AS (SELECT h.* FROM hist_r h, sel
+           WHERE h.event_id <= sel.s_id OR (h.event_time > sel.s_time AND h.event_time <= TIMESTAMP '{STATE_AT}'))
+SELECT source, target, arg_max(new_strength, event_id) AS strength,
+       arg_max(new_joint_sentiment, event_id) AS joint_sentiment
+FROM chosen GROUP BY source, target""")
+def q_state_at_edges(spark, sf_dir):
+    h = _history(spark, sf_dir)
+    return hs.state_at(h, hs.snapshot_schedule(h.events), STATE_AT, kind="edge")
+
+
+CURRENT_AT = "2100-01-01 00:00:00"
+CURRENT_TOPIC = "Part-1!"
+
+
+@register("current_state_topic", f"""
+WITH RECURSIVE {S.HISTORY_CTES}{S.SNAPSHOT_CTES}{S.state_sel_cte(CURRENT_AT)},
+chosen AS (SELECT h.* FROM hist_e h JOIN hist_hay hh USING (event_id), sel
+           WHERE h.event_id <= sel.s_id
+              OR (h.event_time > sel.s_time AND h.event_time <= TIMESTAMP '{CURRENT_AT}' AND contains(hh.hay, 'part-1')))
+SELECT entity_id AS id, arg_max(new_mentions, event_id) AS mention_count, arg_max(new_sentiment, event_id) AS sentiment,
+       arg_max(coalesce(new_centrality, 0.0), event_id) AS centrality
+FROM chosen GROUP BY entity_id""")
+def q_current_state_topic(spark, sf_dir):
+    h = _history(spark, sf_dir)
+    return hs.state_at(h, hs.snapshot_schedule(h.events), CURRENT_AT, topic=CURRENT_TOPIC)
+
+
+@register("changes_between", f"""
+WITH {S.HISTORY_CTES}
+SELECT h.event_id, h.event_time, h.article_id FROM hist_ev h JOIN hist_hay hh USING (event_id)
+WHERE h.event_time >= TIMESTAMP '1997-01-01 00:00:00' AND h.event_time <= TIMESTAMP '1997-12-31 23:59:59'
+  AND contains(hh.hay, '{SEARCH_ENTITY}')""")
+def q_changes_between(spark, sf_dir):
+    nested = hs.nested_events(_history(spark, sf_dir))
+    return hs.changes_between(nested, "1997-01-01 00:00:00", "1997-12-31 23:59:59", SEARCH_ENTITY.upper()) \
+        .select("event_id", "event_time", "article_id")
+
+
+@register("entity_history", f"""
+WITH {S.HISTORY_CTES}
+SELECT event_id, event_time AS time, new_mentions AS mentions, new_sentiment AS sentiment,
+       new_centrality AS centrality, article_id
+FROM hist_e WHERE entity_id = '{SEARCH_ENTITY}'
+  AND event_time >= TIMESTAMP '2001-12-31 00:00:00' - INTERVAL 3650 DAY
+  AND event_time <= TIMESTAMP '2001-12-31 00:00:00'""")
+def q_entity_history(spark, sf_dir):
+    return hs.entity_history(_history(spark, sf_dir), SEARCH_ENTITY, "2001-12-31 00:00:00", "3650d")
+
+
+@register("sentiment_trend", f"""
+WITH {S.HISTORY_CTES}
+SELECT CAST(floor(epoch(event_time) / 2592000) * 2592000 AS BIGINT) AS bucket_start,
+       {S.r6("avg(new_sentiment)")} AS avg_sentiment, count(*) AS samples
+FROM hist_e WHERE event_time >= TIMESTAMP '1995-01-01 00:00:00' AND event_time <= TIMESTAMP '2002-01-01 00:00:00'
+GROUP BY 1""")
+def q_sentiment_trend(spark, sf_dir):
+    t = hs.sentiment_trend(_history(spark, sf_dir), "1995-01-01 00:00:00", "2002-01-01 00:00:00", "30d")
+    return t.select(F.unix_seconds("bucket_start").alias("bucket_start"),
+                    gs._r6(F.col("avg_sentiment")).alias("avg_sentiment"), "samples")
+
+
+@register("recent_articles", f"""
+WITH {S.HISTORY_CTES}
+SELECT h.event_id, h.event_time, h.article_id, CAST(h.article_id AS VARCHAR) AS headline,
+       CAST(len(string_split(hh.hay, ' ')) - 1 AS INTEGER) AS n_entities
+FROM hist_ev h JOIN hist_hay hh USING (event_id)
+WHERE contains(hh.hay, 'part-42') OR contains(hh.hay, 'part-7')
+ORDER BY h.event_id DESC LIMIT 50""")
+def q_recent_articles(spark, sf_dir):
+    r = hs.recent_articles(hs.nested_events(_history(spark, sf_dir)), "PART-42 part-7 xy", 50)
+    return r.select("event_id", "event_time", "article_id", "headline", F.size("entities").alias("n_entities"))
+
+
+@register("replay_after", f"""
+WITH {S.HISTORY_CTES},
+page AS (SELECT * FROM hist_ev WHERE event_id > 5000 ORDER BY event_id LIMIT 1000)
+SELECT p.event_id, p.article_id FROM page p JOIN hist_hay hh USING (event_id) WHERE contains(hh.hay, 'part-42')""")
+def q_replay_after(spark, sf_dir):
+    return hs.replay_after(hs.nested_events(_history(spark, sf_dir)), 5000, 1000, "part-42").select("event_id", "article_id")

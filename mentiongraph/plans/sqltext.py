@@ -108,3 +108,44 @@ cent2 AS (
 def r6(expr: str) -> str:
     """SQL for rounding to 6 places through DECIMAL(38,12) (same rule as the Spark side)."""
     return f"CAST(round(CAST({expr} AS DECIMAL(38,12)), 6) AS DOUBLE)"
+
+
+# Change history: events numbered in article order, flattened entity / relationship change rows,
+# the snapshot chain (first event, then min(i + 100, first event 10 minutes or more later)).
+HISTORY_CTES = GRAPH_CTES + """,
+hist_ev AS (SELECT aseq AS event_id, ts AS event_time, article_id FROM art_ord),
+hist_e AS (
+  SELECT c.aseq AS event_id, c.ts AS event_time, c.article_id, c.entity AS entity_id,
+         c.k_last AS new_mentions, """ + r6("c.x_last") + """ AS new_sentiment,
+         """ + r6("c.centrality") + """ AS new_centrality
+  FROM cent2 c),
+hist_r AS (
+  SELECT a.aseq AS event_id, a.ts AS event_time, a.article_id, a.entity_1 AS source, a.entity_2 AS target,
+         """ + r6("a.strength") + """ AS new_strength, """ + r6("a.joint_sentiment") + """ AS new_joint_sentiment
+  FROM py a LEFT JOIN py b ON b.entity_1 = a.entity_1 AND b.entity_2 = a.entity_2 AND b.kk = a.kk - 1
+  WHERE abs(round(a.strength - coalesce(b.strength, 0.0), 9)) >= 0.0001
+     OR abs(round(a.joint_sentiment - coalesce(b.joint_sentiment, 0.0), 9)) >= 0.01),
+hist_hay AS (
+  SELECT event_id, lower(CAST(any_value(article_id) AS VARCHAR) || ' ' || string_agg(entity_id, ' ')) AS hay
+  FROM hist_e GROUP BY event_id)"""
+
+SNAPSHOT_CTES = """,
+nx AS MATERIALIZED (
+  SELECT e.event_id,
+         least(CASE WHEN e.event_id + 100 <= (SELECT max(event_id) FROM hist_ev) THEN e.event_id + 100 END,
+               (SELECT min(f.event_id) FROM hist_ev f WHERE f.event_time >= e.event_time + INTERVAL 10 MINUTE)) AS nxt
+  FROM hist_ev e),
+chain AS (
+  SELECT CAST(1 AS BIGINT) AS event_id
+  UNION ALL
+  SELECT nx.nxt FROM chain JOIN nx ON nx.event_id = chain.event_id WHERE nx.nxt IS NOT NULL),
+snaps AS (SELECT c.event_id AS snapshot_event_id, h.event_time AS snapshot_time FROM chain c JOIN hist_ev h USING (event_id))"""
+
+
+def state_sel_cte(at: str) -> str:
+    return f""",
+sel AS (
+  SELECT coalesce((SELECT max(snapshot_event_id) FROM snaps
+                   WHERE snapshot_time = (SELECT max(snapshot_time) FROM snaps WHERE snapshot_time <= TIMESTAMP '{at}')), 0) AS s_id,
+         coalesce((SELECT max(snapshot_time) FROM snaps WHERE snapshot_time <= TIMESTAMP '{at}'),
+                  TIMESTAMP '1970-01-01 00:00:00') AS s_time)"""
