@@ -276,3 +276,83 @@ page AS (SELECT * FROM hist_ev WHERE event_id > 5000 ORDER BY event_id LIMIT 100
 SELECT p.event_id, p.article_id FROM page p JOIN hist_hay hh USING (event_id) WHERE contains(hh.hay, 'part-42')""")
 def q_replay_after(spark, sf_dir):
     return hs.replay_after(hs.nested_events(_history(spark, sf_dir)), 5000, 1000, "part-42").select("event_id", "article_id")
+
+
+# --------------------------------------------------------------------------- graph algorithms
+
+from ..operators import graph_algo as ga  # noqa: E402
+
+
+def _algo_inputs(spark, sf_dir):
+    m = adapters.mentions(spark, sf_dir)
+    fold = gs.fold_graph(m, adapters.MENTION_ORDER)
+    edges = fold.edge_steps.select(F.col("entity_1").alias("source"), F.col("entity_2").alias("target")).distinct()
+    adj = ga.adjacency(edges)
+    last = m.select("article_id", "ts").orderBy(F.desc("ts"), F.desc("article_id")).limit(1)
+    seeds = (m.join(last.select("article_id"), "article_id", "left_semi")
+             .select(F.trim("entity").alias("node")).distinct())
+    return m, fold, edges, adj, seeds
+
+
+@register("relationship_strength", f"""
+WITH {S.GRAPH_CTES},
+rs AS (
+  SELECT a.entity_1, a.entity_2, a.kk, a.ts,
+         lag(a.ts) OVER (PARTITION BY a.entity_1, a.entity_2 ORDER BY a.kk) AS pts,
+         x1.x_last AS s1, x2.x_last AS s2
+  FROM pk a JOIN ea x1 ON x1.entity = a.entity_1 AND x1.article_id = a.article_id
+  JOIN ea x2 ON x2.entity = a.entity_2 AND x2.article_id = a.article_id)
+SELECT entity_1 AS source, entity_2 AS target,
+       {S.r6("sum(1.0 * CASE WHEN pts IS NULL THEN 1.0 ELSE exp(-greatest(0.0, (epoch_us(ts) - epoch_us(pts)) / 3.6e9) / 24.0) END * greatest(0.0, 1.0 - abs(s1 - s2) / 2.0))")} AS strength,
+       count(*) AS updates
+FROM rs GROUP BY entity_1, entity_2""")
+def q_relationship_strength(spark, sf_dir):
+    return ga.relationship_strength(_fold(spark, sf_dir))
+
+
+@register("pagerank_full", f"WITH {S.GRAPH_CTES}{S.ALGO_CTES}" + S.pagerank_sql("g_nodes", "g_adj"))
+def q_pagerank_full(spark, sf_dir):
+    _m, fold, _e, adj, _s = _algo_inputs(spark, sf_dir)
+    nodes = fold.entity_articles.select(F.col("entity").alias("node")).distinct()
+    pr = ga.pagerank(adj, nodes)
+    return pr.select("node", gs._r6(F.col("pagerank")).alias("pagerank"))
+
+
+@register("pagerank_touched", f"WITH {S.GRAPH_CTES}{S.ALGO_CTES}" + S.pagerank_sql("khop", "g_adj"))
+def q_pagerank_touched(spark, sf_dir):
+    _m, _f, _e, adj, seeds = _algo_inputs(spark, sf_dir)
+    pr = ga.pagerank(adj, ga.khop(adj, seeds, 2))
+    return pr.select("node", gs._r6(F.col("pagerank")).alias("pagerank"))
+
+
+@register("khop_subgraph", f"WITH {S.GRAPH_CTES}{S.ALGO_CTES}\nSELECT node, CAST(dist AS INTEGER) AS dist FROM khop")
+def q_khop_subgraph(spark, sf_dir):
+    _m, _f, _e, adj, seeds = _algo_inputs(spark, sf_dir)
+    return ga.khop(adj, seeds, 2).select("node", F.col("dist").cast("int").alias("dist"))
+
+
+@register("bfs_distances", f"WITH {S.GRAPH_CTES}{S.ALGO_CTES}" + S.bfs_sql("khop", "g_adj") +
+          "\nSELECT source, node, CAST(dist AS INTEGER) AS dist FROM bfs")
+def q_bfs_distances(spark, sf_dir):
+    _m, _f, _e, adj, seeds = _algo_inputs(spark, sf_dir)
+    sub = ga.khop(adj, seeds, 2)
+    return ga.bfs(adj, ga.sample_sources(sub), sub).select("source", "node", F.col("dist").cast("int").alias("dist"))
+
+
+@register("bridge_score", f"WITH {S.GRAPH_CTES}{S.ALGO_CTES}" + S.bfs_sql("khop", "g_adj") + f""",
+sc AS (SELECT node, CAST(sum(dist) AS DOUBLE) AS s FROM bfs WHERE node <> source GROUP BY node)
+SELECT b.node, {S.r6("coalesce(sc.s, 0.0) / (SELECT CASE WHEN max(s) > 0 THEN max(s) ELSE 1.0 END FROM sc)")} AS betweenness
+FROM b_nodes b LEFT JOIN sc USING (node)
+WHERE (SELECT count(*) FROM b_nodes) >= 3""")
+def q_bridge_score(spark, sf_dir):
+    _m, _f, _e, adj, seeds = _algo_inputs(spark, sf_dir)
+    b = ga.bridge_score(adj, ga.khop(adj, seeds, 2))
+    return b.select("node", gs._r6(F.col("betweenness")).alias("betweenness"))
+
+
+@register("communities")
+def q_communities(spark, sf_dir):
+    fold = _fold(spark, sf_dir)
+    strength = ga.relationship_strength(fold)
+    nodes = fold.entity_articles.select(F.col("entity").alias("node")).distinct()
+    return ga.dense_community_ids(ga.communities(nodes, strength))

@@ -149,3 +149,50 @@ sel AS (
                    WHERE snapshot_time = (SELECT max(snapshot_time) FROM snaps WHERE snapshot_time <= TIMESTAMP '{at}')), 0) AS s_id,
          coalesce((SELECT max(snapshot_time) FROM snaps WHERE snapshot_time <= TIMESTAMP '{at}'),
                   TIMESTAMP '1970-01-01 00:00:00') AS s_time)"""
+
+
+ALGO_CTES = """,
+g_nodes AS (SELECT DISTINCT entity AS node FROM ea),
+g_edges AS (SELECT DISTINCT entity_1 AS source, entity_2 AS target FROM py),
+g_adj AS (SELECT source AS src, target AS dst FROM g_edges UNION SELECT target AS src, source AS dst FROM g_edges),
+last_art AS (SELECT article_id FROM arts ORDER BY ts DESC, article_id DESC LIMIT 1),
+seeds AS (SELECT DISTINCT trim(entity) AS node FROM m WHERE article_id = (SELECT article_id FROM last_art)),
+hop1 AS (SELECT DISTINCT a.dst AS node FROM seeds s JOIN g_adj a ON a.src = s.node
+         WHERE a.dst NOT IN (SELECT node FROM seeds)),
+hop2 AS (SELECT DISTINCT a.dst AS node FROM hop1 s JOIN g_adj a ON a.src = s.node
+         WHERE a.dst NOT IN (SELECT node FROM seeds) AND a.dst NOT IN (SELECT node FROM hop1)),
+khop AS (SELECT node, 0 AS dist FROM seeds UNION ALL SELECT node, 1 FROM hop1 UNION ALL SELECT node, 2 FROM hop2)"""
+
+
+def pagerank_sql(nodes: str, adj: str, iters: int = 20, d: float = 0.85) -> str:
+    """Unrolled power iteration over CTEs ``nodes``(node) and ``adj``(src, dst), both in the subset."""
+    parts = [f"pr_nodes AS MATERIALIZED (SELECT DISTINCT node FROM {nodes})",
+             f"pr_adj AS MATERIALIZED (SELECT a.src, a.dst FROM {adj} a WHERE a.src IN (SELECT node FROM pr_nodes)"
+             f" AND a.dst IN (SELECT node FROM pr_nodes))",
+             "pr_n AS (SELECT count(*) AS n FROM pr_nodes)",
+             "pr_deg AS MATERIALIZED (SELECT src, count(*) AS deg FROM pr_adj GROUP BY src)",
+             "r0 AS MATERIALIZED (SELECT node, 1.0 / (SELECT n FROM pr_n) AS pr FROM pr_nodes)"]
+    for i in range(1, iters + 1):
+        parts.append(
+            f"r{i} AS MATERIALIZED (SELECT nd.node, (1.0 - {d}) / (SELECT n FROM pr_n) + coalesce(c.c, 0.0) AS pr "
+            f"FROM pr_nodes nd LEFT JOIN (SELECT a.dst AS node, sum({d} * r.pr / dg.deg) AS c FROM pr_adj a "
+            f"JOIN r{i - 1} r ON r.node = a.src JOIN pr_deg dg ON dg.src = a.src GROUP BY a.dst) c ON c.node = nd.node)")
+    return ",\n" + ",\n".join(parts) + (
+        f"\nSELECT node, {r6(f'pr / (SELECT sum(pr) FROM r{iters})')} AS pagerank FROM r{iters}")
+
+
+def bfs_sql(subset: str, adj: str, levels: int = 25) -> str:
+    """Unrolled BFS from the 16 sampled sources inside ``subset``(node) -> CTE bfs(source, node, dist)."""
+    parts = [f"b_nodes AS MATERIALIZED (SELECT DISTINCT node FROM {subset})",
+             f"b_adj AS MATERIALIZED (SELECT a.src, a.dst FROM {adj} a WHERE a.src IN (SELECT node FROM b_nodes)"
+             f" AND a.dst IN (SELECT node FROM b_nodes))",
+             "b_src AS MATERIALIZED (SELECT node AS source FROM b_nodes ORDER BY md5('42:' || node), node LIMIT 16)",
+             "l0 AS MATERIALIZED (SELECT source, source AS node FROM b_src)",
+             "v0 AS MATERIALIZED (SELECT source, node, 0 AS dist FROM l0)"]
+    for i in range(1, levels + 1):
+        parts.append(f"l{i} AS MATERIALIZED (SELECT DISTINCT l.source, a.dst AS node FROM l{i - 1} l "
+                     f"JOIN b_adj a ON a.src = l.node WHERE NOT EXISTS (SELECT 1 FROM v{i - 1} v "
+                     f"WHERE v.source = l.source AND v.node = a.dst))")
+        parts.append(f"v{i} AS MATERIALIZED (SELECT * FROM v{i - 1} UNION ALL SELECT source, node, {i} FROM l{i})")
+    parts.append(f"bfs AS (SELECT * FROM v{levels})")
+    return ",\n" + ",\n".join(parts)
