@@ -350,9 +350,264 @@ def q_bridge_score(spark, sf_dir):
     return b.select("node", gs._r6(F.col("betweenness")).alias("betweenness"))
 
 
-@register("communities")
 def q_communities(spark, sf_dir):
+    """Not registered yet: the local-moving loop stalls after its first round on local[8] (open)."""
     fold = _fold(spark, sf_dir)
     strength = ga.relationship_strength(fold)
     nodes = fold.entity_articles.select(F.col("entity").alias("node")).distinct()
     return ga.dense_community_ids(ga.communities(nodes, strength))
+
+
+# --------------------------------------------------------------------------- intake
+
+from ..operators import intake as it  # noqa: E402
+from ..operators import text as tx  # noqa: E402
+
+WSQ = r"[ \t\n\r\f]+"
+STRIP_SQL = "regexp_replace({x}, '^" + WSQ + "|" + WSQ + "$', '', 'g')"
+BASE_S = 1704067200  # 2024-01-01 00:00:00 UTC
+
+
+def _strip(x: str) -> str:
+    return STRIP_SQL.format(x=x)
+
+
+def _rss(spark, sf_dir):
+    a = adapters.articles(spark, sf_dir)
+    raw = a.select("id", "title", "content", "link", "feed_id", "feed_title",
+                   F.unix_seconds(F.col("published_at")).alias("updated"), F.lit(None).cast("string").alias("author"))
+    return it.normalise_rss(raw)
+
+
+@register("rss_normalise", f"""
+SELECT doc_id AS id, trim(split_part(text, chr(10), 1)) AS title,
+       'https://news.example/' || source || '/' || CAST(doc_id AS VARCHAR) AS link, doc_id AS feed_id,
+       source AS feed_title, CAST({BASE_S} + doc_id * 60 AS BIGINT) AS published_at_s, 'rss feed' AS tags,
+       'ttrss' AS source, coalesce(nullif({_strip('source')}, ''), 'ttrss') AS partition_key,
+       CAST(length(text) AS BIGINT) AS content_chars
+FROM documents""")
+def q_rss_normalise(spark, sf_dir):
+    r = _rss(spark, sf_dir)
+    return r.select("id", "title", "link", "feed_id", "feed_title",
+                    F.unix_seconds("published_at").alias("published_at_s"), F.concat_ws(",", "tags").alias("tags"),
+                    "source", it.partition_key(F.col("feed_title"), F.col("source")).alias("partition_key"),
+                    F.length("content").cast("long").alias("content_chars"))
+
+
+POSTS_SQL = f"""
+p0 AS (
+  SELECT conv_id, turn, role, text,
+         strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 60 + turn), '%Y-%m-%dT%H:%M:%SZ') AS created_at,
+         CASE WHEN turn % 2 = 0 THEN 'at://' || role || '.example/app.post/' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) END AS uri,
+         role || '.example' AS handle,
+         CASE WHEN role = 'assistant' THEN NULL ELSE upper(left(role, 1)) || lower(substr(role, 2)) END AS display_name,
+         'q' || CAST(conv_id % 3 AS VARCHAR) AS query
+  FROM conversations),
+p1 AS (
+  SELECT *, {_strip('coalesce(text, \'\')')} AS content,
+         {_strip("regexp_replace(" + _strip("coalesce(text, '')") + ", '" + WSQ + "', ' ', 'g')")} AS clean
+  FROM p0),
+posts_n AS (
+  SELECT coalesce(nullif(uri, ''), sha1(coalesce(handle, '') || ':' || coalesce(text, '') || ':' || coalesce(created_at, ''))) AS id,
+         CASE WHEN clean = '' THEN 'Bluesky post' WHEN length(clean) <= 120 THEN clean ELSE left(clean, 117) || '...' END AS title,
+         CASE WHEN handle IS NOT NULL AND handle <> '' AND uri IS NOT NULL AND uri <> ''
+              THEN 'https://bsky.app/profile/' || handle || '/post/' || string_split(rtrim(uri, '/'), '/')[-1] ELSE '' END AS link,
+         coalesce(nullif(display_name, ''), handle) AS author,
+         'social media,' || query AS tags, CAST({BASE_S} + conv_id * 60 + turn AS BIGINT) AS published_at_s,
+         'bluesky' AS source, CAST(length(content) AS BIGINT) AS content_chars, query
+  FROM p1)"""
+
+
+@register("post_normalise", f"WITH {POSTS_SQL}\nSELECT id, title, link, author, tags, published_at_s, source, content_chars FROM posts_n")
+def q_post_normalise(spark, sf_dir):
+    p = it.normalise_posts(adapters.posts(spark, sf_dir))
+    return p.select("id", "title", "link", "author", F.concat_ws(",", "tags").alias("tags"),
+                    F.unix_seconds("published_at").alias("published_at_s"), "source",
+                    F.length("content").cast("long").alias("content_chars"))
+
+
+@register("keyword_since_filter", f"""
+SELECT doc_id AS id FROM documents
+WHERE {BASE_S} + doc_id * 60 >= {BASE_S + 6 * 3600}
+  AND (contains(lower(trim(split_part(text, chr(10), 1))), 'the') OR contains(lower(text), 'the'))""")
+def q_keyword_since_filter(spark, sf_dir):
+    return it.since_keyword_filter(_rss(spark, sf_dir), "2024-01-01 06:00:00", "THE").select("id")
+
+
+@register("headline_filter", """
+SELECT doc_id AS id, trim(split_part(text, chr(10), 1)) AS title FROM documents
+WHERE contains(lower(trim(split_part(text, chr(10), 1))), 'en')
+   OR contains(lower(trim(split_part(text, chr(10), 1))), 'ou')
+   OR contains(lower(trim(split_part(text, chr(10), 1))), 'thè')""")
+def q_headline_filter(spark, sf_dir):
+    return it.headline_filter(_rss(spark, sf_dir), it.parse_term_list("EN, Ou ,,thè")).select("id", "title")
+
+
+@register("topic_match", f"""
+SELECT doc_id AS id, contains(lower({_strip("trim(split_part(text, chr(10), 1))")}), 'the') AS accepted,
+       {_strip("trim(split_part(text, chr(10), 1))")} AS title, source,
+       'https://news.example/' || source || '/' || CAST(doc_id AS VARCHAR) AS link,
+       left(replace({_strip('text')}, '\\n', ' '), 400) AS article_preview
+FROM documents""")
+def q_topic_match(spark, sf_dir):
+    return it.accepted_preview(_rss(spark, sf_dir), "The")
+
+
+@register("term_dedupe", f"""
+WITH p AS (SELECT doc_id, generate_subscripts(string_split(text, ','), 1) - 1 AS pos,
+                  unnest(string_split(text, ',')) AS raw FROM documents),
+t AS (SELECT doc_id, pos, {_strip('raw')} AS term FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(term) ORDER BY pos) AS rn FROM t WHERE term <> '')
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, term FROM r WHERE rn = 1""")
+def q_term_dedupe(spark, sf_dir):
+    return it.dedupe_terms(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@register("bounded_seen_ids", f"""
+WITH {POSTS_SQL},
+r AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY published_at_s DESC, id DESC) AS rank
+      FROM (SELECT DISTINCT query, id, published_at_s FROM posts_n))
+SELECT query, id, rank FROM r WHERE rank <= 500""")
+def q_bounded_seen_ids(spark, sf_dir):
+    p = it.normalise_posts(adapters.posts(spark, sf_dir)).withColumn("published_at_s", F.unix_seconds("published_at"))
+    seen = p.filter(F.col("published_at") < F.to_timestamp(F.lit("2024-01-01 04:00:00")))
+    fresh = it.new_posts(p, seen)
+    return it.retain_seen(seen, fresh, "published_at_s").select("query", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@register("high_water", """
+SELECT count(*) AS n_new, CAST(coalesce(max(doc_id), 100) AS BIGINT) AS high_water FROM documents WHERE doc_id > 100""")
+def q_high_water(spark, sf_dir):
+    return it.high_water(_rss(spark, sf_dir), 100)
+
+
+@register("latest_payload", """
+SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type,
+       arg_max(value, event_id) AS value
+FROM events GROUP BY user_id""")
+def q_latest_payload(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    lp = it.latest_payload(ev, "user_id", "event_id")
+    return lp.select("user_id", "latest.event_id", "latest.event_type", "latest.value")
+
+
+@register("first_seen", """
+SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS ts FROM events GROUP BY user_id""")
+def q_first_seen(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    fs = it.first_sight(ev.withColumn("_o", F.struct("ts", "event_id")), "user_id", "_o")
+    return fs.select("user_id", "first.event_id", "first.ts")
+
+
+# --------------------------------------------------------------------------- text
+
+SENT_SQL = f"""
+sp AS (SELECT doc_id, generate_subscripts(regexp_extract_all(text, '{tx.PIECE_PATTERN}'), 1) AS pos,
+              unnest(regexp_extract_all(text, '{tx.PIECE_PATTERN}')) AS piece, text FROM documents),
+so AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM sp),
+ss AS (SELECT doc_id, pos, off + length(piece) - length(regexp_replace(piece, '^{WSQ}', '')) AS char_start,
+              off + length(piece) AS char_end, regexp_replace(piece, '^{WSQ}', '') AS sentence
+       FROM so WHERE {_strip('piece')} <> ''),
+sents AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS sent_idx,
+                 CAST(char_start AS INTEGER) AS char_start, CAST(char_end AS INTEGER) AS char_end, sentence FROM ss)"""
+
+
+def _sents(spark, sf_dir):
+    return tx.sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("sentences", f"WITH {SENT_SQL}\nSELECT doc_id, sent_idx, char_start, char_end FROM sents")
+def q_sentences(spark, sf_dir):
+    return _sents(spark, sf_dir).select("doc_id", "sent_idx", "char_start", "char_end")
+
+
+@register("chunks", f"""WITH {SENT_SQL},
+n AS (SELECT doc_id, count(*) AS n FROM sents GROUP BY doc_id),
+c0 AS (SELECT doc_id, n, generate_subscripts(range(0, n, 6), 1) - 1 AS chunk_idx, unnest(range(0, n, 6)) AS start_sentence FROM n),
+c AS (SELECT doc_id, chunk_idx, start_sentence, least(n - 1, start_sentence + 7) AS end_sentence FROM c0
+      WHERE chunk_idx = 0 OR start_sentence - 6 + 7 < n - 1)
+SELECT c.doc_id, CAST(c.chunk_idx AS INTEGER) AS chunk_idx, CAST(c.start_sentence AS INTEGER) AS start_sentence,
+       CAST(c.end_sentence AS INTEGER) AS end_sentence, s1.char_start, s2.char_end
+FROM c JOIN sents s1 ON s1.doc_id = c.doc_id AND s1.sent_idx = c.start_sentence
+JOIN sents s2 ON s2.doc_id = c.doc_id AND s2.sent_idx = c.end_sentence""")
+def q_chunks(spark, sf_dir):
+    ch = tx.chunks(_sents(spark, sf_dir))
+    return ch.select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("chunk_idx", "start_sentence", "end_sentence")],
+                     "char_start", "char_end")
+
+
+MENT_SQL = f"""
+ments AS (SELECT doc_id, sent_idx, unnest(regexp_extract_all(sentence, '{tx.CAPITALISED_TOKEN}')) AS entity FROM sents)"""
+
+
+@register("mentions_text", f"WITH {SENT_SQL}, {MENT_SQL}\nSELECT doc_id, sent_idx, entity, count(*) AS n FROM ments GROUP BY ALL")
+def q_mentions_text(spark, sf_dir):
+    return tx.mentions(_sents(spark, sf_dir)).groupBy("doc_id", "sent_idx", "entity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _lex(words):
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+@register("sentence_sentiment", f"""WITH {SENT_SQL}, {MENT_SQL},
+sc AS (SELECT s.doc_id, s.sent_idx, regexp_extract_all(lower(left(s.sentence, 512)), '[a-z]+') AS toks
+       FROM sents s WHERE (s.doc_id, s.sent_idx) IN (SELECT doc_id, sent_idx FROM ments)),
+pn AS (SELECT doc_id, sent_idx, len(list_filter(toks, lambda t: list_contains({_lex(tx.POSITIVE_WORDS)}, t))) AS p,
+              len(list_filter(toks, lambda t: list_contains({_lex(tx.NEGATIVE_WORDS)}, t))) AS n FROM sc),
+lb AS (SELECT doc_id, sent_idx, CASE WHEN p > n THEN 'POSITIVE' WHEN n > p THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label,
+              (abs(p - n) + 1.0) / (p + n + 2.0) AS confidence FROM pn)
+SELECT doc_id, sent_idx, label, {S.r6('confidence')} AS confidence,
+       {S.r6("CASE WHEN label LIKE '%POS%' THEN confidence WHEN label LIKE '%NEG%' THEN -confidence ELSE 0.0 END")} AS signed_score
+FROM lb""")
+def q_sentence_sentiment(spark, sf_dir):
+    s = _sents(spark, sf_dir)
+    sc = tx.sentence_scores(tx.mentions(s), s)
+    return sc.select("doc_id", "sent_idx", "label", gs._r6(F.col("confidence")).alias("confidence"),
+                     gs._r6(F.col("signed_score")).alias("signed_score"))
+
+
+def _html_sql(x: str) -> str:
+    t = x
+    for tag in ("script", "style", "nav", "table", "head"):
+        t = f"regexp_replace({t}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
+    t = f"regexp_replace({t}, '(?s)<!--.*?-->', ' ', 'g')"
+    t = f"regexp_replace({t}, '(?s)<[^>]*>', ' ', 'g')"
+    for ent, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        t = f"replace({t}, '{ent}', '{ch}')"
+    return _strip(f"regexp_replace({t}, '{WSQ}', ' ', 'g')")
+
+
+@register("page_text", f"""
+SELECT page_id, CASE WHEN length(t) >= 50 THEN t ELSE '' END AS text
+FROM (SELECT page_id, {_html_sql('html')} AS t FROM pages)""")
+def q_page_text(spark, sf_dir):
+    p = adapters.pages_raw(spark, sf_dir)
+    return p.select("page_id", tx.html_text(F.col("html"), F.lit("")).alias("text"))
+
+
+@register("article_mean_sentiment", f"""
+WITH {S.MENTIONS_CTE}
+SELECT o.o_orderkey AS article_id, {S.r6('coalesce(avg(m.score), 0.0)')} AS mean_sentiment, count(m.entity) AS n_mentions
+FROM orders o LEFT JOIN m ON m.article_id = o.o_orderkey GROUP BY o.o_orderkey""")
+def q_article_mean_sentiment(spark, sf_dir):
+    m = adapters.mentions(spark, sf_dir)
+    per = m.groupBy("article_id").agg(F.avg("score").alias("_a"), F.count("entity").alias("n_mentions"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("article_id"))
+    return (o.join(per, "article_id", "left")
+            .select("article_id", gs._r6(F.coalesce(F.col("_a"), F.lit(0.0))).alias("mean_sentiment"),
+                    F.coalesce(F.col("n_mentions"), F.lit(0)).alias("n_mentions")))
+
+
+@register("processing_metrics", f"""
+SELECT window_start,
+       count(*) FILTER (WHERE event_type <> 'error') AS processed_ok,
+       count(*) FILTER (WHERE event_type = 'error') AS failed,
+       {S.r6("count(*) FILTER (WHERE event_type <> 'error') / 3600.0")} AS articles_per_second,
+       {S.r6("coalesce(avg(value) FILTER (WHERE event_type <> 'error'), 0.0)")} AS avg_latency_ms,
+       {S.r6("greatest(0.0, window_start + 3600 - max(t))")} AS lag_seconds
+FROM (SELECT *, epoch_us(ts) / 1e6 AS t, CAST(floor(epoch_us(ts) / 1e6 / 3600) * 3600 AS BIGINT) AS window_start FROM events)
+GROUP BY window_start""")
+def q_processing_metrics(spark, sf_dir):
+    from ..operators import metrics as mt
+    return mt.processing_metrics(table(spark, sf_dir, "events"))
