@@ -137,7 +137,7 @@ WITH {S.GRAPH_CTES}
 SELECT n.article_id, ao.ts, CAST(n.node_count AS BIGINT) AS node_count, CAST(e.edge_count AS BIGINT) AS edge_count
 FROM node_totals n JOIN edge_totals e USING (article_id) JOIN art_ord ao USING (article_id)""")
 def q_graph_totals_by_article(spark, sf_dir):
-    return _fold(spark, sf_dir).totals
+    return _fold(spark, sf_dir).totals.select("article_id", "ts", "node_count", "edge_count")
 
 
 @register("delta_validation", f"""
