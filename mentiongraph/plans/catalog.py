@@ -657,3 +657,31 @@ SELECT count(*) FILTER (WHERE sent) AS sent, count(*) FILTER (WHERE NOT sent) AS
 FROM limited""")
 def q_delivery_totals(spark, sf_dir):
     return mt.delivery_totals(_limited(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- correlation
+
+from ..operators import correlate as cr  # noqa: E402
+
+
+@register("correlate_stages", f"""
+WITH {S.GRAPH_CTES},
+enr AS (SELECT article_id, min(ts) AS t_enriched, avg(score) AS mean_s FROM m GROUP BY article_id),
+ch AS (SELECT n.article_id, ao.ts AS t_change, n.node_count, e.edge_count
+       FROM node_totals n JOIN edge_totals e USING (article_id) JOIN art_ord ao USING (article_id))
+SELECT o.o_orderkey AS article_id, en.t_enriched IS NOT NULL AS step2, c.t_change IS NOT NULL AS step3,
+       CASE WHEN en.t_enriched IS NULL THEN 'step2' WHEN c.t_change IS NULL THEN 'step3' END AS timeout_step,
+       {S.r6('coalesce(en.mean_s, 0.0)')} AS mean_sentiment,
+       CAST(c.node_count AS BIGINT) AS node_count, CAST(c.edge_count AS BIGINT) AS edge_count
+FROM orders o
+LEFT JOIN enr en ON en.article_id = o.o_orderkey
+ AND en.t_enriched BETWEEN o.o_orderdate AND o.o_orderdate + INTERVAL 45 SECOND
+LEFT JOIN ch c ON c.article_id = o.o_orderkey AND en.t_enriched IS NOT NULL
+ AND c.t_change BETWEEN en.t_enriched AND en.t_enriched + INTERVAL 45 SECOND""")
+def q_correlate_stages(spark, sf_dir):
+    m = adapters.mentions(spark, sf_dir)
+    fold = gs.fold_graph(m, adapters.MENTION_ORDER)
+    raw = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("article_id"), F.col("o_orderdate").alias("t_raw"))
+    enr = m.groupBy("article_id").agg(F.min("ts").alias("t_enriched"), F.avg("score").alias("mean_sentiment"))
+    ch = fold.totals.select("article_id", F.col("ts").alias("t_change"), "node_count", "edge_count")
+    return cr.correlate_stages(raw, enr, ch)
