@@ -24,6 +24,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+    # checkpoint files of round state are removed once the DataFrame is no longer referenced, so
+    # iterative jobs do not fill the shared checkpoint folder
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
