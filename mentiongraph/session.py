@@ -78,3 +78,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str = "round") -> DataFrame:
+    """Cut lineage by writing a parquet table under the shared checkpoint folder and reading it back.
+
+    Unlike ``checkpoint()``, the re-read frame carries no reference to the plan that produced it, so
+    loops that feed each round's output into the next keep a constant-size plan.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

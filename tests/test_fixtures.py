@@ -188,3 +188,13 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     rows = df.collect()
     assert len(rows) == 10 and df.columns == ["entity_1", "entity_2", "total_count", "n_articles"]
+
+
+def test_communities_two_triangles(spark):
+    e = spark.createDataFrame([("A", "B", 1.0), ("B", "C", 1.0), ("A", "C", 1.0), ("D", "E", 1.0), ("E", "F", 1.0),
+                               ("D", "F", 1.0), ("C", "D", 0.1)], "source string, target string, strength double")
+    nodes = spark.createDataFrame([(n,) for n in "ABCDEFG"], "node string")
+    got = {r.node: r.community_id for r in ga.dense_community_ids(ga.communities(nodes, e)).collect()}
+    assert got["A"] == got["B"] == got["C"] and got["D"] == got["E"] == got["F"] and got["A"] != got["D"]
+    assert sorted(set(got.values())) == list(range(len(set(got.values()))))  # dense ids
+    assert got["G"] not in (got["A"], got["D"])  # isolated node keeps its own community
