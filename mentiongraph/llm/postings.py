@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_arrow, ragged
+from .common import map_arrow, mix, ragged
 
 COUNTED, KNOWN, ROWS = 0, 1, 2
 MARKER = np.iinfo(np.int64).min
-WRITE_AT = 600_000
+WRITE_AT = 400_000
 SCHEMA = "part int, kind int, h binary, k binary, p binary"
 NAMES = ["part", "kind", "h", "k", "p"]
 
@@ -128,21 +128,39 @@ def repeated_postings(batches, distinct: bool) -> Iterator[tuple[np.ndarray, np.
 
 def exchange(postings: DataFrame, parts: int) -> DataFrame:
     """Deal packed rows out by fragment."""
-    return postings.repartition(parts, "part")
+    return postings.repartitionById(parts, "part")
 
 
-def by_key(postings, schema_names=("key", "p", "h")) -> Iterator[pa.RecordBatch]:
-    """Postings grouped by key: (key, places as int32 array, hashes as uint64 array), both packed."""
-    for _, h, k, p in postings:
+def _bucket_of(k: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(k.view(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
+def _by_bucket(found, parts: int, hashes: bool) -> Iterator[pa.RecordBatch]:
+    """Postings as one packed row for each bucket of keys; the hashes are left behind unless asked for."""
+    for _, h, k, p in found:
         if not len(h):
             continue
+        bucket = _bucket_of(k, parts)
+        order = np.argsort(bucket, kind="stable")
+        bucket, h, k, p = bucket[order], h[order], k[order], p[order]
+        first = np.flatnonzero(starts(bucket))
+        off = np.append(first, len(k))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(np.zeros(len(first), np.int32)),
+                                          ragged(off if hashes else off * 0, h), ragged(off, k), ragged(off, p)], NAMES)
+
+
+def _by_key(batches) -> Iterator[pa.RecordBatch]:
+    """The postings of one bucket of keys: (key, places in order as int32, hashes as uint64), both packed."""
+    for h, k, p in _gather(batches).values():
+        h = h if len(h) else np.zeros(len(k), np.uint64)
         order = np.lexsort((p, k))
         h, k, p = h[order], k[order], p[order]
         first = np.flatnonzero(starts(k))
         off = np.append(first, len(k))
-        yield pa.RecordBatch.from_arrays([pa.array(k[first]), ragged(off, p), ragged(off, h)], list(schema_names))
+        yield pa.RecordBatch.from_arrays([pa.array(k[first]), ragged(off, p), ragged(off, h)], ["key", "p", "h"])
 
 
-def repeated_by_key(postings: DataFrame, parts: int) -> DataFrame:
-    """(key, p, h): for each key, the places and hashes of its postings whose hash occurs twice or more."""
-    return map_arrow(exchange(postings, parts), lambda b: by_key(repeated_postings(b, distinct=False)), "key long, p binary, h binary")
+def repeated_by_key(postings: DataFrame, parts: int, distinct: bool = False, hashes: bool = True) -> DataFrame:
+    """(key, p, h): one row per key, with the places and hashes (else zeros) of its postings whose hash occurs twice or more."""
+    found = map_arrow(exchange(postings, parts), lambda b: _by_bucket(repeated_postings(b, distinct), parts, hashes), SCHEMA)
+    return map_arrow(exchange(found, parts), _by_key, "key long, p binary, h binary")

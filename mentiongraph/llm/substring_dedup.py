@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import postings
-from .common import gram_hashes, id_text, map_arrow, materialize, mix, partitions, ragged, text_groups, word_hashes, word_spans
+from .common import gram_hashes, id_text, map_arrow, materialize, mix, partitions, squeezed, text_groups, uncarried, unsqueezed, word_hashes, word_spans
 
 _FIRST, _SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xE7037ED1A0B428DB)
 
@@ -74,12 +75,9 @@ def _level0(window: int, base: int, parts: int):
     return run
 
 
-def _unpack(places, hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Places in order with their hashes, from the packed arrays that several tasks have sent."""
-    p = np.frombuffer(b"".join(places), np.int32)
-    h = np.frombuffer(b"".join(hashes), np.uint64)
-    order = np.argsort(p, kind="stable")
-    return p[order], h[order]
+def _unpack(places: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order with their hashes."""
+    return np.frombuffer(places, np.int32), np.frombuffer(hashes, np.uint64)
 
 
 def _candidates_from_text(window: int, base: int, parts: int):
@@ -88,8 +86,8 @@ def _candidates_from_text(window: int, base: int, parts: int):
         out = postings.Writer(parts, distinct=False)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            found = list(zip(batch.column("ps").to_pylist(), batch.column("hs").to_pylist()))
-            for first, _, texts in text_groups(batch):
+            found = list(zip(batch.column("p").to_pylist(), batch.column("h").to_pylist()))
+            for first, _, texts in text_groups(batch, "z"):
                 words, off = word_hashes(texts)
                 for i in range(len(texts)):
                     w = words[off[i]:off[i + 1]]
@@ -121,7 +119,7 @@ def _extend(length: int, wanted: int, parts: int):
     def run(batches):
         out = postings.Writer(parts, distinct=False)
         for batch in batches:
-            for key, ps, hs in zip(*(batch.column(c).to_pylist() for c in ("key", "ps", "hs"))):
+            for key, ps, hs in zip(*(batch.column(c).to_pylist() for c in ("key", "p", "h"))):
                 p, h = _unpack(ps, hs)
                 keep = np.ones(len(p), dtype=bool)
                 keep[1:] = p[1:] != p[:-1]
@@ -137,37 +135,34 @@ def _extend(length: int, wanted: int, parts: int):
     return run
 
 
-def _per_document(found: DataFrame) -> DataFrame:
-    """All that was found for one document in one row (bounded by the document's own words)."""
-    return found.groupBy("key").agg(F.collect_list("p").alias("ps"), F.collect_list("h").alias("hs"))
-
-
-def repeated_windows(docs: DataFrame, window: int = 35, base: int | None = None) -> DataFrame:
-    """(doc_id, ps, hs): packed places (word numbers) of the windows of ``window`` words that repeat."""
+def repeated_windows(docs: DataFrame, window: int = 35, base: int | None = None, hashes: bool = False) -> DataFrame:
+    """(doc_id, p, h): packed places (word numbers) and, if asked for, hashes of the windows of ``window`` words that repeat."""
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
     base = base or -(-window // 2)
     docs = id_text(docs).where("doc_id is not null")
     first = postings.repeated_by_key(map_arrow(docs, _level0(window, base, parts), postings.SCHEMA), parts)
-    held = docs.join(_per_document(first).withColumnRenamed("key", "doc_id"), "doc_id").select("doc_id", "text", "ps", "hs")
-    found = postings.repeated_by_key(map_arrow(held, _candidates_from_text(window, base, parts), postings.SCHEMA), parts)
+    held = squeezed(docs).join(first.withColumnRenamed("key", "doc_id"), "doc_id").select("doc_id", "z", "p", "h")
     length = min(2 * base, window)
+    found = postings.repeated_by_key(map_arrow(held, _candidates_from_text(window, base, parts), postings.SCHEMA), parts,
+                                     hashes=hashes or length < window)
     while length < window:
         wanted = min(2 * length, window)
-        found = postings.repeated_by_key(map_arrow(_per_document(found), _extend(length, wanted, parts), postings.SCHEMA), parts)
+        found = postings.repeated_by_key(map_arrow(found, _extend(length, wanted, parts), postings.SCHEMA), parts,
+                                         hashes=hashes or wanted < window)
         length = wanted
-    return _per_document(found).withColumnRenamed("key", "doc_id")
+    return found.withColumnRenamed("key", "doc_id")
 
 
 def longest_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """(doc_id, longest): the longest level (window, 2 window, 4 window ...) at which the document still has a repeated window."""
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
-    found, length, levels = materialize(repeated_windows(docs, window), "repeats"), window, None
+    found, length, levels = materialize(repeated_windows(docs, window, hashes=True), "repeats"), window, None
     while not found.isEmpty():
         level = found.select("doc_id", F.lit(length).cast("long").alias("longest"))
         levels = level if levels is None else levels.unionByName(level)
         grown = postings.repeated_by_key(
             map_arrow(found.withColumnRenamed("doc_id", "key"), _extend(length, 2 * length, parts), postings.SCHEMA), parts)
-        found, length = materialize(_per_document(grown).withColumnRenamed("key", "doc_id"), "repeats"), 2 * length
+        found, length = materialize(grown.withColumnRenamed("key", "doc_id"), "repeats"), 2 * length
     if levels is None:
         return found.select("doc_id", F.lit(0).cast("long").alias("longest")).limit(0)
     return levels.groupBy("doc_id").agg(F.max("longest").alias("longest"))
@@ -185,18 +180,16 @@ def covered(n: int, places: np.ndarray, window: int) -> np.ndarray:
 def _remove(window: int, digest: bool):
     def run(batches):
         for batch in batches:
-            texts, found = batch.column("text").to_pylist(), batch.column("ps").to_pylist()
             counts, gone, out = [], [], []
-            for text, ps in zip(texts, found):
-                raw = text.encode()
+            for raw, ps in zip(unsqueezed(batch), batch.column("p").to_pylist()):
                 if not ps:
                     words = raw.split()
                     counts.append(len(words))
                     gone.append(0)
-                    out.append(hashlib.sha256(b" ".join(words)).hexdigest() if digest else text)
+                    out.append(hashlib.sha256(b" ".join(words)).hexdigest() if digest else raw.decode())
                     continue
                 s, e = word_spans(raw)
-                p = np.unique(np.frombuffer(b"".join(ps), np.int32))
+                p = np.unique(np.frombuffer(ps, np.int32))
                 drop = covered(len(s), p[p + window <= len(s)].astype(np.int64), window)
                 counts.append(len(s))
                 gone.append(int(drop.sum()))
@@ -206,8 +199,9 @@ def _remove(window: int, digest: bool):
                 else:
                     out.append(_cut(raw, s, e, drop))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept"])
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())]
+                + ([] if digest else [batch.column("rest")]),
+                ["doc_id", "n_words", "n_removed"] + (["kept"] if digest else ["text", "rest"]))
 
     return run
 
@@ -222,10 +216,9 @@ def _cut(raw: bytes, s: np.ndarray, e: np.ndarray, drop: np.ndarray) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _result(docs: DataFrame, window: int, digest: bool) -> DataFrame:
-    docs = id_text(docs)
-    joined = docs.join(repeated_windows(docs, window).select("doc_id", "ps"), "doc_id", "left")
-    return map_arrow(joined.select("doc_id", "text", "ps"), _remove(window, digest), "doc_id long, n_words long, n_removed long, kept string")
+def _joined(docs: DataFrame, window: int, rest: bool) -> DataFrame:
+    found = repeated_windows(docs, window).select("doc_id", "p")
+    return squeezed(docs, rest).join(found, "doc_id", "left").select("doc_id", "z", "p", *["rest"] * rest)
 
 
 def removal_digest(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -236,9 +229,14 @@ def removal_digest(docs: DataFrame, window: int = 35) -> DataFrame:
     no part in the search and loses nothing; a repeated row repeats all of its windows; an empty table
     gives an empty result; further columns are not read.
     """
-    return _result(docs, window, True).withColumnRenamed("kept", "kept_sha256")
+    return map_arrow(_joined(docs, window, False), _remove(window, True), "doc_id long, n_words long, n_removed long, kept string") \
+        .withColumnRenamed("kept", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """(doc_id, n_words, n_removed, text): the texts without their repeated passages; same rules."""
-    return _result(docs, window, False).withColumnRenamed("kept", "text")
+    """The rows and columns of ``docs``, texts without their repeated passages (null becomes empty), n_chars
+    following; the rules of :func:`removal_digest`."""
+    rows = _joined(docs, window, True)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+                           T.StructField("text", T.StringType()), rows.schema["rest"]])
+    return uncarried(map_arrow(rows, _remove(window, False), schema), docs)
