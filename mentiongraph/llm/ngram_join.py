@@ -10,10 +10,12 @@ sum over the fragments decides the link. Equal sets form one class first and are
    prefix occurs in another class. Most documents end here.
 2. Candidates. Each remaining class keeps the rarest of its shared prefix n-grams, just as many as
    any link must still meet. Buckets (one per n-gram) with the same members are one bucket.
-3. Rounds. A bucket's pivots meet its other members; a pair already in one component is not formed
-   again. Pivots then leave the bucket and their number doubles, until every bucket is used up or
-   lies within one component. A group of m near copies so costs about m pairs, and no link between
-   components is missed.
+3. Rounds. A bucket's pivot, its member with most in common with others, meets the other members; a
+   pair already in one component is not formed again, nor one that cannot link because too many of
+   its n-grams occur in no other class, or too many bits of one set's 2,048-bit signature are missing
+   in the other's (each stands for an n-gram that is missing too). Pivots then leave the bucket and their number grows eightfold,
+   until every bucket is used up or lies within one component. A group of m near copies so costs
+   about m pairs, and no link between components is missed.
 4. Pairs are joined with both members' fragments, partial overlaps are summed.
 """
 
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +53,21 @@ def set_class(grams: np.ndarray) -> int:
     return name or 1
 
 
+def signature(grams: np.ndarray) -> np.ndarray:
+    """2,048 bits, one for each n-gram's lowest bits, as signed longs."""
+    bits = np.zeros(2048, dtype=np.uint8)
+    bits[(grams & np.uint64(2047)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _bits(a: str, b: str):
+    """Column: how many bits two signatures have in common (one expression, so it is compiled)."""
+    total = F.bit_count(F.get(a, F.lit(0)).bitwiseAND(F.get(b, F.lit(0))))
+    for i in range(1, 32):
+        total = total + F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.get(b, F.lit(i))))
+    return total
+
+
 def extra(n):
     """How many common n-grams the screen asks of the prefix of a set of n."""
     return n // 8 if n >= 16 else 1
@@ -106,15 +123,18 @@ def _fragments(n: int, cuts: int):
             wanted = batch.column("c").to_pylist()
             for first, _, texts in text_groups(batch):
                 words, off = word_hashes([t.lower() for t in texts])
-                cs, fs, arrays, ns = [], [], [], []
+                cs, fs, arrays, ns, signs = [], [], [], [], []
                 for i in range(len(texts)):
                     g = shingle_set(words[off[i]:off[i + 1]], n)
                     c = wanted[first + i]
                     if set_class(g) != c:
                         continue
                     edges = np.searchsorted((g >> np.uint64(32)) * np.uint64(cuts) >> np.uint64(32), np.arange(cuts + 1))
+                    sign = signature(g)
                     for f in range(cuts):
                         if edges[f + 1] > edges[f]:
+                            signs.append(sign)
+                            sign = None  # with the first fragment only
                             cs.append(c)
                             fs.append(f)
                             ns.append(len(g))
@@ -122,7 +142,8 @@ def _fragments(n: int, cuts: int):
                 if cs:
                     off2 = np.cumsum([0] + [len(a) for a in arrays]).astype(np.int32)
                     grams = pa.ListArray.from_arrays(pa.array(off2), pa.array(np.concatenate(arrays)))
-                    yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(fs, pa.int32()), pa.array(ns, pa.int64()), grams], ["c", "f", "n", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(fs, pa.int32()), pa.array(ns, pa.int64()), grams,
+                                                      pa.array(signs, pa.list_(pa.int64()))], ["c", "f", "n", "grams", "sign"])
 
     return run
 
@@ -148,31 +169,60 @@ def _buckets(shared: DataFrame, classes: DataFrame, percent: int, scratch: Scrat
     # buckets with the same members are one
     names = kept.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("c")).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("m > 1")
     once = names.groupBy("m", "x", "lo", "hi").agg(F.min("h").alias("h")).select("h")
-    out = scratch.write("buckets", kept.join(once, "h"))
+    # how common a class's prefix is: the text that near copies were made from comes first
+    weight = live.groupBy("c").agg((F.sum("df") / F.max("n")).alias("weight"))
+    out = scratch.write("buckets", kept.join(once, "h").join(weight, "c").select("h", "c", "n", "weight"))
     scratch.drop("live", "kept")
     return out
 
 
-def _pairs(buckets: DataFrame, round_no: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _shared_sizes(fragments: DataFrame, parts: int) -> DataFrame:
+    """(c, common): how many of a class's n-grams occur in another of the classes left, over its whole set."""
+    def run(batches):
+        out = postings.Writer(parts, distinct=True)
+        for batch in batches:
+            off = batch.column("grams").offsets.to_numpy()
+            h = batch.column("grams").values.to_numpy().view(np.uint64)[off[0]:off[-1]]
+            k = np.repeat(batch.column("c").to_numpy(), np.diff(off))
+            out.add(h, k, np.zeros(len(h), np.int32))
+            if out.full():
+                yield from out.flush()
+        yield from out.flush()
+
+    found = postings.repeated_by_key(map_arrow(fragments.select("c", "grams"), run, postings.SCHEMA), parts, distinct=True, hashes=False)
+    return found.select(F.col("key").alias("c"), (F.length("p") / 4).cast("long").alias("common"))
+
+
+def _pairs(buckets: DataFrame, signs: DataFrame, round_no: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of this round's pivots with the other members of another component, and the buckets without the pivots."""
     order = F.xxhash64("c")
-    top = buckets.groupBy("h").agg(F.min(F.struct(order.alias("o"), F.col("c").alias("c"), F.col("n"), F.col("comp"))).alias("first"),
+    top = buckets.groupBy("h").agg(F.max(F.struct("weight", order.alias("o"), "c", "n", "common", "comp")).alias("first"),
                                    F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("m > 1 and x <> y")
     live = buckets.join(top.select("h", "first", "m"), "h")
-    size_ok = F.greatest("n", "pn") * percent <= F.least("n", "pn") * 100
+    most = F.least("common", "pcommon")
+
+    def may_link(common):
+        return common * 100 >= (F.col("n") + F.col("pn") - common) * percent
+
+    possible = (F.col("c") != F.col("p")) & (F.col("comp") != F.col("pcomp")) & may_link(most)
+    own = ["h", "c", "n", "common", "comp"]
     if round_no < 2:
-        met = live.select("h", "c", "n", "comp", F.col("first.c").alias("p"), F.col("first.n").alias("pn"), F.col("first.comp").alias("pcomp")) \
-            .where((F.col("c") != F.col("p")) & (F.col("comp") != F.col("pcomp")) & size_ok)
+        met = live.select(*own, *(F.col(f"first.{x}").alias(f"p{x}" if x != "c" else "p") for x in ("c", "n", "common", "comp")))
         rest = live.where("c <> first.c")
     else:
-        share = F.least(F.lit(1.0), F.lit(2.0**round_no) / F.col("m"))
+        share = F.least(F.lit(1.0), F.lit(8.0 ** (round_no - 1)) / F.col("m"))
         chosen = ((order.cast("double") / 2.0**64 + 0.5) <= share) | (F.col("c") == F.col("first.c"))
-        pivots = live.where(chosen).select("h", F.col("c").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
-        met = live.select("h", "c", "n", "comp").join(pivots, "h") \
-            .where((F.col("c") != F.col("p")) & (F.col("comp") != F.col("pcomp")) & size_ok)
+        pivots = live.where(chosen).select("h", *(F.col(x).alias(f"p{x}" if x != "c" else "p") for x in ("c", "n", "common", "comp")))
+        met = live.select(*own).join(pivots, "h")
         rest = live.where(~chosen)
-    pairs = met.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
-    return pairs, rest.select("h", "c", "n")
+    pairs = met.where(possible).select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
+    if round_no >= 2:
+        a = signs.select(F.col("c").alias("a"), F.col("n"), F.col("sign"), F.col("bits"))
+        b = signs.select(F.col("c").alias("b"), F.col("n").alias("pn"), F.col("sign").alias("psign"), F.col("bits").alias("pbits"))
+        both = _bits("sign", "psign")
+        pairs = pairs.join(a, "a").join(b, "b").where(
+            may_link(F.least(F.col("n") - F.col("bits") + both, F.col("pn") - F.col("pbits") + both))).select("a", "b")
+    return pairs, rest.select("h", "c", "n", "common", "weight")
 
 
 def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
@@ -207,15 +257,19 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, all_pairs: bool
 
     wanted = buckets.select("c").distinct().join(classes.select("c", F.col("first").alias("doc_id")), "c")
     texts = docs.join(wanted, "doc_id").select("c", "text")
-    cut = map_arrow(texts, _fragments(n, cuts), "c long, f int, n long, grams array<bigint>").dropDuplicates(["c", "f"])
+    cut = map_arrow(texts, _fragments(n, cuts), "c long, f int, n long, grams array<bigint>, sign array<bigint>").dropDuplicates(["c", "f"])
     fragments = scratch.write("fragments", cut)
+    shared = _shared_sizes(fragments, parts)
+    buckets = scratch.write("buckets", buckets.join(shared, "c").where(F.col("common") * 100 >= F.col("n") * percent)
+                            .select("h", "c", "n", "common", "weight"))
 
+    signs = fragments.where("sign is not null").select("c", "n", "sign", _bits("sign", "sign").alias("bits"))
     links = spark.createDataFrame([], T.StructType([T.StructField(x, T.LongType()) for x in ("a", "b", "common", "na", "nb")]))
     labels, round_no = None, 0
     while not buckets.isEmpty():
         comp = F.col("c") if labels is None or all_pairs else F.coalesce("label", "c")
         marked = buckets if labels is None or all_pairs else buckets.join(labels.withColumnRenamed("node", "c"), "c", "left")
-        pairs, rest = _pairs(marked.select("h", "c", "n", comp.alias("comp")), round_no, percent)
+        pairs, rest = _pairs(marked.select("h", "c", "n", "common", "weight", comp.alias("comp")), signs, round_no, percent)
         pairs, rest = scratch.write("pairs", pairs), scratch.write(f"buckets-{round_no % 2}", rest)
         new = scratch.write(f"new-{round_no}", _linked(pairs, fragments, percent))
         if not new.isEmpty():
@@ -248,5 +302,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     Repeated rows of a kept document are further copies: one of them stays.
     """
     kept = near_duplicates(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id").dropDuplicates(["doc_id"])
-    return first.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = docs.join(kept, "doc_id").select(docs.columns)
+    again = Window.partitionBy("doc_id").orderBy("text")
+    numbered = rows.select(F.struct(*docs.columns).alias("row"), F.row_number().over(again).alias("nth"))
+    return numbered.where("nth = 1").select("row.*").unionByName(docs.where("doc_id is null"))
