@@ -441,7 +441,7 @@ WHERE contains(lower(trim(split_part(text, chr(10), 1))), 'en')
    OR contains(lower(trim(split_part(text, chr(10), 1))), 'ou')
    OR contains(lower(trim(split_part(text, chr(10), 1))), 'thè')""")
 def q_headline_filter(spark, sf_dir):
-    return it.headline_filter(_rss(spark, sf_dir), it.parse_term_list("EN, Ou ,,thè")).select("id", "title")
+    return it.headline_filter(_rss(spark, sf_dir), it.term_list(F.lit("EN, Ou ,,thè"))).select("id", "title")
 
 
 @register("topic_match", f"""
