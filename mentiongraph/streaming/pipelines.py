@@ -46,7 +46,7 @@ def enrich(articles: DataFrame, headline_terms: list[str] | None = None) -> Data
     """ST1 body: headline gate (F3), sentences, mentions, sentence scores, pairs, assembled per
     article (P15) -> ENRICHED shape."""
     a = articles.withColumn("title", F.element_at("raw_metadata", F.lit("title")))
-    a = it.headline_filter(a, headline_terms or [])
+    a = it.headline_filter(a, F.array(*map(F.lit, headline_terms or [])).cast("array<string>"))
     docs = a.select(F.col("id").alias("doc_id"), F.col("content").alias("text"))
     sents = tx.sentences(docs)
     ments = tx.mentions(sents)
