@@ -3,8 +3,13 @@
 Both models are bigram models over one vocabulary (the ``vocabulary`` most frequent words of the whole
 table, one class for all others) with the same smoothing: ``weight`` of the bigram estimate plus the
 rest of the add-``alpha`` unigram estimate. The target model counts the target documents, the background
-model all others; every count is over all documents. Bigram counts live in ``2**slot_bits`` hashed
-slots, so the two models that scoring needs on every worker have a fixed size, given by the parameters.
+model all others: counts of all documents less those of the target. Bigram counts live in
+``2**slot_bits`` hashed slots, so the two models that scoring needs on every worker have a fixed size,
+given by the parameters.
+
+All documents are counted where they are read; texts are shuffled once, to be met by the target's ids
+(as many as there are documents, so never broadcast). A task sends its counts as compressed runs of
+slots, and each of ``RANGES`` slot ranges is summed by its own task.
 A document's score is the mean over its tokens of the target's loss minus the background's loss (nats);
 low means like the target.
 """
@@ -15,14 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, map_arrow, mix, partitions, text_groups, word_hashes
 
 FLUSH_WORDS = 3_000_000
-RANGES = 16
-SCHEMA = "model int, part int, slots binary, counts binary"
+RANGES = 1024
+SCHEMA = "part int, slots binary, counts binary"
 
 
 @dataclass
@@ -76,56 +82,80 @@ def shared_vocabulary(docs: DataFrame, vocabulary: int, slot_bits: int) -> Shape
     return Shape(np.sort(np.array([r.h for r in top], dtype=np.int64).view(np.uint64)), slot_bits)
 
 
+def _edges(length: int) -> np.ndarray:
+    """First index of each slot range, and the end of the last."""
+    return np.arange(RANGES + 1) * length // RANGES
+
+
+def _packed(part: list[int], slots: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of (range, steps between used slots, their counts), zstd."""
+    z = zstandard.ZstdCompressor(level=1)
+    steps = (np.diff(s, prepend=0).astype(np.int32) for s in slots)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part, pa.int32()), pa.array([z.compress(s.tobytes()) for s in steps], pa.binary()),
+         pa.array([z.compress(c.astype(np.int64).tobytes()) for c in counts], pa.binary())], ["part", "slots", "counts"])
+
+
+def _unpacked(slots: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    z = zstandard.ZstdDecompressor()
+    return np.cumsum(np.frombuffer(z.decompress(slots), np.int32).astype(np.int64)), np.frombuffer(z.decompress(counts), np.int64)
+
+
 def _model_counts(shape: Shape):
-    """One model's counts of a task: bigram slots, then unigrams, then contexts, in one index space."""
+    """A task's counts: bigram slots, then unigrams, then contexts, in one index space."""
     slots, size = 1 << shape.slot_bits, shape.size
     length = slots + size + size + 1
 
     def run(batches):
-        total: dict[int, np.ndarray] = {}
+        total = np.zeros(length, dtype=np.int64)
         for batch in batches:
-            target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-            for first, end, texts in text_groups(batch):
+            for _, _, texts in text_groups(batch):
                 words, off = word_hashes([t.lower() for t in texts])
-                if not len(words):
-                    continue
-                ids = shape.ids(words)
-                context, slot = shape.bigrams(ids, off)
-                side = np.repeat(target[first:end], np.diff(off))
-                for model in (0, 1):
-                    m = side if model else ~side
-                    if m.any():
-                        t = total.setdefault(model, np.zeros(length, dtype=np.int64))
-                        t += np.bincount(np.concatenate([slot[m], slots + ids[m], slots + size + context[m]]), minlength=length)
-        for model, t in total.items():
-            used = np.flatnonzero(t)
-            part = used * RANGES // length
-            for p in range(RANGES):
-                s = used[part == p]
-                if len(s):
-                    yield pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([p], pa.int32()), pa.array([s.astype(np.int32).tobytes()], pa.binary()),
-                                                      pa.array([t[s].tobytes()], pa.binary())], ["model", "part", "slots", "counts"])
+                if len(words):
+                    ids = shape.ids(words)
+                    context, slot = shape.bigrams(ids, off)
+                    total += np.bincount(np.concatenate([slot, slots + ids, slots + size + context]), minlength=length)
+        used = np.flatnonzero(total)
+        if len(used):
+            cuts = np.searchsorted(used, _edges(length))
+            held = [p for p in range(RANGES) if cuts[p] < cuts[p + 1]]
+            runs = [used[cuts[p]:cuts[p + 1]] for p in held]
+            yield _packed(held, runs, [total[r] for r in runs])
 
     return run
 
 
 def _sum_ranges(length: int):
+    edges = _edges(length)
+
     def run(batches):
-        total: dict[tuple[int, int], np.ndarray] = {}
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for model, part, s, c in zip(*(batch.column(x).to_pylist() for x in ("model", "part", "slots", "counts"))):
-                lo = -(-part * length // RANGES)
-                t = total.setdefault((model, part), np.zeros(length // RANGES + 2, dtype=np.int64))
-                np.add.at(t, np.frombuffer(s, np.int32) - lo, np.frombuffer(c, np.int64))
-        for (model, part), t in total.items():
-            used = np.flatnonzero(t)
-            lo = -(-part * length // RANGES)
-            yield pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([part], pa.int32()), pa.array([(used + lo).astype(np.int32).tobytes()], pa.binary()),
-                                              pa.array([t[used].tobytes()], pa.binary())], ["model", "part", "slots", "counts"])
+            for part, s, c in zip(*(batch.column(x).to_pylist() for x in ("part", "slots", "counts"))):
+                t = total.setdefault(part, np.zeros(edges[part + 1] - edges[part], dtype=np.int64))
+                slots, counts = _unpacked(s, c)
+                t[slots - edges[part]] += counts
+        if total:
+            used = {part: np.flatnonzero(t) for part, t in total.items()}
+            yield _packed(list(total), [used[part] + edges[part] for part in total], [t[used[part]] for part, t in total.items()])
 
     return run
 
 
+def _count(texts: DataFrame, shape: Shape) -> np.ndarray:
+    """Counts of all rows of (text); ``length`` numbers reach the driver, whatever the table's size."""
+    spark = texts.sparkSession
+    length = (1 << shape.slot_bits) + 2 * shape.size + 1
+    shared = spark.sparkContext.broadcast(shape)
+    partial = map_arrow(texts, lambda b: _model_counts(shared.value)(b), SCHEMA)
+    summed = map_arrow(partial.repartition(partitions(spark), "part"), _sum_ranges(length), SCHEMA)
+    total = np.zeros(length, dtype=np.int64)
+    for r in summed.collect():  # RANGES rows
+        slots, counts = _unpacked(r.slots, r.counts)
+        total[slots] = counts
+    return total
+
+
 @dataclass
 class Models:
     shape: Shape
@@ -147,19 +177,14 @@ class Models:
         return out
 
 
-def train(docs: DataFrame, vocabulary: int = 65536, slot_bits: int = 20, weight: float = 0.6, alpha: float = 0.5) -> Models:
-    """Models of (text, target) rows: target true counts for the target model, all else for the background."""
-    spark = docs.sparkSession
+def train(docs: DataFrame, target: DataFrame, vocabulary: int = 65536, slot_bits: int = 20, weight: float = 0.6, alpha: float = 0.5) -> Models:
+    """Models of (doc_id, text) rows: rows with an id of ``target`` (doc_id, distinct) for the target, all else for the background."""
     shape = shared_vocabulary(docs, vocabulary, slot_bits)
     slots, size = 1 << slot_bits, shape.size
-    length = slots + 2 * size + 1
-    shared = spark.sparkContext.broadcast(shape)
-    partial = map_arrow(docs.select("text", "target"), lambda b: _model_counts(shared.value)(b), SCHEMA)
-    # one row per task, model and range meets its like; a range's sum has length / RANGES entries
-    summed = map_arrow(partial.repartition(partitions(spark), "model", "part"), _sum_ranges(length), SCHEMA)
-    total = np.zeros((2, length), dtype=np.int64)
-    for r in summed.collect():  # at most two models of ``length`` counts
-        total[r.model, np.frombuffer(r.slots, np.int32)] = np.frombuffer(r.counts, np.int64)
+    # shuffled at every size: texts are streamed past the ids of their partition, unsorted
+    chosen = docs.join(target.hint("shuffle_hash"), "doc_id", "left_semi").select("text")
+    wanted = _count(chosen, shape)
+    total = np.stack([_count(docs.select("text"), shape) - wanted, wanted])
     words = total[:, slots:slots + size] + alpha
     return Models(shape, total[:, :slots].astype(np.float32), words / words.sum(axis=1, keepdims=True), total[:, slots + size:].astype(np.float64), weight)
 
@@ -173,9 +198,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, **parameters) -
     result; further columns are not read.
     """
     docs = id_text(docs)
-    chosen = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    marked = docs.join(chosen, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(marked, **parameters))
+    chosen = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, chosen, **parameters))
 
     def run(batches):
         models = shared.value

@@ -160,6 +160,35 @@ def test_secret_scan(docs, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def _loss(words, counts, contexts, unigrams, size):
+    total, before = 0.0, None
+    for w in words:
+        uni = (unigrams[w] + 0.5) / (sum(unigrams.values()) + 0.5 * size)
+        seen = contexts[before]
+        share = 0.6 if seen else 0.0
+        total -= np.log(share * counts[before, w] / max(seen, 1) + (1 - share) * uni)
+        before = w
+    return total / len(words)
+
+
+@pytest.mark.parametrize("target", [{70}, {28, 42, 63}, set()])
+def test_lm_scores_equal_brute_force(spark, docs, target):
+    models = [[collections.Counter() for _ in range(3)] for _ in range(2)]
+    split = [(i, WORD.findall(x.lower())) for i, x in texts()]
+    for i, words in split:
+        counts, contexts, unigrams = models[i in target]
+        for before, w in zip([None, *words], words):
+            counts[before, w] += 1
+            contexts[before] += 1
+            unigrams[w] += 1
+    size = len({w for _, words in split for w in words}) + 1
+    got = lm_scoring.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in target] + [(None,)], "doc_id long"), slot_bits=26)
+    for r in got.where("doc_id is not null and n_tokens > 0").collect():
+        words = next(w for i, w in split if i == r.doc_id)
+        background, wanted = (_loss(words, *m, size) for m in models)
+        assert r.n_tokens == len(words) and abs(r.ce_target - wanted) < 1e-4 and abs(r.ce_background - background) < 1e-4
+
+
 def test_lm_scores(docs, empty):
     got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs, docs.where("doc_id = 70"), vocabulary=100, slot_bits=10).collect()}
     assert got[0].ce_difference is None and got[70].ce_difference < 0
