@@ -11,22 +11,26 @@ Two building blocks:
 
 ``ewma_scan``  every-step value of x <- a*x + (1-a)*v with x <- v on the first step, i.e.
     x_k = sum_j c_j v_j a^(k-j) with c_1 = 1 and c_j = 1-a otherwise. Positions are cut into
-    blocks of ``BLOCK`` rows; the in-block part is a running sum with the exponent trick (bounded
-    by a^-(BLOCK-1)), and the carry into a block is a weighted sum of the previous ``CARRY_BLOCKS``
-    block summaries, formed by an equi-join / group-by on (key, block) rather than by a window
-    over all blocks of a key. a^(BLOCK*CARRY_BLOCKS) is below 1e-22 for a = 0.95, so dropping
-    older blocks changes nothing at double precision.
+    blocks of at most ``BLOCK`` rows; the in-block part is a running sum with the exponent trick
+    (the block is shortened where a^-(rows-1) would overflow). The carry into a block sums all
+    earlier block summaries that count at double precision: while those are at most ``NEAR`` blocks,
+    by an exploded equi-join on (key, block); for slower decay, groups of ``NEAR`` blocks are folded
+    in an array and the groups carry into each other the same way. How far back that reaches
+    follows from alpha alone, so no alpha loses history and no window runs over all blocks of a key.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 64
-CARRY_BLOCKS = 16
+NEAR = 64
+NEGLIGIBLE = 1e-18  # below the last bit of a double
+LARGEST_POWER = 1e100
 
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
@@ -47,8 +51,12 @@ def keyed_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     per_bucket = tmp.groupBy(*keys, *bucket).agg(F.sum("_rs_v").alias("_rs_bt"))
     wb = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*bucket) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.withColumn("_rs_off", F.coalesce(F.sum("_rs_bt").over(wb), F.lit(0))).drop("_rs_bt")
-    joined = tmp.join(offsets, keys + bucket)
+    at = keys + bucket
+    offsets = per_bucket.select(*[F.col(c).alias(f"_rs_k{i}") for i, c in enumerate(at)],
+                                F.coalesce(F.sum("_rs_bt").over(wb), F.lit(0)).alias("_rs_off"))
+    # null-safe: rows with a null time or key keep their place (nulls first)
+    same = [F.col(c).eqNullSafe(F.col(f"_rs_k{i}")) for i, c in enumerate(at)]
+    joined = tmp.join(offsets, same).drop(*[f"_rs_k{i}" for i in range(len(at))])
     wi = Window.partitionBy(*keys, *bucket).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn(out, F.col("_rs_off") + F.sum("_rs_v").over(wi)).drop("_rs_v", "_rs_off")
 
@@ -59,6 +67,41 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
     return res.withColumn(out, F.col(out).cast("long"))
 
 
+def _reach(q: float) -> int:
+    """How many blocks back a carry still counts when one block weakens it by ``q``."""
+    return 1 if q < NEGLIGIBLE else math.ceil(math.log(NEGLIGIBLE) / math.log(q))
+
+
+def _carry(blocks: DataFrame, keys: list[str], n: int, log_q: float) -> DataFrame:
+    """(keys, _ew_blk, _ew_C0..): C_t = sum over d >= 1 of B_(t-d) q^(d-1), for dense block numbers."""
+    q = math.exp(log_q)
+    if _reach(q) <= NEAR:
+        near = blocks.select(*keys, "_ew_blk", *[f"_ew_B{i}" for i in range(n)],
+                             F.explode(F.sequence(F.lit(1), F.lit(_reach(q)))).alias("_ew_d"))
+        weight = F.pow(F.lit(q), F.col("_ew_d") - 1)
+        return (near.select(*keys, (F.col("_ew_blk") + F.col("_ew_d")).alias("_ew_blk"),
+                            *[(F.col(f"_ew_B{i}") * weight).alias(f"_ew_c{i}") for i in range(n)])
+                .groupBy(*keys, "_ew_blk").agg(*[F.sum(f"_ew_c{i}").alias(f"_ew_C{i}") for i in range(n)]))
+    row = F.struct((F.col("_ew_blk") % NEAR).cast("int").alias("i"), *[F.col(f"_ew_B{i}").alias(f"b{i}") for i in range(n)])
+    groups = (blocks.withColumn("_ew_grp", F.floor(F.col("_ew_blk") / NEAR).cast("long"))
+              .groupBy(*keys, "_ew_grp").agg(F.array_sort(F.collect_list(row)).alias("_ew_rows")))  # at most NEAR rows
+
+    def folded(rows: Column, upto: Column | int, i: int) -> Column:
+        return F.aggregate(F.filter(rows, lambda x: x["i"] < upto), F.lit(0.0),
+                           lambda acc, x: acc + x[f"b{i}"] * F.pow(F.lit(q), upto - 1 - x["i"]))
+
+    whole = groups.select(*keys, F.col("_ew_grp").alias("_ew_blk"),
+                          *[folded(F.col("_ew_rows"), F.lit(NEAR), i).alias(f"_ew_B{i}") for i in range(n)])
+    far = _carry(whole, keys, n, log_q * NEAR).withColumnRenamed("_ew_blk", "_ew_grp")
+    own = groups.select(*keys, "_ew_grp", "_ew_rows", F.explode("_ew_rows").alias("_ew_row")).select(
+        *keys, "_ew_grp", F.col("_ew_row.i").alias("_ew_i"),
+        *[folded(F.col("_ew_rows"), F.col("_ew_row.i"), i).alias(f"_ew_P{i}") for i in range(n)])
+    return own.join(far, keys + ["_ew_grp"], "left").select(
+        *keys, (F.col("_ew_grp") * NEAR + F.col("_ew_i")).alias("_ew_blk"),
+        *[(F.col(f"_ew_P{i}") + F.pow(F.lit(q), F.col("_ew_i")) * F.coalesce(f"_ew_C{i}", F.lit(0.0))).alias(f"_ew_C{i}")
+          for i in range(n)])
+
+
 def ewma_scan(df: DataFrame, keys: Sequence[str], pos: str, values: Sequence[tuple], alpha: float = 0.05) -> DataFrame:
     """Every-step EWMA values per key given a dense 1-based position column ``pos``.
 
@@ -68,14 +111,18 @@ def ewma_scan(df: DataFrame, keys: Sequence[str], pos: str, values: Sequence[tup
     Several values of the same key order share one set of shuffles.
     """
     keys = list(keys)
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha lies above 0 and is at most 1")
     a = 1.0 - alpha
+    log_a = math.log1p(-alpha) if alpha < 1 else -math.inf
+    block = max(1, min(BLOCK, 1 + int(math.log(LARGEST_POWER) / -log_a)))
     k0 = F.col(pos) - 1
     specs = [(v[0], v[1], v[2] if len(v) > 2 else None) for v in values]
-    base = df.withColumn("_ew_blk", F.floor(k0 / BLOCK).cast("long")).withColumn("_ew_off", (k0 % BLOCK).cast("int"))
+    base = df.withColumn("_ew_blk", F.floor(k0 / block).cast("long")).withColumn("_ew_off", (k0 % block).cast("int"))
     for i, (val, _out, prior) in enumerate(specs):
         first = F.lit(1.0) if prior is None else F.when(F.col(prior).isNull(), F.lit(1.0)).otherwise(F.lit(alpha))
         base = base.withColumn(f"_ew_b{i}", F.when(F.col(pos) == 1, first).otherwise(F.lit(alpha)) * F.col(val))
-    # in-block running part: a^off * sum_{j<=k in block} b_j a^-off_j   (a^-off <= a^-(BLOCK-1))
+    # in-block running part: a^off * sum_{j<=k in block} b_j a^-off_j
     w = Window.partitionBy(*keys, "_ew_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     for i in range(len(specs)):
         base = base.withColumn(
@@ -83,17 +130,9 @@ def ewma_scan(df: DataFrame, keys: Sequence[str], pos: str, values: Sequence[tup
             F.pow(F.lit(a), F.col("_ew_off")) * F.sum(F.col(f"_ew_b{i}") * F.pow(F.lit(a), -F.col("_ew_off"))).over(w))
     # block summaries as if each block were full: value at the block end from in-block terms only
     summaries = base.groupBy(*keys, "_ew_blk").agg(*[
-        F.sum(F.col(f"_ew_b{i}") * F.pow(F.lit(a), F.lit(BLOCK - 1) - F.col("_ew_off"))).alias(f"_ew_B{i}")
+        F.sum(F.col(f"_ew_b{i}") * F.pow(F.lit(a), F.lit(block - 1) - F.col("_ew_off"))).alias(f"_ew_B{i}")
         for i in range(len(specs))])
-    # carry into block t = sum_{d=1..CARRY_BLOCKS} B_{t-d} * a^(BLOCK*(d-1)): an exploded equi-join
-    # on (key, block), not a window over all blocks of a key
-    ds = F.sequence(F.lit(1), F.lit(CARRY_BLOCKS))
-    exploded = summaries.select(*keys, "_ew_blk", *[f"_ew_B{i}" for i in range(len(specs))],
-                                F.explode(ds).alias("_ew_d"))
-    wt = F.pow(F.lit(a), F.lit(BLOCK) * (F.col("_ew_d") - 1))
-    carry = (exploded.select(*keys, (F.col("_ew_blk") + F.col("_ew_d")).alias("_ew_blk"),
-                             *[(F.col(f"_ew_B{i}") * wt).alias(f"_ew_c{i}") for i in range(len(specs))])
-             .groupBy(*keys, "_ew_blk").agg(*[F.sum(f"_ew_c{i}").alias(f"_ew_C{i}") for i in range(len(specs))]))
+    carry = _carry(summaries, keys, len(specs), log_a * block)
     res = base.join(carry, keys + ["_ew_blk"], "left")
     drop = ["_ew_blk", "_ew_off"]
     for i, (_val, out, prior) in enumerate(specs):
@@ -103,8 +142,3 @@ def ewma_scan(df: DataFrame, keys: Sequence[str], pos: str, values: Sequence[tup
         res = res.withColumn(out, col)
         drop += [f"_ew_b{i}", f"_ew_l{i}", f"_ew_C{i}"]
     return res.drop(*drop)
-
-
-def global_bucket(ts: str, key: str, width: int = 1 << 20) -> list[Column]:
-    """Order-preserving bucket columns for an order (ts, key): the day and a range of the key."""
-    return [F.date_trunc("day", F.col(ts)).alias("_gb_day"), F.floor(F.col(key) / F.lit(width)).alias("_gb_rng")]

@@ -26,7 +26,7 @@ from .intake import MIN_CONTENT_LENGTH, strip_ws
 
 # Fixed values.
 PIECE_PATTERN = r"[^.!?]*[.!?]+|[^.!?]+\z"
-CAPITALISED_TOKEN = r"[A-Z][a-z]+"
+CAPITALISED_TOKEN = r"\p{Lu}\p{Ll}+"
 CHUNK_SENTENCES = 8
 CHUNK_OVERLAP = 2
 SENTIMENT_MAX_CHARS = 512
@@ -81,7 +81,7 @@ def _count_in(tokens: Column, words: list[str]) -> Column:
 def sentence_scores(ments: DataFrame, sents: DataFrame, key: str = "doc_id") -> DataFrame:
     """One score per distinct sentence that has a mention -> (key, sent_idx, label, confidence, signed_score)."""
     todo = ments.select(key, "sent_idx").distinct().join(sents.select(key, "sent_idx", "sentence"), [key, "sent_idx"])
-    toks = F.regexp_extract_all(F.lower(F.substring("sentence", 1, SENTIMENT_MAX_CHARS)), F.lit("[a-z]+"), 0)
+    toks = F.regexp_extract_all(F.lower(F.substring("sentence", 1, SENTIMENT_MAX_CHARS)), F.lit(r"\p{L}+"), 0)
     scored = (todo.withColumn("_p", _count_in(toks, POSITIVE_WORDS)).withColumn("_n", _count_in(toks, NEGATIVE_WORDS)))
     label = (F.when(F.col("_p") > F.col("_n"), F.lit("POSITIVE")).when(F.col("_n") > F.col("_p"), F.lit("NEGATIVE"))
              .otherwise(F.lit("NEUTRAL")))

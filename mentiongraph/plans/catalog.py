@@ -552,7 +552,7 @@ def _lex(words):
 
 
 @register("sentence_sentiment", f"""WITH {SENT_SQL}, {MENT_SQL},
-sc AS (SELECT s.doc_id, s.sent_idx, regexp_extract_all(lower(left(s.sentence, 512)), '[a-z]+') AS toks
+sc AS (SELECT s.doc_id, s.sent_idx, regexp_extract_all(lower(left(s.sentence, 512)), '\\p{{L}}+') AS toks
        FROM sents s WHERE (s.doc_id, s.sent_idx) IN (SELECT doc_id, sent_idx FROM ments)),
 pn AS (SELECT doc_id, sent_idx, len(list_filter(toks, lambda t: list_contains({_lex(tx.POSITIVE_WORDS)}, t))) AS p,
               len(list_filter(toks, lambda t: list_contains({_lex(tx.NEGATIVE_WORDS)}, t))) AS n FROM sc),

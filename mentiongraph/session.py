@@ -63,6 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("name a shared folder in spark.checkpoint.dir: executors do not share the driver's disk")
         configured = os.environ.get("MENTIONGRAPH_CHECKPOINT_DIR") or "/tmp/mentiongraph-checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

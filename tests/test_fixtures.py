@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from mentiongraph.functions.scan import ewma_scan, positions
@@ -198,3 +199,29 @@ def test_communities_two_triangles(spark):
     assert got["A"] == got["B"] == got["C"] and got["D"] == got["E"] == got["F"] and got["A"] != got["D"]
     assert sorted(set(got.values())) == list(range(len(set(got.values()))))  # dense ids
     assert got["G"] not in (got["A"], got["D"])  # isolated node keeps its own community
+
+
+@pytest.mark.parametrize("alpha", [0.001, 0.05, 0.3, 0.999999, 1.0])
+def test_ewma_scan_keeps_all_history_at_any_alpha(spark, alpha):
+    n = 9000
+    value = [1.0 if k == 1 else ((k * 37) % 11 - 5) / 5.0 * (k > 6000) for k in range(1, n + 1)]
+    rows = spark.createDataFrame([("hot", k, v) for k, v in enumerate(value, 1)] + [("one", 1, 0.5)], "key string, k long, v double")
+    got = {r.k: r.x for r in ewma_scan(rows, ["key"], "k", [("v", "x")], alpha=alpha).where("key = 'hot'").collect()}
+    x = value[0]
+    for k, v in enumerate(value, 1):
+        x = x if k == 1 else (1 - alpha) * x + alpha * v
+        assert abs(got[k] - x) < 1e-9
+    assert len(got) == n
+
+
+def test_positions_keep_rows_with_null_buckets(spark):
+    rows = spark.createDataFrame([("a", None, 1), ("a", 1, 2), ("a", 2, 3), (None, 1, 4)], "key string, day int, n int")
+    got = {r.n: r.k for r in positions(rows, ["key"], ["day", "n"], ["day"], "k").collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 1}
+
+
+def test_capitalised_names_keep_their_accents(spark):
+    from mentiongraph.operators import text
+
+    sents = spark.createDataFrame([(1, 0, "Die Zürich École met Garçon in München")], "doc_id long, sent_idx int, sentence string")
+    assert [r.entity for r in text.mentions(sents).collect()] == ["Die", "Zürich", "École", "Garçon", "München"]
