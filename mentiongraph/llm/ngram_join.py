@@ -8,11 +8,13 @@ sum over the fragments decides the link. Equal sets form one class first and are
    in the order overlap: of the first ``size - ceil(t size) + extra`` at least ``extra`` are common.
    Only these are counted (:mod:`postings`, by fragment), and a class stays only if enough of its
    prefix occurs in another class. Most documents end here.
-2. Candidates. Each remaining class keeps the rarest of its shared prefix n-grams, just as many as
-   any link must still meet. Buckets (one per n-gram) with the same members are one bucket.
+2. Candidates. Of each remaining class, the n-grams of its whole set that others of these classes hold
+   are put in order of how many hold them. A link may do without all but ceil(t * size), so its
+   partners meet in one of the rarest ``shared - ceil(t * size) + 1``. Buckets (one per n-gram) with
+   the same members are one bucket.
 3. Rounds. A bucket's pivot, its member with most in common with others, meets the other members; a
-   pair already in one component is not formed again, nor one that cannot link because too many of
-   its n-grams occur in no other class, or too many bits of one set's 2,048-bit signature are missing
+   pair already in one component is not formed again, nor one that cannot link because too few of its
+   shared n-grams are left from the bucket's own on, or too many bits of one set's 2,048-bit signature are missing
    in the other's (each stands for an n-gram that is missing too). Pivots then leave the bucket and their number grows eightfold,
    until every bucket is used up or lies within one component. A group of m near copies so costs
    about m pairs, and no link between components is missed.
@@ -154,65 +156,93 @@ def _needed(size: str, percent: int):
     return F.when(smallest >= 16, F.floor(smallest / 8)).otherwise(F.lit(1)).cast("long")
 
 
-def _buckets(shared: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(h, c, n): for each shared prefix n-gram that must be looked at, the classes that hold it."""
-    held = shared.groupBy("c").agg(F.count("*").alias("held")).join(classes.select("c", "n"), "c") \
-        .where(F.col("held") >= _needed("n", percent))
+def _survivors(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(c, doc_id): classes with as many shared prefix n-grams as a link asks, first in all, then with the classes that are left."""
+    enough = F.col("held") >= _needed("n", percent)
+    held = shared.groupBy("c").agg(F.count("*").alias("held")).join(classes.select("c", "n"), "c").where(enough)
     live = shared.join(held.select("c", "n"), "c")
-    often = live.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    live = scratch.write("live", live.join(often, "h"))
-    # again with the classes that are left, then the rarest that any link still has to meet
-    held = live.groupBy("c").agg(F.count("*").alias("held"), F.max("n").alias("n")).where(F.col("held") >= _needed("n", percent))
-    ranked = live.join(held.select("c", "held"), "c").withColumn(
-        "at", F.expr("row_number() over (partition by c order by df, h)"))
-    kept = scratch.write("kept", ranked.where(F.col("at") <= F.col("held") - _needed("n", percent) + 1).select("h", "c", "n"))
-    # buckets with the same members are one
-    names = kept.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("c")).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("m > 1")
-    once = names.groupBy("m", "x", "lo", "hi").agg(F.min("h").alias("h")).select("h")
-    # how common a class's prefix is: the text that near copies were made from comes first
-    weight = live.groupBy("c").agg((F.sum("df") / F.max("n")).alias("weight"))
-    out = scratch.write("buckets", kept.join(once, "h").join(weight, "c").select("h", "c", "n", "weight"))
-    scratch.drop("live", "kept")
-    return out
+    often = live.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")
+    left = live.join(often, "h").groupBy("c").agg(F.count("*").alias("held"), F.max("n").alias("n")).where(enough).select("c")
+    return left.join(classes.select("c", F.col("first").alias("doc_id")), "c")
 
 
-def _shared_sizes(fragments: DataFrame, parts: int) -> DataFrame:
-    """(c, common): how many of a class's n-grams occur in another of the classes left, over its whole set."""
+def _set_postings(parts: int):
+    """Every n-gram of every set, and one row for each set with its size as a negative place."""
     def run(batches):
         out = postings.Writer(parts, distinct=True)
         for batch in batches:
             off = batch.column("grams").offsets.to_numpy()
-            h = batch.column("grams").values.to_numpy().view(np.uint64)[off[0]:off[-1]]
-            k = np.repeat(batch.column("c").to_numpy(), np.diff(off))
-            out.add(h, k, np.zeros(len(h), np.int32))
+            h, c = batch.column("grams").values.to_numpy().view(np.uint64), batch.column("c").to_numpy()
+            once = batch.column("first").to_numpy(zero_copy_only=False)
+            out.add_rows(h[off[:-1][once]], c[once], -batch.column("n").to_numpy()[once].astype(np.int32))
+            out.add(h[off[0]:off[-1]], np.repeat(c, np.diff(off)), np.zeros(off[-1] - off[0], np.int32))
             if out.full():
                 yield from out.flush()
         yield from out.flush()
 
-    found = postings.repeated_by_key(map_arrow(fragments.select("c", "grams"), run, postings.SCHEMA), parts, distinct=True, hashes=False)
-    return found.select(F.col("key").alias("c"), (F.length("p") / 4).cast("long").alias("common"))
+    return run
+
+
+def _prefixes(percent: int):
+    """The rarest shared n-grams of each set: all but those that a link may do without, and one more."""
+    def run(batches):
+        h, k, p = postings.gathered(batches)
+        h = h.view(np.int64)  # ties in the order that the tables have
+        order = np.lexsort((h, p, k))
+        h, k, p = h[order], k[order], p[order].astype(np.int64)
+        first = np.flatnonzero(postings.starts(k))  # the set's size, then its shared n-grams, the rarest first
+        held = np.diff(np.append(first, len(k)))
+        n, common = -p[first], held - 1
+        keep = common + 1 + (-percent * n // 100)
+        weight = (np.add.reduceat(p, first) + n) / n if len(first) else np.zeros(0)
+        at = np.arange(len(k)) - np.repeat(first, held)
+        take = (at > 0) & (at <= np.repeat(keep, held))
+        cols = [np.repeat(x, held)[take] for x in (n, common, weight)] + [at[take], p[take]]
+        for i in range(0, int(take.sum()), 100_000):
+            part = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (h[take], k[take], *cols)], ["h", "c", "n", "common", "weight", "at", "df"])
+
+    return run
+
+
+def _buckets(fragments: DataFrame, percent: int, parts: int, scratch: Scratch) -> DataFrame:
+    """(h, c, n, common, weight, at): for each n-gram that must be looked at, the sets that hold it.
+
+    common: how many of the set's n-grams occur in another of the sets left. weight: how common they are
+    there, so that the text that near copies were made from comes first. at: the n-gram's place among the
+    set's shared ones.
+    """
+    sets = map_arrow(fragments.select("c", "n", "grams", F.col("sign").isNotNull().alias("first")), _set_postings(parts), postings.SCHEMA)
+    kept = scratch.write("kept", map_arrow(postings.frequencies_by_key(sets, parts), _prefixes(percent), "h long, c long, n long, common long, weight double, at long, df long"))
+    # buckets with the same members are one, the first in the order
+    names = kept.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("c")).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("df").alias("df")).where("m > 1")
+    once = names.groupBy("m", "x", "lo", "hi").agg(F.min(F.struct("df", "h")).alias("first")).select("first.h")
+    out = scratch.write("buckets", kept.drop("df").join(once, "h"))
+    scratch.drop("kept")
+    return out
 
 
 def _pairs(buckets: DataFrame, signs: DataFrame, round_no: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of this round's pivots with the other members of another component, and the buckets without the pivots."""
     order = F.xxhash64("c")
-    top = buckets.groupBy("h").agg(F.max(F.struct("weight", order.alias("o"), "c", "n", "common", "comp")).alias("first"),
+    top = buckets.groupBy("h").agg(F.max(F.struct("weight", order.alias("o"), "c", "n", "common", "comp", "at")).alias("first"),
                                    F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("m > 1 and x <> y")
     live = buckets.join(top.select("h", "first", "m"), "h")
-    most = F.least("common", "pcommon")
+    # if this n-gram is the first that the two have in common, so many can follow; it is that in one of their buckets
+    most = F.least(F.col("common") - F.col("at"), F.col("pcommon") - F.col("pat")) + 1
 
     def may_link(common):
         return common * 100 >= (F.col("n") + F.col("pn") - common) * percent
 
     possible = (F.col("c") != F.col("p")) & (F.col("comp") != F.col("pcomp")) & may_link(most)
-    own = ["h", "c", "n", "common", "comp"]
+    own = ["h", "c", "n", "common", "comp", "at"]
     if round_no < 2:
-        met = live.select(*own, *(F.col(f"first.{x}").alias(f"p{x}" if x != "c" else "p") for x in ("c", "n", "common", "comp")))
+        met = live.select(*own, *(F.col(f"first.{x}").alias(f"p{x}" if x != "c" else "p") for x in own[1:]))
         rest = live.where("c <> first.c")
     else:
         share = F.least(F.lit(1.0), F.lit(8.0 ** (round_no - 1)) / F.col("m"))
         chosen = ((order.cast("double") / 2.0**64 + 0.5) <= share) | (F.col("c") == F.col("first.c"))
-        pivots = live.where(chosen).select("h", *(F.col(x).alias(f"p{x}" if x != "c" else "p") for x in ("c", "n", "common", "comp")))
+        pivots = live.where(chosen).select("h", *(F.col(x).alias(f"p{x}" if x != "c" else "p") for x in own[1:]))
         met = live.select(*own).join(pivots, "h")
         rest = live.where(~chosen)
     pairs = met.where(possible).select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
@@ -222,7 +252,7 @@ def _pairs(buckets: DataFrame, signs: DataFrame, round_no: int, percent: int) ->
         both = _bits("sign", "psign")
         pairs = pairs.join(a, "a").join(b, "b").where(
             may_link(F.least(F.col("n") - F.col("bits") + both, F.col("pn") - F.col("pbits") + both))).select("a", "b")
-    return pairs, rest.select("h", "c", "n", "common", "weight")
+    return pairs, rest.select("h", "c", "n", "common", "weight", "at")
 
 
 def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
@@ -253,15 +283,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, all_pairs: bool
     members = table.where("doc = 1").select(F.col("h").alias("doc_id"), "n", "c")
     classes = scratch.write("classes", members.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")))
     shared = table.where("doc = 0").select("h", "c").distinct()
-    buckets = _buckets(shared, classes, percent, scratch)
-
-    wanted = buckets.select("c").distinct().join(classes.select("c", F.col("first").alias("doc_id")), "c")
-    texts = docs.join(wanted, "doc_id").select("c", "text")
+    texts = docs.join(scratch.write("left", _survivors(shared, classes, percent)), "doc_id").select("c", "text")
     cut = map_arrow(texts, _fragments(n, cuts), "c long, f int, n long, grams array<bigint>, sign array<bigint>").dropDuplicates(["c", "f"])
     fragments = scratch.write("fragments", cut)
-    shared = _shared_sizes(fragments, parts)
-    buckets = scratch.write("buckets", buckets.join(shared, "c").where(F.col("common") * 100 >= F.col("n") * percent)
-                            .select("h", "c", "n", "common", "weight"))
+    buckets = _buckets(fragments, percent, parts, scratch)
 
     signs = fragments.where("sign is not null").select("c", "n", "sign", _bits("sign", "sign").alias("bits"))
     links = spark.createDataFrame([], T.StructType([T.StructField(x, T.LongType()) for x in ("a", "b", "common", "na", "nb")]))
@@ -269,7 +294,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, all_pairs: bool
     while not buckets.isEmpty():
         comp = F.col("c") if labels is None or all_pairs else F.coalesce("label", "c")
         marked = buckets if labels is None or all_pairs else buckets.join(labels.withColumnRenamed("node", "c"), "c", "left")
-        pairs, rest = _pairs(marked.select("h", "c", "n", "common", "weight", comp.alias("comp")), signs, round_no, percent)
+        pairs, rest = _pairs(marked.select("h", "c", "n", "common", "weight", "at", comp.alias("comp")), signs, round_no, percent)
         pairs, rest = scratch.write("pairs", pairs), scratch.write(f"buckets-{round_no % 2}", rest)
         new = scratch.write(f"new-{round_no}", _linked(pairs, fragments, percent))
         if not new.isEmpty():
@@ -287,7 +312,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, all_pairs: bool
         named = named.join(lowest, "label").select("c", F.col("component_id").alias("first"))
     result = members.join(named, "c", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "c", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
-    scratch.drop("pairs", "fragments", "buckets", "buckets-0", "buckets-1")
+    scratch.drop("pairs", "fragments", "left", "buckets", "buckets-0", "buckets-1")
     return result, links
 
 

@@ -126,6 +126,21 @@ def repeated_postings(batches, distinct: bool) -> Iterator[tuple[np.ndarray, np.
         yield (COUNTED, h[keep], k[keep], p[keep])
 
 
+def frequencies(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, key, how many keys have it) of the distinct postings of one partition whose hash has two keys or more, then the rows."""
+    got = _gather(batches)
+    found = [got[x] for x in (KNOWN, COUNTED) if x in got]
+    if found:
+        h, k, p = (np.concatenate(x) for x in zip(*found))
+        real = k != MARKER  # what a marker stands for is among the known ones
+        h, k, p = sort_postings(h[real], k[real], p[real], True)
+        n = np.diff(np.append(np.flatnonzero(starts(h)), len(h)))
+        n = np.repeat(n, n)
+        yield h[n > 1], k[n > 1], n[n > 1].astype(np.int32)
+    if ROWS in got:
+        yield got[ROWS]
+
+
 def exchange(postings: DataFrame, parts: int) -> DataFrame:
     """Deal packed rows out by fragment."""
     return postings.repartitionById(parts, "part")
@@ -137,7 +152,7 @@ def _bucket_of(k: np.ndarray, parts: int) -> np.ndarray:
 
 def _by_bucket(found, parts: int, hashes: bool) -> Iterator[pa.RecordBatch]:
     """Postings as one packed row for each bucket of keys; the hashes are left behind unless asked for."""
-    for _, h, k, p in found:
+    for *_, h, k, p in found:
         if not len(h):
             continue
         bucket = _bucket_of(k, parts)
@@ -160,6 +175,17 @@ def _by_key(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k[first]), ragged(off, p), ragged(off, h)], ["key", "p", "h"])
 
 
+def gathered(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All postings of one bucket of keys: hashes, keys, places."""
+    got = list(_gather(batches).values())
+    return tuple(np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
+def frequencies_by_key(postings: DataFrame, parts: int) -> DataFrame:
+    """What :func:`frequencies` finds, dealt out by key."""
+    return exchange(map_arrow(exchange(postings, parts), lambda b: _by_bucket(frequencies(b), parts, True), SCHEMA), parts)
+
+
 def repeated_by_key(postings: DataFrame, parts: int, distinct: bool = False, hashes: bool = True) -> DataFrame:
     """(key, p, h): one row per key, with the places and hashes (else zeros) of its postings whose hash occurs twice or more."""
     found = map_arrow(exchange(postings, parts), lambda b: _by_bucket(repeated_postings(b, distinct), parts, hashes), SCHEMA)
