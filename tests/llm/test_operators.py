@@ -193,3 +193,28 @@ def test_lm_scores(docs, empty):
     got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs, docs.where("doc_id = 70"), vocabulary=100, slot_bits=10).collect()}
     assert got[0].ce_difference is None and got[70].ce_difference < 0
     assert lm_scoring.cross_entropy_difference(empty, empty, vocabulary=100, slot_bits=10).count() == 0
+
+
+def test_jaccard_components_of_near_copies_with_ties(spark):
+    """Groups of near copies whose shared n-grams are equally common, beside texts that share a passage and do not link."""
+    rng, rows = np.random.default_rng(5), []
+    for group in range(6):
+        base = [f"g{group}w{i}" for i in range(60 + 10 * group)]
+        for _ in range(12):
+            words = list(base)
+            for at in rng.choice(len(words), int(rng.integers(0, 5)), replace=False):
+                words[at] = f"x{rng.integers(0, 4)}"
+            rows.append((len(rows), " ".join(words[: len(words) - int(rng.integers(0, 12))])))
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[j:j + 5]) for j in range(len(w) - 4)}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                lo, hi = sorted((label[a], label[b]))
+                label = {i: lo if x == hi else x for i, x in label.items()}
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), label[i]) for i in sets}
+    assert 6 < len(set(label.values())) < len(rows)
