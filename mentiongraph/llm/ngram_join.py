@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import postings
-from .common import gram_hashes, id_text, map_arrow, mix, partitions, ragged, text_groups, word_hashes
+from .common import gram_hashes, id_text, map_arrow, mix, partitions, text_groups, word_hashes
 from .components import components
 from .tables import Scratch
 
