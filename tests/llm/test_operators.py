@@ -218,3 +218,30 @@ def test_jaccard_components_of_near_copies_with_ties(spark):
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), label[i]) for i in sets}
     assert 6 < len(set(label.values())) < len(rows)
+
+
+def test_lm_models_hold_every_word_and_bigram(spark):
+    """More distinct words than 2^16 and more distinct bigrams than 2^16, each counted by itself."""
+    rng = np.random.default_rng(3)
+    split = [(i, [f"w{x}" for x in rng.integers(0, 60000, 40000) + 30000 * i]) for i in range(3)]
+    models = [[collections.Counter() for _ in range(3)] for _ in range(2)]
+    for i, words in split:
+        counts, contexts, unigrams = models[i == 1]
+        counts.update(zip([None, *words], words))
+        contexts.update([None, *words[:-1]])
+        unigrams.update(words)
+    size = len({w for _, words in split for w in words}) + 1
+    assert size > 70000
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in split], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(rows, rows.where("doc_id = 1")).collect()}
+    for i, words in split:
+        background, wanted = (_loss_of(words, *m, size) for m in models)
+        assert abs(got[i].ce_target - wanted) < 2e-6 and abs(got[i].ce_background - background) < 2e-6
+
+
+def _loss_of(words, counts, contexts, unigrams, size):
+    total, tokens = 0.0, sum(unigrams.values())
+    for before, w in zip([None, *words], words):
+        share = 0.6 if contexts[before] else 0.0
+        total -= np.log(share * counts[before, w] / max(contexts[before], 1) + (1 - share) * (unigrams[w] + 0.5) / (tokens + 0.5 * size))
+    return total / len(words)
