@@ -3,6 +3,8 @@
 A document's character-class histogram and the histogram of its language's most common words are
 compared with references by Jensen-Shannon distance (base 2, 0 to 1). The reference of a language is
 the mean histogram of all its documents that pass the base rules, so it follows the whole table.
+So does the limit of the word distance: a share of the distance from the language's reference to a
+text without any common word.
 Texts shorter than ``min_chars`` and languages with fewer than ``min_reference`` documents get no
 verdict from the distances. The features are read from the texts once and written as a small table.
 """
@@ -107,13 +109,20 @@ def _means(column: str, size: int) -> Column:
     return F.array(*(F.avg(F.get(column, F.lit(i))) for i in range(size)))
 
 
+def _no_common_word(reference: str) -> Column:
+    """Distance of a mean histogram to that of a text whose words all lie in the last bin."""
+    mean = F.filter(reference, lambda x: x.isNotNull())  # bins beyond a language's list are null
+    return js_distance(mean, F.concat(F.array_repeat(F.lit(0.0), F.greatest(F.size(mean) - 1, F.lit(0))), F.array(F.lit(1.0))))
+
+
 def judge(docs: DataFrame, max_char_distance: float = 0.3, max_word_distance: float = 0.45, min_chars: int = 300,
-          min_reference: int = 30) -> DataFrame:
+          min_reference: int = 30, max_word_share: float = 0.85) -> DataFrame:
     """Per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     char_distance, word_distance, kept.
 
     base_failed: fewer than 50 words, or over half of the words in repeated 3-word windows. kept: not
-    base_failed and both distances within their limits, where a distance is defined. Null text has no
+    base_failed and both distances within their limits, where a distance is defined; the word distance also within
+    ``max_word_share`` of what a text without common words has. Null text has no
     words and fails; null doc_id passes through; null or unknown languages share one reference (and
     have no common words); repeated rows each give a row; an empty table gives an empty result; further
     columns are not read.
@@ -126,14 +135,15 @@ def judge(docs: DataFrame, max_char_distance: float = 0.3, max_word_distance: fl
     most = 1 + max(map(len, COMMON_WORDS.values()))
     # five rows at most: the language codes above and one for all others
     reference = shares.where(~F.col("base_failed") & (F.col("n_chars") >= min_chars)).groupBy("lang").agg(
-        F.count("*").alias("reference_docs"), _means("p", len(CHAR_CLASSES) + 1).alias("rp"), _means("q", most).alias("rq"))
+        F.count("*").alias("reference_docs"), _means("p", len(CHAR_CLASSES) + 1).alias("rp"), _means("q", most).alias("rq")).withColumn("none", _no_common_word("rq"))
     enough = (F.col("n_chars") >= min_chars) & (F.coalesce("reference_docs", F.lit(0)) >= min_reference)
     joined = shares.join(F.broadcast(reference), "lang", "left")
     # a null bin beyond a language's list adds nothing
     near = F.slice("rq", F.lit(1), F.greatest(F.size("q"), F.lit(0)))
     judged = joined.withColumns({"char_distance": F.when(enough, js_distance(F.col("p"), F.col("rp"))),
                                  "word_distance": F.when(enough, js_distance(F.col("q"), near))})
-    fine = F.coalesce(F.col("char_distance") <= max_char_distance, F.lit(True)) & F.coalesce(F.col("word_distance") <= max_word_distance, F.lit(True))
+    limit = F.least(F.lit(max_word_distance), F.lit(max_word_share) * F.col("none"))
+    fine = F.coalesce(F.col("char_distance") <= max_char_distance, F.lit(True)) & F.coalesce(F.col("word_distance") <= limit, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"),
                          (~F.col("base_failed") & fine).alias("kept"))

@@ -245,3 +245,18 @@ def _loss_of(words, counts, contexts, unigrams, size):
         share = 0.6 if contexts[before] else 0.0
         total -= np.log(share * counts[before, w] / max(contexts[before], 1) + (1 - share) * (unigrams[w] + 0.5) / (tokens + 0.5 * size))
     return total / len(words)
+
+
+def test_quality_rejects_texts_without_common_words(spark):
+    """Long texts of word-like strings without one common word fail by the word distance alone; normal ones are kept."""
+    rng = np.random.default_rng(11)
+    common, content = quality_rules.COMMON_WORDS["en"], ["river", "market", "yellow", "station", "window", "garden", "letter", "summer"]
+    rows = []
+    for i in range(50):
+        # few common words, so that the reference lies near to texts without any
+        normal = " ".join(str(rng.choice(common if rng.random() < 0.2 else content)) for _ in range(120 + i)) + " " + " ".join(f"{w}{'abcde'[i % 5]}" for w in content)
+        rows.append((i, " ".join(f"{a}{'aeiou'[int(rng.integers(5))]}" for a in normal.split()) if i % 10 == 9 else normal, "en"))
+    rows += [(100 + i, t, None) for i, (_, t, _) in enumerate(rows[:35])]  # no language: no list of common words, no verdict from it
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_char_distance=1.0).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == set(range(9, 50, 10))
