@@ -42,9 +42,10 @@ RANGE_WIDTH = 1 << 20
 
 
 def _bucketed(df: DataFrame, ts: str = "ts", article: str = "article_id") -> DataFrame:
-    """Order-preserving bucket columns for (ts, article): day and a range of the article key."""
+    """Order-preserving bucket columns for (ts, article): day and a range of the article key (a prefix of text keys)."""
+    text = dict(df.dtypes)[article] == "string"
     return (df.withColumn("_day", F.date_trunc("day", F.col(ts)))
-              .withColumn("_rng", F.floor(F.col(article) / F.lit(RANGE_WIDTH))))
+              .withColumn("_rng", F.substring(article, 1, 4) if text else F.floor(F.col(article) / F.lit(RANGE_WIDTH))))
 
 
 def _r6(c):
@@ -63,11 +64,25 @@ class GraphFold:
     centrality: DataFrame         # entity, article_id, ts, p, degree, node_count, centrality
 
 
-def fold_graph(mentions: DataFrame, order: Sequence[str], window: int = 1, materialize: bool = True) -> GraphFold:
+def _node_as_of(pairs: DataFrame, ea: DataFrame) -> DataFrame:
+    """(entity, article_id, x_last): sentiment of a given pair's ends after the article's mentions, whether or not the
+    article mentions them; entities not yet known are left out."""
+    ends = pairs.select("article_id", "ts", F.explode(F.array("entity_1", "entity_2")).alias("entity")).distinct()
+    both = (ea.select("entity", "article_id", "ts", F.lit(1).alias("_v"), F.lit(0).alias("_o"))
+            .unionByName(ends.select("entity", "article_id", "ts", F.lit(0).alias("_v"), F.lit(1).alias("_o"))))
+    at = keyed_running_sum(_bucketed(both), ["entity"], ["ts", "article_id", "_o"], F.col("_v"), ["_day", "_rng"], "p")
+    return (at.filter(F.col("_o") == 1).select("entity", "article_id", F.col("p").cast("long").alias("p"))
+            .join(ea.select("entity", "p", "x_last"), ["entity", "p"]).drop("p"))
+
+
+def fold_graph(mentions: DataFrame, order: Sequence[str], window: int = 1, materialize: bool = True,
+               pairs: DataFrame | None = None) -> GraphFold:
     """Build every per-step table of the graph fold from a mentions DataFrame.
 
-    ``mentions`` needs article_id (numeric), ts, entity, etype, sent_idx, score and the ``order``
-    tie-break columns (mention order inside an article).
+    ``mentions`` needs article_id, ts, entity, etype, sent_idx, score and the ``order``
+    tie-break columns (mention order inside an article). ``pairs`` (article_id, ts, entity_1, entity_2,
+    count, ord) are an article's given pairs, folded one by one in the order of ``ord``; without them pairs
+    come from the mentions' sentences, and with them sent_idx is not read.
 
     With ``materialize`` the step tables are checkpointed into the shared checkpoint folder: each
     is read by several later joins, so computing it once both saves work and keeps the plans of
@@ -91,15 +106,22 @@ def fold_graph(mentions: DataFrame, order: Sequence[str], window: int = 1, mater
 
     # articles in order, with the number of entities / edges seen for the first time
     arts = m.select("article_id", "ts").distinct()
+    given = pairs is not None
+    if given:
+        one, two = F.trim("entity_1"), F.trim("entity_2")
+        pairs = pairs.filter((one != "") & (two != "") & (one != two)).select(
+            "article_id", "ts", F.least(one, two).alias("entity_1"), F.greatest(one, two).alias("entity_2"), "count", "ord")
+        arts = arts.unionByName(pairs.select("article_id", "ts")).distinct()
     new_nodes = ea.filter(F.col("p") == 1).groupBy("article_id").agg(F.count(F.lit(1)).alias("_nn"))
 
-    pairs = cooccurrence_pairs(mentions.select("article_id", "sent_idx", "entity"), window=window)
-    xe = ea.select("entity", "article_id", "x_last")
-    pj = (pairs.join(arts, "article_id")
+    if not given:
+        pairs = cooccurrence_pairs(mentions.select("article_id", "sent_idx", "entity"), window=window).join(arts, "article_id")
+    xe = _node_as_of(pairs, ea) if given else ea.select("entity", "article_id", "x_last")
+    pj = (pairs
           .join(xe.withColumnRenamed("entity", "entity_1").withColumnRenamed("x_last", "_x1"), ["entity_1", "article_id"])
           .join(xe.withColumnRenamed("entity", "entity_2").withColumnRenamed("x_last", "_x2"), ["entity_2", "article_id"])
           .withColumn("joint", (F.col("_x1") + F.col("_x2")) / 2.0).drop("_x1", "_x2"))
-    pk = positions(_bucketed(pj), ["entity_1", "entity_2"], ["ts", "article_id"], ["_day", "_rng"], "kk") \
+    pk = positions(_bucketed(pj), ["entity_1", "entity_2"], ["ts", "article_id"] + ["ord"] * given, ["_day", "_rng"], "kk") \
         .drop("_day", "_rng")
     pk = pk.withColumn("_cnt_d", F.col("count").cast("double"))
     py = mat(ewma_scan(pk, ["entity_1", "entity_2"], "kk", [("_cnt_d", "strength"), ("joint", "joint_sentiment")],
@@ -117,12 +139,16 @@ def fold_graph(mentions: DataFrame, order: Sequence[str], window: int = 1, mater
                             F.col("event_id").cast("long").alias("event_id")))
 
     first_edges = py.filter(F.col("kk") == 1)
-    nb_new = (first_edges.select(F.col("entity_1").alias("entity"), "article_id")
-              .unionByName(first_edges.select(F.col("entity_2").alias("entity"), "article_id"))
-              .groupBy("entity", "article_id").agg(F.count(F.lit(1)).alias("_nb")))
-    ce = (ea.select("entity", "article_id", "ts", "p").join(nb_new, ["entity", "article_id"], "left")
+    nb_ts = ["ts"] * given
+    nb_new = (first_edges.select(F.col("entity_1").alias("entity"), "article_id", *nb_ts)
+              .unionByName(first_edges.select(F.col("entity_2").alias("entity"), "article_id", *nb_ts))
+              .groupBy("entity", "article_id", *nb_ts).agg(F.count(F.lit(1)).alias("_nb")))
+    # a given pair may bring a neighbour in an article that does not mention the entity
+    ce = (ea.select("entity", "article_id", "ts", "p").join(nb_new, ["entity", "article_id", *nb_ts], "full" if given else "left")
           .fillna(0, ["_nb"]))
     ce = keyed_running_sum(_bucketed(ce), ["entity"], ["ts", "article_id"], F.col("_nb"), ["_day", "_rng"], "degree")
+    if given:
+        ce = ce.filter(F.col("p").isNotNull())
     ce = (ce.drop("_day", "_rng", "_nb").join(totals.select("article_id", "node_count"), "article_id")
           .withColumn("degree", F.col("degree").cast("long"))
           .withColumn("centrality", F.col("degree").cast("double") /
@@ -162,6 +188,9 @@ def edge_changes(fold: GraphFold, strength_threshold: float = STRENGTH_DELTA_THR
     py = fold.edge_steps
     prev = py.select("entity_1", "entity_2", F.col("kk").alias("_kp"),
                      F.col("strength").alias("_os"), F.col("joint_sentiment").alias("_oj"))
+    if "ord" in py.columns:  # a record may give a pair twice: one change from before its first to after its last step
+        py = py.groupBy("article_id", "ts", "entity_1", "entity_2").agg(
+            F.max_by("strength", "kk").alias("strength"), F.max_by("joint_sentiment", "kk").alias("joint_sentiment"), F.min("kk").alias("kk"))
     rows = py.withColumn("_kp", F.col("kk") - 1).join(prev, ["entity_1", "entity_2", "_kp"], "left")
     o_s = F.coalesce(F.col("_os"), F.lit(0.0))
     o_j = F.coalesce(F.col("_oj"), F.lit(0.0))

@@ -90,21 +90,28 @@ def enriched_to_mentions(enriched: DataFrame) -> DataFrame:
     m = enriched.select("article_id", "processed_at", F.posexplode("entities").alias("ord", "e"))
     return m.select(F.col("article_id"), F.col("processed_at").cast("timestamp_ntz").alias("ts"),
                     F.col("e.text").alias("entity"), F.coalesce(F.col("e.type"), F.lit("")).alias("etype"),
-                    F.col("ord").alias("sent_idx"), F.col("e.sentiment_score").alias("score"), F.col("ord"))
+                    F.col("e.sentiment_score").alias("score"), F.col("ord"))
 
 
-def start_graph_deltas(mentions_stream: DataFrame, state_path: str, out_path: str, checkpoint: str):
-    """ST2: mentions batches -> change events. Each batch is stored under its batch_id (idempotent);
-    the fold runs over the stored mentions and the events of this batch's articles are written."""
+def enriched_to_pairs(enriched: DataFrame) -> DataFrame:
+    """The pairs that enriched results give, in the order of each result."""
+    p = enriched.select("article_id", "processed_at", F.posexplode("co_occurrence_pairs").alias("ord", "p"))
+    return p.select("article_id", F.col("processed_at").cast("timestamp_ntz").alias("ts"), "p.entity_1", "p.entity_2", "p.count", "ord")
+
+
+def start_graph_deltas(enriched_stream: DataFrame, state_path: str, out_path: str, checkpoint: str):
+    """ST2: enriched batches -> change events. Each batch is stored under its batch_id (idempotent); the fold
+    runs over the stored results with the pairs they give, and the entity and relationship changes of this
+    batch's articles are written under ``out_path``/entities and ``out_path``/relationships."""
     def run(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
         spark = batch.sparkSession
-        allm = spark.read.parquet(state_path).filter(F.col("batch_id") <= batch_id).drop("batch_id")
-        fold = gs.fold_graph(allm, ["sent_idx"])
+        stored = spark.read.parquet(state_path).filter(F.col("batch_id") <= batch_id).drop("batch_id")
+        fold = gs.fold_graph(enriched_to_mentions(stored), ["ord"], pairs=enriched_to_pairs(stored))
         mine = batch.select("article_id").distinct()
-        gs.entity_changes(fold).join(mine, "article_id", "left_semi") \
-            .write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-    return mentions_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
+        for kind, rows in (("entities", gs.entity_changes(fold)), ("relationships", gs.edge_changes(fold))):
+            rows.join(mine, "article_id", "left_semi").write.mode("overwrite").parquet(f"{out_path}/{kind}/batch_id={batch_id}")
+    return enriched_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
 
 
 def hourly_counts(events: DataFrame, key: str = "entity", ts: str = "ts", delay: str = "30 minutes") -> DataFrame:

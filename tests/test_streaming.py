@@ -1,5 +1,7 @@
 """Batch vs stream equality for the watermarked hourly count and a foreachBatch hop."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from mentiongraph.streaming import pipelines as pl
@@ -36,3 +38,30 @@ def test_enrich_batch_shape(spark):
                       F.lit(None).cast("string").alias("_corrupt_record"))
     out = pl.enrich(pl.coerce_articles(raw)).collect()
     assert len(out) == 5 and all(r.entities is not None for r in out)
+
+
+def test_graph_deltas_keep_the_given_pairs(spark, tmp_path):
+    """Given pairs of records of three mentions, in two batches; the second names an entity that only the first mentions."""
+    from mentiongraph.sources import schemas
+
+    def record(article, second, names, pairs):
+        entities = [{"text": n, "type": "PERSON", "sentiment_score": x} for n, x in names]
+        return {"article_id": article, "processed_at": f"2024-01-01T00:00:0{second}.000Z", "entities": entities,
+                "co_occurrence_pairs": [{"entity_1": a, "entity_2": b, "count": n} for a, b, n in pairs]}
+
+    records = [record("a", 1, [("Anna", 1.0), ("Bob", 0.0), ("Carl", 0.5)], [("Carl", "Anna", 2), ("Bob", "Nobody", 1)]),
+               record("b", 2, [("Bob", 0.0)], [("Bob", "Anna", 3), ("Anna", "Bob", 1)])]
+    stream = None
+    for i, r in enumerate(records):
+        spark.createDataFrame([json.dumps(r)], "string").coalesce(1).write.mode("append").text(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schemas.ENRICHED).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        q = pl.start_graph_deltas(stream, str(tmp_path / "state"), str(tmp_path / "out"), str(tmp_path / "ck"))
+        q.processAllAvailable()
+        q.stop()
+    edges = {(r.article_id, r.source, r.target): r for r in spark.read.parquet(str(tmp_path / "out/relationships")).collect()}
+    assert set(edges) == {("a", "Anna", "Carl"), ("b", "Anna", "Bob")}
+    assert edges["a", "Anna", "Carl"].new_strength == 2.0 and edges["a", "Anna", "Carl"].new_joint_sentiment == 0.75
+    assert edges["b", "Anna", "Bob"].new_strength == 2.9 and edges["b", "Anna", "Bob"].new_joint_sentiment == 0.5
+    entities = {(r.article_id, r.entity_id): r for r in spark.read.parquet(str(tmp_path / "out/entities")).collect()}
+    assert set(entities) == {("a", "Anna"), ("a", "Bob"), ("a", "Carl"), ("b", "Bob")}
+    assert entities["b", "Bob"].old_mentions == 1 and entities["b", "Bob"].new_centrality == 0.5
