@@ -260,3 +260,22 @@ def test_quality_rejects_texts_without_common_words(spark):
     got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_char_distance=1.0).collect()}
     assert not any(r.base_failed for r in got.values())
     assert {i for i, r in got.items() if not r.kept} == set(range(9, 50, 10))
+
+
+def test_near_pairs_equal_brute_force(spark):
+    """Near copies of a few texts: the pairs, the classes' members and near_docs are those of comparing all fingerprints."""
+    rng, rows = np.random.default_rng(23), []
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(400)]
+        for copy in range(15):
+            words = list(base)
+            for at in rng.choice(400, copy // 3, replace=False):
+                words[at] = "x"
+            rows.append((len(rows), " ".join(words)))
+    marks = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), query_step=5).localCheckpoint()
+    fp = {r.doc_id: int(r.fingerprint, 16) for r in marks.collect()}
+    want = {(a, f"{fp[b]:016x}") for a in fp for b in fp if a % 5 == 0 and (fp[a] ^ fp[b]).bit_count() <= 3}
+    got = [tuple(r) for r in fingerprints.near_pairs(marks, query_step=5).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > len({a for a, _ in want})
+    near = {a: sum((fp[a] ^ fp[b]).bit_count() <= 3 for b in fp) - 1 for a in fp if a % 5 == 0}
+    assert {r.doc_id: r.near_docs for r in marks.collect() if r.near_docs is not None} == near
