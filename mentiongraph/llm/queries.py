@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, fingerprints, lm_scoring, ngram_join, packing, quality_rules, secret_scan, substring_dedup, token_count, token_store
+from . import (bpe_codec, fingerprints, lm_scoring, ngram_join, packing, periodic_runs, piece_codec, quality_rules, secret_scan, spelling,
+               substring_dedup, token_count, token_store)
 from .common import read_documents
 
 QUERIES: dict = {}
@@ -73,3 +74,19 @@ def op9_bpe_codec(spark, sf_dir):
 @register("op10_substring_dedup")
 def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.removal_digest(read_documents(spark, sf_dir), window=35)
+
+
+@register("op11_spelling_variants")
+def op11_spelling_variants(spark, sf_dir):
+    words = spelling.word_counts(read_documents(spark, sf_dir), shortest=7, least=2, change=spelling.dropped_letter)
+    return spelling.variants(words, ratio=10)
+
+
+@register("op12_piece_codec")
+def op12_piece_codec(spark, sf_dir):
+    return piece_codec.digests(read_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+@register("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.digests(read_documents(spark, sf_dir), least=12, edit=periodic_runs.planted_periods)
