@@ -92,9 +92,9 @@ def _keys(length: Column, moved: int) -> Column:
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(a, a_n, b, b_n): every unordered pair of words one inserted, deleted or replaced code point apart, once.
+    """(a, a_n, b, b_n): the pairs of words one inserted, deleted or replaced code point apart, in one of both directions.
 
-    ``words`` are distinct (word, n) rows. Pairs that the join brings together under two keys are reduced to one.
+    ``words`` are distinct (word, n) rows. A pair that meets under several keys comes several times.
     """
     length = F.char_length("word")
     chunks = words.select("word", "n", F.explode(_keys(length, 0)).alias("key"))
@@ -102,8 +102,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
         F.transform(_keys(length, 0), lambda k: F.struct(k.alias("key"), F.lit(0).alias("moved"))),
         F.transform(_keys(length - 1, 1), lambda k: F.struct(k.alias("key"), F.lit(1).alias("moved"))))).alias("g")) \
         .select(F.col("word").alias("b"), F.col("n").alias("b_n"), "g.key", "g.moved")
-    met = chunks.join(grams, "key").where("moved = 1 or word < b").where(F.levenshtein("word", "b", 1) == 1)
-    return met.groupBy("word", "b").agg(F.first("n").alias("a_n"), F.first("b_n").alias("b_n")).select(F.col("word").alias("a"), "a_n", "b", "b_n")
+    return chunks.join(grams, "key").where("moved = 1 or word < b").where(F.levenshtein("word", "b", 1) == 1) \
+        .select(F.col("word").alias("a"), F.col("n").alias("a_n"), "b", "b_n")
 
 
 def variants(words: DataFrame, ratio: int = 10, scratch: Scratch | None = None) -> DataFrame:
@@ -115,10 +115,11 @@ def variants(words: DataFrame, ratio: int = 10, scratch: Scratch | None = None)
     """
     scratch = scratch or Scratch(words.sparkSession)
     words = scratch.write("words", words.select("word", F.col("n").cast("long").alias("n")))
-    pairs = near_pairs(words)
-    both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")),
+    ends = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")),
                              F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n"))))
-    best = pairs.select(both.alias("p")).select("p.*").groupBy("word").agg(
+    # dealt by word once: this serves the distinct pairs, the choice among them and the join with the words
+    dealt = near_pairs(words).select(ends.alias("e")).select("e.*").repartition("word")
+    best = dealt.groupBy("word", "near").agg(F.max("near_n").alias("near_n")).groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("rank"), "near")).alias("best"))
     rows = words.join(best, "word", "left")
     takes = -F.col("best.rank") >= ratio * F.col("n")
