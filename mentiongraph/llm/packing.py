@@ -3,18 +3,90 @@
 The global histogram of sequence lengths (at most ``max_len`` counts, whatever the table's size) goes
 to the driver, where dynamic programming picks the bucket bounds with the least padding in all.
 Inside a bucket, batches hold as many sequences as the token budget allows at the bucket's bound.
-Texts of more than ``max_len`` tokens become several sequences.
+Texts of more than ``max_len`` tokens become several sequences. Tokens are counted by merge rounds over all new pieces of a
+group of texts, without identifiers.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from . import bpe_files
+from .common import id_text, map_arrow, partitions, text_groups
+from .merge_rounds import PairTable
 from .tables import Scratch
-from .token_count import token_counts
+
+CACHE_PIECES = 400_000
+SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space for str.split only
+_lengths: dict[int, "PieceLengths"] = {}
+
+
+class PieceLengths(dict):
+    """White-space-free piece -> number of its tokens; all new pieces of a group of texts are merged together, in rounds."""
+
+    def __init__(self, v: bpe_files.Vocabulary):
+        super().__init__()
+        if not v.lower:
+            raise ValueError("lengths are defined for word-level vocabularies")
+        self.v = v
+        low = (1 << 20) - 1
+        self.table = PairTable({(key >> 20, key & low): (rank, v.merged[rank]) for key, rank in v.ranks.items()})
+        self.inner, self.final = np.array(v.byte_ids), np.array(v.final_ids)
+
+    def learn(self, pieces: list[str]) -> None:
+        parts = [self.v.split.findall(p) for p in pieces]
+        of = np.repeat(np.arange(len(pieces)), [len(x) for x in parts])
+        raw = [x.encode() for found in parts for x in found]
+        sizes = np.array([len(x) for x in raw], dtype=np.int64)
+        sym = self.inner[np.frombuffer(b"".join(raw), np.uint8)]
+        ends = np.cumsum(sizes) - 1
+        sym[ends] = self.final[np.frombuffer(b"".join(x[-1:] for x in raw), np.uint8)]
+        _, word = self.table.merge(sym, np.repeat(np.arange(len(raw)), sizes))
+        self.update(zip(pieces, np.bincount(of[word], minlength=len(pieces)).tolist()))
+
+    def count_all(self, texts: list[str]) -> list[int]:
+        """Tokens of whole texts as the vocabulary's library counts them, without added begin or end tokens."""
+        if len(self) > CACHE_PIECES:  # what came first holds the frequent pieces
+            for p in list(self)[CACHE_PIECES // 2:]:
+                del self[p]
+        split, fixed = [], []
+        for t in texts:
+            stretches = self.v.splitter.split(t) if self.v.splitter else [t]
+            fixed.append(len(stretches) - 1)  # added tokens
+            split.append([p for s in stretches for p in self._pieces(s)])
+        new = list(set().union(*split).difference(self))
+        for k in range(0, len(new), 100_000):
+            self.learn(new[k:k + 100_000])
+        return [n + sum(map(self.__getitem__, s)) for n, s in zip(fixed, split)]
+
+    def _pieces(self, text: str) -> list[str]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case is per character
+        text = text.lower()
+        return self.v.split.findall(text) if any(c in text for c in SEPARATORS) else text.split()
+
+
+def token_lengths(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, n_tokens) per input row; null text is empty, null ids pass through, further columns are not read."""
+    with open(vocabulary, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches):
+        v = bpe_files.shared(shared)
+        if id(v) not in _lengths:
+            _lengths[id(v)] = PieceLengths(v)
+        lengths = _lengths[id(v)]
+        for batch in batches:
+            for first, end, texts in text_groups(batch):
+                n = lengths.count_all([t.decode() for t in texts])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:end], pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+
+    return map_arrow(id_text(docs), run, "doc_id long, n_tokens long")
 
 
 def optimal_bounds(counts: np.ndarray, buckets: int) -> list[int]:
@@ -91,5 +163,4 @@ def pack(lengths: DataFrame, budget: int = 16384, max_len: int = 2048, buckets:
 
 def pack_documents(docs: DataFrame, vocabulary: str, budget: int = 16384, max_len: int = 2048, buckets: int = 16) -> DataFrame:
     """:func:`pack` over the token counts of whole texts (null text: none)."""
-    counts = Scratch(docs.sparkSession).write("token_counts", token_counts(docs, vocabulary).select("doc_id", "n_tokens"))
-    return pack(counts, budget, max_len, buckets)
+    return pack(token_lengths(docs, vocabulary), budget, max_len, buckets)

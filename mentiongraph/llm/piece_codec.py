@@ -2,12 +2,8 @@
 
 A text's normalised form (a dummy space first, spaces written as U+2581) falls apart into words that
 no piece of the vocabulary spans. The words of a batch that were not met before become one flat numpy array
-of symbols. Each round takes, by a segmented minimum, the lowest pair rank of every word, merges that
-pair at all its leftmost places without overlap, compacts the array and looks up the ranks of the
-pairs that are new; a word without a mergeable pair leaves the array. Merging all places of a rank in one
-round is exact unless a merge can open a pair of lower rank beside it; the ranks for which that can happen are
-found when a vocabulary is read, and of these a round merges a word's leftmost place only. Pieces
-that share one last rank (runs of spaces) merge from the left one at a time, as a stack.
+of symbols and are merged in rounds (:mod:`merge_rounds`). Pieces that share one last rank (runs of
+spaces) merge from the left one at a time, as a stack.
 
 Characters outside the vocabulary become byte pieces. Decoding joins vocabulary strings.
 """
@@ -22,48 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_text, map_arrow, text_groups
+from .merge_rounds import NONE, PairTable
 
 SPACE = "▁"
-NONE = np.iinfo(np.int32).max
 CACHE_BYTES = 48 << 20
 ENTRY_BYTES = 150          # Python's own cost of a table entry, about
 LEARN_SYMBOLS = 1 << 20
 _models: dict[int, "Pieces"] = {}
 
 
-class PairTable:
-    """(left id, right id) -> (rank, merged id) as sorted arrays behind a table of their leading hash bits."""
-
-    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
-        keys = np.array([a << 32 | b for a, b in pairs] or [0], dtype=np.uint64)
-        values = np.array(list(pairs.values()) or [(NONE, 0)], dtype=np.int32)
-        self.levels = []
-        bits = 21
-        while len(keys):  # what shares a slot with an earlier key goes to the next, smaller table
-            slot = self._slot(keys, bits, len(self.levels))
-            _, first = np.unique(slot, return_index=True)
-            table = np.full(1 << bits, -1, dtype=np.int32)
-            table[slot[first]] = np.arange(len(first), dtype=np.int32)
-            self.levels.append((bits, table, keys[first], values[first]))
-            rest = np.ones(len(keys), dtype=bool)
-            rest[first] = False
-            keys, values, bits = keys[rest], values[rest], max(8, bits - 3)
-
-    @staticmethod
-    def _slot(keys: np.ndarray, bits: int, level: int) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15 + 2 * level) + (keys >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - bits)
-
-    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-        rank, merged = np.full(len(keys), NONE, dtype=np.int32), np.zeros(len(keys), dtype=np.int32)
-        for level, (bits, table, known, values) in enumerate(self.levels):
-            at = table[self._slot(keys, bits, level)]
-            some = np.flatnonzero(at >= 0)
-            some = some[known[at[some]] == keys[some]]
-            rank[some], merged[some] = values[at[some], 0], values[at[some], 1]
-        return rank, merged
-
-
 class Pieces(dict):
     """Word -> its ids as little-endian unsigned 32-bit integers, for one vocabulary file."""
 
@@ -114,72 +77,19 @@ class Pieces(dict):
         self.shared = len(order) - 1 if len(last) > 1 else NONE
         if len(of) - len(last) != len(order) - 1:
             raise ValueError("pieces share a rank that is not the last")
-        # A merge to m beside x can open the pair (x, m) with a lower rank; then that pair goes before m's other places.
-        # It does not happen where x and m's near half had a lower rank themselves: they would have merged before.
-        self.alone = np.zeros(len(order) + 1, dtype=bool)
-        none = len(order)
-        for p, ways in made.items():
-            for a, b in ways:
-                if of.get(b, -1) >= of[p] and any(of.get(a + b1, none) > of[b] for b1, _ in made[b]):
-                    self._open(of, p, of[b])
-                if of.get(a, -1) >= of[p] and any(of.get(a2 + b, none) >= of[a] for _, a2 in made[a]):
-                    self._open(of, p, of[a])
+        if any(of[p] != self.shared and any(of.get(x) == self.shared for x in parts) for p, ways in made.items() for parts in ways):
+            raise ValueError("a piece ranks before one of the shared rank that it is made of")
         self.pairs = {(ids[a], ids[b]): (of[p], ids[p]) for p, ways in made.items() for a, b in ways}
         self.table = PairTable(self.pairs)
 
-    def _open(self, of: dict[str, int], piece: str, rank: int) -> None:
-        if rank == self.shared and of[piece] != rank:
-            raise ValueError("a piece ranks before one of the shared rank that it is made of")
-        self.alone[rank] = True
-
     # -------------------------------------------------------------- merge rounds
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(symbols of all words after merging, offsets of each word's); characters without a piece are size + code point."""
         lens = np.array([len(w) for w in words], dtype=np.int64)
         sym = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")]
-        word = np.repeat(np.arange(len(words)), lens)
-        rank, merged = self._pair_ranks(sym, word)
-        done_sym, done_word = [], []
-        while len(sym):
-            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            n = np.diff(np.append(starts, len(sym)))
-            least = np.minimum.reduceat(rank, starts)
-            over = np.repeat((least == NONE) | (least == self.shared), n)
-            if over.any():
-                done_sym.append(sym[over])
-                done_word.append(word[over])
-                going = ~over
-                least, n = least[(least != NONE) & (least != self.shared)], n[(least != NONE) & (least != self.shared)]
-                sym, word, rank, merged = sym[going], word[going], rank[going], merged[going]
-                if not len(sym):
-                    break
-            at = np.flatnonzero(rank == np.repeat(least, n))
-            # neighbouring places of one rank overlap: every other one of such a row, from its left end
-            row = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
-            at = at[(np.arange(len(at)) - np.repeat(row, np.diff(np.append(row, len(at))))) % 2 == 0]
-            alone = self.alone[rank[at]]
-            if alone.any():
-                at = at[~alone | np.concatenate([[True], word[at[1:]] != word[at[:-1]]])]
-            sym[at] = merged[at]
-            keep = np.ones(len(sym), dtype=bool)
-            keep[at + 1] = False
-            sym, word, rank, merged = sym[keep], word[keep], rank[keep], merged[keep]
-            at -= np.arange(len(at))  # places removed before each
-            near = np.unique(np.concatenate([at, np.maximum(at - 1, 0)]))
-            rank[near], merged[near] = self._pair_ranks(sym, word, near)
-        sym = np.concatenate(done_sym) if done_sym else np.zeros(0, np.int64)
-        word = np.concatenate(done_word) if done_word else np.zeros(0, np.int64)
-        order = np.argsort(word, kind="stable")
-        return sym[order], np.searchsorted(word[order], np.arange(len(words) + 1))
-
-    def _pair_ranks(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray | None = None):
-        """Ranks and results of the pairs that start at the places ``at`` (all); none at a word's end."""
-        at = np.arange(len(sym)) if at is None else at
-        right = np.minimum(at + 1, len(sym) - 1)
-        rank, merged = self.table.find(sym[at], sym[right])
-        rank[(right == at) | (word[right] != word[at])] = NONE
-        return rank, merged
+        sym, word = self.table.merge(sym, np.repeat(np.arange(len(words)), lens), self.shared)
+        return sym, np.searchsorted(word, np.arange(len(words) + 1))
 
     def from_the_left(self, symbols: list[int]) -> list[int]:
         """Pieces of the shared last rank: always the leftmost pair, so what lies left of it is a stack."""
@@ -198,7 +108,7 @@ class Pieces(dict):
         word = np.repeat(np.arange(len(words)), lens)
         odd[word[sym >= self.size]] = True
         if self.shared != NONE:
-            odd[word[self._pair_ranks(sym, word)[0] == self.shared]] = True
+            odd[word[self.table.pair_ranks(sym, word)[0] == self.shared]] = True
         for k, w in enumerate(words):
             self[w] = plain[4 * off[k]:4 * off[k + 1]] if not odd[k] else self._finish(sym[off[k]:off[k + 1]])
             self.held += 4 * len(w) + 4 * int(lens[k]) + ENTRY_BYTES

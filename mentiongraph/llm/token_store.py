@@ -12,7 +12,6 @@ each other by word-level vocabularies, so each worker keeps a bounded table of p
 
 from __future__ import annotations
 
-import heapq
 import unicodedata
 import zlib
 from dataclasses import dataclass
@@ -24,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_files
-from .common import id_text, map_arrow, partitions, scratch_path
+from .common import id_text, map_arrow, partitions, scratch_path, text_groups
 from .tables import Scratch
 
 LIMIT = 16
 BLOCK = 256
-CACHE_PIECES = 600_000
+CACHE_BYTES = 48 << 20
+ENTRY_BYTES = 150          # Python's own cost of a table entry, about
+LEARN_PIECES = 2000
 _encoders: dict[int, "Encoder"] = {}
 
 
@@ -46,19 +47,31 @@ class Encoder(dict):
         self.library, self.rules = Tokenizer.from_str(data.decode()), bpe_files.parse(data)
         self.library.no_truncation()
         self.library.no_padding()
-        if not self.rules.lower:
-            raise ValueError("piecewise encoding needs a word-level vocabulary")
+        if not self.rules.lower or not self.rules.added:
+            raise ValueError("piecewise encoding needs a word-level vocabulary with an added token")
+        self.mark = next(iter(self.rules.added))
+        self.held = 0
 
     def learn(self, pieces: list[str]) -> None:
-        for p, e in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False)):
-            self[p] = np.array(e.ids, dtype="<u4").tobytes()
+        """Ids of new pieces: some thousand at a time in one text, an added token (which no piece holds) between two."""
+        for k in range(0, len(pieces), LEARN_PIECES):
+            some = pieces[k:k + LEARN_PIECES]
+            ids = np.array(self.library.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == self.rules.added[self.mark]), len(ids))
+            data = ids.tobytes()
+            at = 0
+            for p, end in zip(some, ends.tolist()):
+                self[p] = data[4 * at:4 * end]
+                self.held += len(self[p]) + len(p) + ENTRY_BYTES
+                at = end + 1
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        if len(self) > CACHE_PIECES:
+        if self.held > CACHE_BYTES:
             self.clear()
+            self.held = 0
         split, odd = [], set()
         for i, t in enumerate(texts):
             # added tokens may span white space, and str.split knows four separators more than the library
@@ -87,10 +100,11 @@ def encoder(broadcast) -> Encoder:
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Huffman code lengths of at most ``limit`` bits (0: id not in use).
+    """Lengths (0: id not in use) of the code with the fewest bits in all among those of at most ``limit`` bits.
 
-    Lengths beyond the limit are cut and the Kraft sum is restored at the rarest ids, which is within a
-    fraction of a percent of the optimum for a vocabulary of this size.
+    Package-merge: from the longest length up, the list of a length is the ids' own counts merged with the pairs of the
+    list below it. An id's length is the number of lists whose ``2 * ids - 2`` first entries, carried down through the
+    pairs they hold, contain it; as ids enter in order of count, a list only needs the number of ids it takes.
     """
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), dtype=np.uint8)
@@ -99,34 +113,20 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     if len(used) < 2:
         lengths[used] = 1
         return lengths
-    heap = [(int(counts[i]), k) for k, i in enumerate(used)]
-    heapq.heapify(heap)
-    parent = np.zeros(2 * len(used) - 1, dtype=np.int64)
-    node = len(used)
-    while len(heap) > 1:
-        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
-        parent[x] = parent[y] = node
-        heapq.heappush(heap, (a + b, node))
-        node += 1
-    depth = np.zeros(node, dtype=np.int64)
-    for k in range(node - 2, -1, -1):
-        depth[k] = depth[parent[k]] + 1
-    own = np.minimum(depth[: len(used)], limit)
-    # cut codes make the lengths too many for a prefix code: lengthen the rarest short ones until they fit
-    room = (1 << limit) - int(np.sum(1 << (limit - own)))
-    order = np.lexsort((used, counts[used]))
-    while room < 0:
-        for k in order:
-            if own[k] < limit:
-                room += 1 << (limit - own[k] - 1)
-                own[k] += 1
-                if room >= 0:
-                    break
-    for k in order[::-1]:  # and give what is left to the most frequent
-        while own[k] > 1 and room >= 1 << (limit - own[k]):
-            room -= 1 << (limit - own[k])
-            own[k] -= 1
-    lengths[used] = own
+    order = used[np.argsort(counts[used], kind="stable")]
+    own = counts[order].astype(np.int64)
+    merged, single = own, [np.ones(len(own), dtype=bool)]  # of the longest length: ids only
+    for _ in range(limit - 1):
+        packages = merged[: len(merged) // 2 * 2].reshape(-1, 2).sum(1)
+        both = np.concatenate([own, packages])
+        at = np.argsort(both, kind="stable")
+        merged = both[at]
+        single.append(at < len(own))
+    take = 2 * len(own) - 2
+    for is_id in reversed(single):  # from the shortest length down
+        ids = int(is_id[:take].sum())
+        lengths[order[:ids]] += 1
+        take = 2 * (take - ids)
     return lengths
 
 
@@ -247,13 +247,14 @@ def _tokenise(shared, end_id: int):
         e, z = encoder(shared), zstandard.ZstdCompressor(level=1)
         end, at = np.array([end_id], dtype="<u4").tobytes(), 0
         for batch in batches:
-            ids = [x + end for x in e.encode_all(batch.column("text").to_pylist())]
-            n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            inside = at + np.cumsum(n) - n  # a range is one task, read in order
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(inside), pa.array(n), pa.array([z.compress(_planes(x)) for x in ids], pa.binary())],
-                ["doc_id", "inside", "n_tokens", "z"])
+            for first, last, texts in text_groups(batch):
+                ids = [x + end for x in e.encode_all([t.decode() for t in texts])]
+                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                inside = at + np.cumsum(n) - n  # a range is one task, read in order
+                at += int(n.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id")[first:last], pa.array(inside), pa.array(n), pa.array([z.compress(_planes(x)) for x in ids], pa.binary())],
+                    ["doc_id", "inside", "n_tokens", "z"])
 
     return run
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -79,6 +80,53 @@ def test_code_lengths_are_a_limited_prefix_code():
     assert lengths.max() <= 16 and lengths[30] == 0 and sum(2.0 ** -float(x) for x in lengths if x) <= 1
 
 
+def test_code_lengths_are_the_best_of_all():
+    def best(counts, limit):
+        least = None
+        for lengths in itertools.product(range(1, limit + 1), repeat=len(counts)):
+            if sum(2.0 ** -x for x in lengths) <= 1:
+                total = sum(a * b for a, b in zip(counts, lengths))
+                least = total if least is None else min(least, total)
+        return least
+
+    rnd = np.random.default_rng(3)
+    for limit in (2, 3, 4):
+        for size in range(2, min(2**limit, 6) + 1):
+            for _ in range(6):
+                n = rnd.integers(1, 60, size) ** 2
+                lengths = token_store.code_lengths(n, limit).astype(int)
+                assert lengths.min() >= 1 and lengths.max() <= limit and sum(2.0 ** -lengths) <= 1
+                assert int((n * lengths).sum()) == best(n.tolist(), limit)
+    assert token_store.code_lengths(np.array([0, 5, 0]))[1] == 1 and not token_store.code_lengths(np.zeros(3, int)).any()
+
+
+def test_bucket_bounds_pad_least_of_all():
+    def padding(counts, bounds):
+        return sum(n * (min(b for b in bounds if b >= x) - x) for x, n in enumerate(counts) if x and n)
+
+    rnd = np.random.default_rng(4)
+    for _ in range(40):
+        counts = rnd.integers(0, 30, 9) * (rnd.random(9) < 0.7)
+        used = [x for x in range(1, 9) if counts[x]]
+        for buckets in (1, 2, 3, 20):
+            got = packing.optimal_bounds(counts, buckets)
+            if not used:
+                assert got == []
+                continue
+            assert len(got) <= buckets and set(got) <= set(used) and got[-1] == used[-1]
+            ways = [(*c, used[-1]) for k in range(min(buckets, len(used))) for c in itertools.combinations(used[:-1], k)]
+            assert padding(counts, got) == min(padding(counts, w) for w in ways)
+
+
+def test_token_lengths_equal_the_library(docs, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    want = collections.Counter((i, len(t.encode(x, add_special_tokens=False).ids)) for i, x in texts())
+    assert collections.Counter(tuple(r) for r in packing.token_lengths(docs, WORDS).collect()) == want
+    assert packing.token_lengths(empty, WORDS).count() == 0
+
+
 def _sets():
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     out = {}
