@@ -12,6 +12,7 @@ each other by word-level vocabularies, so each worker keeps a bounded table of p
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from dataclasses import dataclass
@@ -31,6 +32,8 @@ BLOCK = 256
 CACHE_BYTES = 48 << 20
 ENTRY_BYTES = 150          # Python's own cost of a table entry, about
 LEARN_PIECES = 2000
+# a word of Latin letters (U+0130 becomes two characters in lower case), which is one unit of the split rule, and perhaps one mark, which is another
+PLAIN = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([.,;:!?])?").fullmatch
 _encoders: dict[int, "Encoder"] = {}
 
 
@@ -50,20 +53,40 @@ class Encoder(dict):
         if not self.rules.lower or not self.rules.added:
             raise ValueError("piecewise encoding needs a word-level vocabulary with an added token")
         self.mark = next(iter(self.rules.added))
+        suffix = self.rules.strings[self.rules.final_ids[ord("a")]][1:]
+        self.ends_word = np.array([self.rules.strings.get(i, "").endswith(suffix) for i in range(max(self.rules.strings) + 1)])
         self.held = 0
 
     def learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces: some thousand at a time in one text, an added token (which no piece holds) between two."""
+        """Ids of new pieces. Plain words go to the library as one text, cut again after each token that ends a word; a
+        word and the mark after it are encoded apart; other pieces have an added token (which none holds) between them."""
+        plain, marked, other = set(), [], []
+        for p in pieces:
+            m = PLAIN(p)
+            if m is None:
+                other.append(p)
+            elif m[2]:
+                marked.append((p, m[1], m[2]))
+                plain.update(x for x in (m[1], m[2]) if x not in self)
+            else:
+                plain.add(p)
+        self._cut(list(plain), " ", lambda ids: np.flatnonzero(self.ends_word[ids]) + 1, 0)
+        for p, word, mark in marked:
+            self._keep(p, self[word] + self[mark])
+        self._cut(other, self.mark, lambda ids: np.append(np.flatnonzero(ids == self.rules.added[self.mark]), len(ids)), 1)
+
+    def _cut(self, pieces: list[str], between: str, ends, skip: int) -> None:
         for k in range(0, len(pieces), LEARN_PIECES):
             some = pieces[k:k + LEARN_PIECES]
-            ids = np.array(self.library.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.rules.added[self.mark]), len(ids))
-            data = ids.tobytes()
-            at = 0
-            for p, end in zip(some, ends.tolist()):
-                self[p] = data[4 * at:4 * end]
-                self.held += len(self[p]) + len(p) + ENTRY_BYTES
-                at = end + 1
+            ids = np.array(self.library.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            data, at = ids.tobytes(), 0
+            for p, end in zip(some, ends(ids).tolist(), strict=True):
+                self._keep(p, data[4 * at:4 * end])
+                at = end + skip
+
+    def _keep(self, piece: str, ids: bytes) -> None:
+        self[piece] = ids
+        self.held += len(ids) + len(piece) + ENTRY_BYTES
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -307,7 +330,7 @@ def _code(shared):
 def write_store(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = 1) -> TokenStore:
     """Encode whole texts (null: empty), append ``end_id``, and write the coded files in ascending doc_id order.
 
-    Rows with null doc_id are left out; repeated ids follow each other by text; an empty table gives a
+    Rows with null doc_id are left out; repeated ids follow each other by a hash of the text; an empty table gives a
     store without documents; further columns are not read.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
@@ -316,7 +339,8 @@ def write_store(docs: DataFrame, vocabulary: str, path: str | None = None, end_i
         data = f.read()
     size = max(bpe_files.parse(data).strings) + 1
     docs = id_text(docs).where("doc_id is not null")
-    ranges = docs.repartitionByRange(partitions(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    docs = docs.withColumn("mixed", F.xxhash64("text"))  # samples of the range bounds carry no texts
+    ranges = docs.repartitionByRange(partitions(spark), "doc_id", "mixed").sortWithinPartitions("doc_id", "mixed").drop("mixed")
     coded = map_arrow(ranges, _tokenise(spark.sparkContext.broadcast(data), end_id), "doc_id long, inside long, n_tokens long, z binary")
     ids = scratch.write("ids", coded.withColumn("range", F.spark_partition_id()))
     counts = np.zeros(size, dtype=np.int64)
