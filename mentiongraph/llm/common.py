@@ -76,10 +76,10 @@ def carried(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
 
 
-def uncarried(rows: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of ``like`` from (doc_id, text, rest), n_chars following the text."""
+def uncarried(rows: DataFrame, like: DataFrame, counted: bool = True) -> DataFrame:
+    """The columns of ``like`` from (doc_id, text, rest), n_chars following the text if ``counted``."""
     def column(c: str):
-        if c == "n_chars":
+        if c == "n_chars" and counted:
             return F.char_length("text").cast(like.schema[c].dataType).alias(c)
         return F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`")
 

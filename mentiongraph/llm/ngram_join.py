@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import postings
-from .common import gram_hashes, id_text, map_arrow, mix, partitions, text_groups, word_hashes
+from .common import carried, gram_hashes, id_text, map_arrow, mix, partitions, text_groups, uncarried, word_hashes
 from .components import components
 from .tables import Scratch
 
@@ -222,7 +222,21 @@ def _buckets(fragments: DataFrame, percent: int, parts: int, scratch: Scratch) -
     return out
 
 
-def _pairs(buckets: DataFrame, signs: DataFrame, round_no: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _may_link(common, percent: int):
+    """Column: whether sets of n and pn n-grams with that many in common (at most) can link."""
+    return common * 100 >= (F.col("n") + F.col("pn") - common) * percent
+
+
+def _alike(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures leave enough n-grams in common."""
+    a = signs.select(F.col("c").alias("a"), "n", "sign", "bits")
+    b = signs.select(F.col("c").alias("b"), F.col("n").alias("pn"), F.col("sign").alias("psign"), F.col("bits").alias("pbits"))
+    both = _bits("sign", "psign")
+    most = F.least(F.col("n") - F.col("bits") + both, F.col("pn") - F.col("pbits") + both)
+    return pairs.join(a, "a").join(b, "b").where(_may_link(most, percent)).select("a", "b")
+
+
+def _pairs(buckets: DataFrame, round_no: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of this round's pivots with the other members of another component, and the buckets without the pivots."""
     order = F.xxhash64("c")
     top = buckets.groupBy("h").agg(F.max(F.struct("weight", order.alias("o"), "c", "n", "common", "comp", "at")).alias("first"),
@@ -230,11 +244,7 @@ def _pairs(buckets: DataFrame, signs: DataFrame, round_no: int, percent: int) ->
     live = buckets.join(top.select("h", "first", "m"), "h")
     # if this n-gram is the first that the two have in common, so many can follow; it is that in one of their buckets
     most = F.least(F.col("common") - F.col("at"), F.col("pcommon") - F.col("pat")) + 1
-
-    def may_link(common):
-        return common * 100 >= (F.col("n") + F.col("pn") - common) * percent
-
-    possible = (F.col("c") != F.col("p")) & (F.col("comp") != F.col("pcomp")) & may_link(most)
+    possible = (F.col("c") != F.col("p")) & (F.col("comp") != F.col("pcomp")) & _may_link(most, percent)
     own = ["h", "c", "n", "common", "comp", "at"]
     if round_no < 2:
         met = live.select(*own, *(F.col(f"first.{x}").alias(f"p{x}" if x != "c" else "p") for x in own[1:]))
@@ -246,15 +256,15 @@ def _pairs(buckets: DataFrame, signs: DataFrame, round_no: int, percent: int) ->
         met = live.select(*own).join(pivots, "h")
         rest = live.where(~chosen)
     pairs = met.where(possible).select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
-    if round_no >= 2:
-        a = signs.select(F.col("c").alias("a"), F.col("n"), F.col("sign"), F.col("bits"))
-        b = signs.select(F.col("c").alias("b"), F.col("n").alias("pn"), F.col("sign").alias("psign"), F.col("bits").alias("pbits"))
-        both = _bits("sign", "psign")
-        pairs = pairs.join(a, "a").join(b, "b").where(
-            may_link(F.least(F.col("n") - F.col("bits") + both, F.col("pn") - F.col("pbits") + both))).select("a", "b")
     return pairs, rest.select("h", "c", "n", "common", "weight", "at")
 
 
+def _ends(table: DataFrame, pairs: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """The rows of ``table`` for the classes in ``pairs``, as a table of its own: what a round reads follows its pairs."""
+    ends = scratch.write(f"{name}-ends", pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+    return scratch.write(name, table.join(ends, "c", "left_semi"))
+
+
 def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     """Pairs whose overlaps, counted fragment by fragment and summed, reach the threshold."""
     left = pairs.join(fragments.select(F.col("c").alias("a"), "f", F.col("n").alias("na"), F.col("grams").alias("ga")), "a")
@@ -290,29 +300,32 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, all_pairs: bool
 
     signs = fragments.where("sign is not null").select("c", "n", "sign", _bits("sign", "sign").alias("bits"))
     links = spark.createDataFrame([], T.StructType([T.StructField(x, T.LongType()) for x in ("a", "b", "common", "na", "nb")]))
-    labels, round_no = None, 0
+    labels, round_no, sets = None, 0, signs.count()
     while not buckets.isEmpty():
         comp = F.col("c") if labels is None or all_pairs else F.coalesce("label", "c")
         marked = buckets if labels is None or all_pairs else buckets.join(labels.withColumnRenamed("node", "c"), "c", "left")
-        pairs, rest = _pairs(marked.select("h", "c", "n", "common", "weight", "at", comp.alias("comp")), signs, round_no, percent)
+        pairs, rest = _pairs(marked.select("h", "c", "n", "common", "weight", "at", comp.alias("comp")), round_no, percent)
         pairs, rest = scratch.write("pairs", pairs), scratch.write(f"buckets-{round_no % 2}", rest)
-        new = scratch.write(f"new-{round_no}", _linked(pairs, fragments, percent))
+        if round_no >= 2:
+            pairs = scratch.write("pairs", _alike(pairs, _ends(signs, pairs, "near-signs", scratch), percent))
+        few = 4 * pairs.count() < sets  # the first rounds pair most sets, and all fragments are read as they are
+        new = scratch.write("new", _linked(pairs, _ends(fragments, pairs, "near", scratch) if few else fragments, percent))
         if not new.isEmpty():
-            links = links.unionByName(new)
+            links = scratch.write("links", links.unionByName(new))
             if not all_pairs:
                 labels = components(links, scratch)
         buckets, round_no = rest, round_no + 1
     if all_pairs:
-        links = links.dropDuplicates(["a", "b"])
+        links = scratch.write("links", links.dropDuplicates(["a", "b"]))
         labels = components(links, scratch)
-    named = classes.select("c", "first")
+    named = classes.select("c", "first", F.col("c").alias("label"))
     if labels is not None:
         named = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select("c", "first", F.coalesce("label", "c").alias("label"))
         lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-        named = named.join(lowest, "label").select("c", F.col("component_id").alias("first"))
-    result = members.join(named, "c", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "c", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
-    scratch.drop("pairs", "fragments", "left", "buckets", "buckets-0", "buckets-1")
+        named = named.join(lowest, "label").select("c", F.col("component_id").alias("first"), "label")
+    result = scratch.write("members", members.join(named, "c", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), "c", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("first")).alias("component_id"), "label"))
+    scratch.keep("members", "links")
     return result, links
 
 
@@ -321,13 +334,31 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     return jaccard_join(docs, n, percent)[0].select("doc_id", "n_shingles", "component_id")
 
 
+def _classed(n: int):
+    """Rows whose text has the set that is wanted of their doc_id."""
+    def run(batches):
+        for batch in batches:
+            wanted, keep = batch.column("wanted").to_pylist(), []
+            for first, _, texts in text_groups(batch):
+                words, off = word_hashes([t.lower() for t in texts])
+                keep += [set_class(shingle_set(words[off[i]:off[i + 1]], n)) == wanted[first + i] for i in range(len(texts))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """The documents with one of each component, that of the smallest doc_id; rows without an id stay.
 
-    Repeated rows of a kept document are further copies: one of them stays.
+    Texts without words are linked with nothing. Rows of one doc_id are judged by their own texts: those of
+    other components stay, repeated rows and rows of the same set are copies, of which the smallest text stays.
+    Null texts are texts without words; an empty table stays empty; columns of any name stay.
     """
-    kept = near_duplicates(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id").select(docs.columns)
-    again = Window.partitionBy("doc_id").orderBy("text")
-    numbered = rows.select(F.struct(*docs.columns).alias("row"), F.row_number().over(again).alias("nth"))
-    return numbered.where("nth = 1").select("row.*").unionByName(docs.where("doc_id is null"))
+    members = jaccard_join(docs, n, percent)[0]
+    firsts = members.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "c")).alias("first")).select("first.*")
+    kept = firsts.unionByName(members.where("label is null").select("doc_id", "c").distinct())
+    rows = carried(docs).join(kept.withColumnRenamed("c", "wanted"), "doc_id").select("doc_id", "text", "rest", "wanted")
+    rows = map_arrow(rows, _classed(n), rows.schema)
+    nth = F.row_number().over(Window.partitionBy("doc_id", "wanted").orderBy("text"))
+    one = rows.withColumn("nth", nth).where("nth = 1").select("doc_id", "text", "rest")
+    return uncarried(one.unionByName(carried(docs).where("doc_id is null")), docs, counted=False)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import postings
-from .common import gram_hashes, id_text, map_arrow, materialize, mix, partitions, squeezed, text_groups, uncarried, unsqueezed, word_hashes, word_spans
+from .common import carried, gram_hashes, id_text, map_arrow, materialize, mix, partitions, squeezed, text_groups, uncarried, unsqueezed, word_hashes, word_spans
 
 _FIRST, _SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xE7037ED1A0B428DB)
 
@@ -154,9 +154,14 @@ def repeated_windows(docs: DataFrame, window: int = 35, base: int | None = None,
 
 
 def longest_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """(doc_id, longest): the longest level (window, 2 window, 4 window ...) at which the document still has a repeated window."""
+    """(doc_id, longest): the longest level (window, 2 window, 4 window ...) at which the document still has a repeated window.
+
+    Documents without one, null ids and null texts give no row; of rows of one doc_id the longest level counts, and a
+    repeated row repeats all of its windows; an empty table gives an empty result; further columns are not read.
+    """
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
-    found, length, levels = materialize(repeated_windows(docs, window, hashes=True), "repeats"), window, None
+    rows = _keyed(id_text(docs))
+    found, length, levels = materialize(repeated_windows(rows, window, hashes=True), "repeats"), window, None
     while not found.isEmpty():
         level = found.select("doc_id", F.lit(length).cast("long").alias("longest"))
         levels = level if levels is None else levels.unionByName(level)
@@ -165,7 +170,8 @@ def longest_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
         found, length = materialize(grown.withColumnRenamed("key", "doc_id"), "repeats"), 2 * length
     if levels is None:
         return found.select("doc_id", F.lit(0).cast("long").alias("longest")).limit(0)
-    return levels.groupBy("doc_id").agg(F.max("longest").alias("longest"))
+    ids = rows.select("doc_id", F.col("own.doc_id").alias("id")).where("doc_id is not null").distinct()
+    return levels.join(ids, "doc_id").groupBy("id").agg(F.max("longest").alias("longest")).withColumnRenamed("id", "doc_id")
 
 
 def covered(n: int, places: np.ndarray, window: int) -> np.ndarray:
@@ -216,9 +222,19 @@ def _cut(raw: bytes, s: np.ndarray, e: np.ndarray, drop: np.ndarray) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, own): a row's key by its id and text in place of doc_id (null without an id), its id and other columns in own.
+
+    Rows of one id with other texts so keep their places apart; repeated rows share them.
+    """
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    return carried(docs).select(key.alias("doc_id"), "text", F.struct("doc_id", "rest").alias("own"))
+
+
 def _joined(docs: DataFrame, window: int, rest: bool) -> DataFrame:
-    found = repeated_windows(docs, window).select("doc_id", "p")
-    return squeezed(docs, rest).join(found, "doc_id", "left").select("doc_id", "z", "p", *["rest"] * rest)
+    rows = _keyed(docs) if rest else _keyed(id_text(docs))
+    found = repeated_windows(rows, window).select("doc_id", "p")
+    return squeezed(rows, True).join(found, "doc_id", "left").select(F.col("rest.own.doc_id").alias("doc_id"), "z", "p", F.col("rest.own.rest").alias("rest"))
 
 
 def removal_digest(docs: DataFrame, window: int = 35) -> DataFrame:

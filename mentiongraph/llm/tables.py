@@ -31,3 +31,7 @@ class Scratch:
             path = self.paths.pop(name, None)
             if path:
                 self._delete(path)
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these."""
+        self.drop(*(name for name in list(self.paths) if name not in names))

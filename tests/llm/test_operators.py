@@ -327,3 +327,51 @@ def test_near_pairs_equal_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > len({a for a, _ in want})
     near = {a: sum((fp[a] ^ fp[b]).bit_count() <= 3 for b in fp) - 1 for a in fp if a % 5 == 0}
     assert {r.doc_id: r.near_docs for r in marks.collect() if r.near_docs is not None} == near
+
+
+# ------------------------------------------------------------------ rows of one id with other texts
+
+
+P40 = " ".join(f"p{i}" for i in range(40))
+Q80 = " ".join(f"q{i}" for i in range(80))
+TWINS = [(1, P40 + " tail", "a", 1), (1, Q80, "b", 2), (2, "x " + P40, "c", 3), (2, "x " + P40, "d", 3), (None, P40, "e", 4), (None, None, "f", 4), (3, None, "g", 0)]
+TWIN_SCHEMA = "doc_id long, text string, key string, n_chars int"
+
+
+def test_repeats_are_removed_by_row(spark, empty):
+    docs = spark.createDataFrame(TWINS, TWIN_SCHEMA)
+    out = {r.key: r for r in substring_dedup.remove_repeats(docs).collect()}
+    assert out["b"].text == Q80 and out["a"].text == "tail" and out["c"].text == out["d"].text == ""
+    assert out["e"].text == P40 and out["f"].text == "" and out["b"].n_chars == len(Q80) and len(out) == len(TWINS)
+    gone = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.removal_digest(docs).collect())
+    assert gone == collections.Counter([(1, 41, 40), (1, 80, 0), (2, 41, 41), (2, 41, 41), (None, 40, 0), (None, 0, 0), (3, 0, 0)])
+    assert substring_dedup.remove_repeats(empty).count() == 0 and substring_dedup.remove_repeats(empty).columns == empty.columns
+
+
+def test_levels_double_until_nothing_repeats(spark, empty):
+    rnd = np.random.default_rng(8)
+    passage = [f"s{i}" for i in range(100)]
+    rows = [(k, " ".join([f"{k}w{i}" for i in range(30)] + passage[: int(n)])) for k, n in enumerate([20, 40, 69, 70, 100, 100])]
+    rows += [(9, " ".join(rnd.choice(["a", "b"], 300))), (9, "other words"), (11, None), (None, " ".join(passage))]
+    want = {}
+    for i, t in rows:
+        for length in (35, 70, 140, 280):
+            def starts(v):
+                w = (v or "").split()
+                return [tuple(w[k:k + length]) for k in range(len(w) - length + 1)]
+            seen = collections.Counter(g for j, v in rows if j is not None for g in starts(v))
+            if i is not None and any(seen[g] > 1 for g in starts(t)):
+                want[i] = length
+    got = substring_dedup.longest_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.longest for r in got.collect()} == want and set(want.values()) >= {35, 70}
+    assert substring_dedup.longest_repeats(empty).count() == 0
+
+
+def test_one_of_each_component_stays(spark, empty):
+    docs = spark.createDataFrame(TWINS + [(5, Q80, "h", 9), (0, Q80.replace("q3 ", "Q3 "), "i", 9), (6, "", "j", 9)], TWIN_SCHEMA)
+    out = ngram_join.keep_one(docs)
+    assert sorted(r.key for r in out.collect() if r.key not in "cd") == ["a", "e", "f", "g", "i", "j"]
+    assert out.columns == docs.columns and {r.n_chars for r in out.collect() if r.key == "i"} == {9}
+    alone = ngram_join.keep_one(spark.createDataFrame(TWINS, TWIN_SCHEMA))
+    assert sorted(r.key for r in alone.collect()) == ["a", "b", "e", "f", "g"]  # Jaccard of a, c: 36 of 38
+    assert ngram_join.keep_one(empty).count() == 0
