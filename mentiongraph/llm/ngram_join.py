@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import postings
-from .common import carried, gram_hashes, id_text, map_arrow, mix, partitions, text_groups, uncarried, word_hashes
+from .common import carried, gram_hashes, id_text, map_arrow, mix, partitions, squeezed, text_groups, uncarried, word_hashes
 from .components import components
 from .tables import Scratch
 
@@ -112,10 +112,20 @@ def _screen(n: int, percent: int, parts: int):
 
 
 def _screened(batches):
+    """Documents, and each (n-gram, class) once whose n-gram another class has, too: all of an n-gram lies in one partition."""
+    found = []
     for kind, h, k, p in postings.repeated_postings(batches, distinct=True):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(h), int(kind == postings.ROWS), np.int32)), pa.array(h.view(np.int64)), pa.array(k), pa.array(p.astype(np.int64))],
-            ["doc", "h", "c", "n"])
+        if kind == postings.ROWS:
+            yield _screen_rows(1, h, k, p)
+        else:
+            found.append((h, k, p))
+    if found:
+        yield _screen_rows(0, *postings.sort_postings(*(np.concatenate(x) for x in zip(*found)), True))
+
+
+def _screen_rows(doc: int, h, k, p) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), doc, np.int32)), pa.array(h.view(np.int64)), pa.array(k), pa.array(p.astype(np.int64))],
+                                      ["doc", "h", "c", "n"])
 
 
 def _fragments(n: int, cuts: int):
@@ -123,7 +133,7 @@ def _fragments(n: int, cuts: int):
     def run(batches):
         for batch in batches:
             wanted = batch.column("c").to_pylist()
-            for first, _, texts in text_groups(batch):
+            for first, _, texts in text_groups(batch, "z"):
                 words, off = word_hashes([t.lower() for t in texts])
                 cs, fs, arrays, ns, signs = [], [], [], [], []
                 for i in range(len(texts)):
@@ -292,8 +302,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, all_pairs: bool
     table = scratch.write("screen", map_arrow(screen, _screened, "doc int, h long, c long, n long"))
     members = table.where("doc = 1").select(F.col("h").alias("doc_id"), "n", "c")
     classes = scratch.write("classes", members.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")))
-    shared = table.where("doc = 0").select("h", "c").distinct()
-    texts = docs.join(scratch.write("left", _survivors(shared, classes, percent)), "doc_id").select("c", "text")
+    shared = table.where("doc = 0").select("h", "c")
+    texts = squeezed(docs).join(scratch.write("left", _survivors(shared, classes, percent)), "doc_id").select("c", "z")
     cut = map_arrow(texts, _fragments(n, cuts), "c long, f int, n long, grams array<bigint>, sign array<bigint>").dropDuplicates(["c", "f"])
     fragments = scratch.write("fragments", cut)
     buckets = _buckets(fragments, percent, parts, scratch)
