@@ -47,18 +47,15 @@ def keyed_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     keys, bucket = list(keys), list(bucket)
     val = F.col(value) if isinstance(value, str) else value
-    tmp = df.withColumn("_rs_v", val.cast("double") if not isinstance(value, str) else val)
-    per_bucket = tmp.groupBy(*keys, *bucket).agg(F.sum("_rs_v").alias("_rs_bt"))
-    wb = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*bucket) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    at = keys + bucket
-    offsets = per_bucket.select(*[F.col(c).alias(f"_rs_k{i}") for i, c in enumerate(at)],
-                                F.coalesce(F.sum("_rs_bt").over(wb), F.lit(0)).alias("_rs_off"))
-    # null-safe: rows with a null time or key keep their place (nulls first)
-    same = [F.col(c).eqNullSafe(F.col(f"_rs_k{i}")) for i, c in enumerate(at)]
-    joined = tmp.join(offsets, same).drop(*[f"_rs_k{i}" for i in range(len(at))])
-    wi = Window.partitionBy(*keys, *bucket).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn(out, F.col("_rs_off") + F.sum("_rs_v").over(wi)).drop("_rs_v", "_rs_off")
+    # one struct for key and bucket: null fields compare as equal (nulls first), and the join and the window share its exchange
+    group = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], F.struct(*[F.col(c).alias(f"b{i}") for i, c in enumerate(bucket)]).alias("b"))
+    tmp = df.withColumn("_rs_v", val.cast("double") if not isinstance(value, str) else val).withColumn("_rs_g", group)
+    per_bucket = tmp.groupBy("_rs_g").agg(F.sum("_rs_v").alias("_rs_bt"))
+    wb = Window.partitionBy(*[F.col(f"_rs_g.k{i}") for i in range(len(keys))]).orderBy("_rs_g.b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select("_rs_g", F.coalesce(F.sum("_rs_bt").over(wb), F.lit(0)).alias("_rs_off"))
+    wi = Window.partitionBy("_rs_g").orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return (tmp.join(offsets, "_rs_g").withColumn(out, F.col("_rs_off") + F.sum("_rs_v").over(wi))
+            .drop("_rs_v", "_rs_off", "_rs_g"))
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Sequence[str], out: str) -> DataFrame:

@@ -11,7 +11,10 @@ the same fold is written as set operations over all articles at once:
   the joint input being the mean of both end nodes' sentiment after the article's mentions (J4);
 * node / edge totals after each article are global running sums of first-seen counts (A8);
 * degree centrality at an article = distinct neighbours so far / max(1, nodes so far - 1), for the
-  nodes the article touches (A7); the value before is the one at the entity's previous article.
+  nodes the article touches by a mention or a pair (A7); the value before is the one at the entity's
+  previous touch;
+* with a prior state the fold goes on from it: positions, averages, degrees and totals start at what
+  the state holds for the entities and edges of the batch (``operators.held_graph`` keeps such a state).
 
 Article order is (ts, article_id); mention order inside an article is given by ``order`` columns.
 """
@@ -54,35 +57,51 @@ def _r6(c):
     return F.round(c.cast("decimal(38,12)"), 6).cast("double")
 
 
+@dataclass
+class GraphPrior:
+    """What a fold goes on from: exact (unrounded) values of at least the entities and edges that the batch names."""
+
+    nodes: DataFrame              # id, type, mention_count, sentiment, degree, centrality, first_seen, last_seen
+    edges: DataFrame              # source, target, strength, joint_sentiment, first_seen, last_strengthened, updates
+    node_count: int = 0
+    edge_count: int = 0
+    event_count: int = 0
+
+
 @dataclass
 class GraphFold:
     mention_steps: DataFrame      # entity, article_id, ts, etype, k, x
     entity_articles: DataFrame    # entity, article_id, ts, k_first, k_last, x_last, x_old, etype_last, p
     pairs: DataFrame              # article_id, ts, entity_1, entity_2, count
-    edge_steps: DataFrame         # article_id, ts, entity_1, entity_2, count, kk, joint, strength, joint_sentiment
+    edge_steps: DataFrame         # article_id, ts, entity_1, entity_2, count, kk, joint, strength, joint_sentiment (_s0, _j0: before the batch)
     totals: DataFrame             # article_id, ts, node_count, edge_count, event_id (article order)
-    centrality: DataFrame         # entity, article_id, ts, p, degree, node_count, centrality
+    centrality: DataFrame         # entity, article_id, ts, q (number of the touch), degree, node_count, centrality (_c0: before the batch)
 
 
-def _node_as_of(pairs: DataFrame, ea: DataFrame) -> DataFrame:
+def _node_as_of(pairs: DataFrame, ea: DataFrame, prior: GraphPrior | None) -> DataFrame:
     """(entity, article_id, x_last): sentiment of a given pair's ends after the article's mentions, whether or not the
     article mentions them; entities not yet known are left out."""
     ends = pairs.select("article_id", "ts", F.explode(F.array("entity_1", "entity_2")).alias("entity")).distinct()
     both = (ea.select("entity", "article_id", "ts", F.lit(1).alias("_v"), F.lit(0).alias("_o"))
             .unionByName(ends.select("entity", "article_id", "ts", F.lit(0).alias("_v"), F.lit(1).alias("_o"))))
     at = keyed_running_sum(_bucketed(both), ["entity"], ["ts", "article_id", "_o"], F.col("_v"), ["_day", "_rng"], "p")
-    return (at.filter(F.col("_o") == 1).select("entity", "article_id", F.col("p").cast("long").alias("p"))
-            .join(ea.select("entity", "p", "x_last"), ["entity", "p"]).drop("p"))
+    at = at.filter(F.col("_o") == 1).select("entity", "article_id", F.col("p").cast("long").alias("p"))
+    if prior is None:
+        return at.join(ea.select("entity", "p", "x_last"), ["entity", "p"]).drop("p")
+    before = prior.nodes.select(F.col("id").alias("entity"), F.col("sentiment").alias("_x0"))
+    found = at.join(ea.select("entity", "p", "x_last"), ["entity", "p"], "left").join(before, "entity", "left")
+    return found.select("entity", "article_id", F.coalesce("x_last", "_x0").alias("x_last")).filter(F.col("x_last").isNotNull())
 
 
 def fold_graph(mentions: DataFrame, order: Sequence[str], window: int = 1, materialize: bool = True,
-               pairs: DataFrame | None = None) -> GraphFold:
+               pairs: DataFrame | None = None, prior: GraphPrior | None = None) -> GraphFold:
     """Build every per-step table of the graph fold from a mentions DataFrame.
 
     ``mentions`` needs article_id, ts, entity, etype, sent_idx, score and the ``order``
     tie-break columns (mention order inside an article). ``pairs`` (article_id, ts, entity_1, entity_2,
     count, ord) are an article's given pairs, folded one by one in the order of ``ord``; without them pairs
-    come from the mentions' sentences, and with them sent_idx is not read.
+    come from the mentions' sentences, and with them sent_idx is not read. With ``prior`` the batch, whose
+    articles all follow those folded before, goes on from that state.
 
     With ``materialize`` the step tables are checkpointed into the shared checkpoint folder: each
     is read by several later joins, so computing it once both saves work and keeps the plans of
@@ -91,17 +110,22 @@ def fold_graph(mentions: DataFrame, order: Sequence[str], window: int = 1, mater
     mat = cut_lineage if materialize else (lambda d: d)
     m = mentions.withColumn("entity", F.trim("entity")).filter(F.col("entity") != "")
     m = _bucketed(m)
-    mk = positions(m, ["entity"], ["ts", "article_id", *order], ["_day", "_rng"], "k")
-    mx = mat(ewma_scan(mk.select("entity", "article_id", "ts", "etype", "score", "k"),
-                       ["entity"], "k", [("score", "x")], alpha=NODE_ALPHA))
+    mk = positions(m, ["entity"], ["ts", "article_id", *order], ["_day", "_rng"], "k").select("entity", "article_id", "ts", "etype", "score", "k")
+    if prior is None:
+        mx = ewma_scan(mk, ["entity"], "k", [("score", "x")], alpha=NODE_ALPHA).withColumn("_x0", F.lit(None).cast("double"))
+    else:
+        held = prior.nodes.select(F.col("id").alias("entity"), F.col("mention_count").alias("_n0"), F.col("sentiment").alias("_x0"))
+        mx = ewma_scan(mk.join(held, "entity", "left"), ["entity"], "k", [("score", "x", "_x0")], alpha=NODE_ALPHA)
+        mx = mx.withColumn("k", F.col("k") + F.coalesce("_n0", F.lit(0))).drop("_n0")
+    mx = mat(mx)
 
     ea = mx.groupBy("entity", "article_id").agg(
         F.min("ts").alias("ts"), F.min("k").alias("k_first"), F.max("k").alias("k_last"),
-        F.max_by("x", "k").alias("x_last"),
+        F.max_by("x", "k").alias("x_last"), F.max("_x0").alias("_x0"),
         F.max_by("etype", F.when(F.col("etype") != "", F.col("k"))).alias("etype_last"))
     prev_x = mx.select("entity", F.col("k").alias("_kprev"), F.col("x").alias("x_old"))
-    ea = (ea.withColumn("_kprev", F.col("k_first") - 1)
-            .join(prev_x, ["entity", "_kprev"], "left").drop("_kprev"))
+    ea = (ea.withColumn("_kprev", F.col("k_first") - 1).join(prev_x, ["entity", "_kprev"], "left")
+            .withColumn("x_old", F.coalesce("x_old", "_x0")).drop("_kprev", "_x0"))
     ea = mat(positions(_bucketed(ea), ["entity"], ["ts", "article_id"], ["_day", "_rng"], "p").drop("_day", "_rng"))
 
     # articles in order, with the number of entities / edges seen for the first time
@@ -112,11 +136,11 @@ def fold_graph(mentions: DataFrame, order: Sequence[str], window: int = 1, mater
         pairs = pairs.filter((one != "") & (two != "") & (one != two)).select(
             "article_id", "ts", F.least(one, two).alias("entity_1"), F.greatest(one, two).alias("entity_2"), "count", "ord")
         arts = arts.unionByName(pairs.select("article_id", "ts")).distinct()
-    new_nodes = ea.filter(F.col("p") == 1).groupBy("article_id").agg(F.count(F.lit(1)).alias("_nn"))
+    new_nodes = ea.filter(F.col("k_first") == 1).groupBy("article_id").agg(F.count(F.lit(1)).alias("_nn"))
 
     if not given:
         pairs = cooccurrence_pairs(mentions.select("article_id", "sent_idx", "entity"), window=window).join(arts, "article_id")
-    xe = _node_as_of(pairs, ea) if given else ea.select("entity", "article_id", "x_last")
+    xe = _node_as_of(pairs, ea, prior) if given else ea.select("entity", "article_id", "x_last")
     pj = (pairs
           .join(xe.withColumnRenamed("entity", "entity_1").withColumnRenamed("x_last", "_x1"), ["entity_1", "article_id"])
           .join(xe.withColumnRenamed("entity", "entity_2").withColumnRenamed("x_last", "_x2"), ["entity_2", "article_id"])
@@ -124,32 +148,46 @@ def fold_graph(mentions: DataFrame, order: Sequence[str], window: int = 1, mater
     pk = positions(_bucketed(pj), ["entity_1", "entity_2"], ["ts", "article_id"] + ["ord"] * given, ["_day", "_rng"], "kk") \
         .drop("_day", "_rng")
     pk = pk.withColumn("_cnt_d", F.col("count").cast("double"))
-    py = mat(ewma_scan(pk, ["entity_1", "entity_2"], "kk", [("_cnt_d", "strength"), ("joint", "joint_sentiment")],
-                       alpha=EDGE_ALPHA).drop("_cnt_d"))
+    if prior is None:
+        pk = pk.withColumn("_s0", F.lit(None).cast("double")).withColumn("_j0", F.lit(None).cast("double"))
+        py = ewma_scan(pk, ["entity_1", "entity_2"], "kk", [("_cnt_d", "strength"), ("joint", "joint_sentiment")], alpha=EDGE_ALPHA)
+    else:
+        held = prior.edges.select(F.col("source").alias("entity_1"), F.col("target").alias("entity_2"), F.col("strength").alias("_s0"),
+                                  F.col("joint_sentiment").alias("_j0"), F.col("updates").alias("_u0"))
+        py = ewma_scan(pk.join(held, ["entity_1", "entity_2"], "left"), ["entity_1", "entity_2"], "kk",
+                       [("_cnt_d", "strength", "_s0"), ("joint", "joint_sentiment", "_j0")], alpha=EDGE_ALPHA)
+        py = py.withColumn("kk", F.col("kk") + F.coalesce("_u0", F.lit(0))).drop("_u0")
+    py = mat(py.drop("_cnt_d"))
     new_edges = py.filter(F.col("kk") == 1).groupBy("article_id").agg(F.count(F.lit(1)).alias("_ne"))
 
     tot = (arts.join(new_nodes, "article_id", "left").join(new_edges, "article_id", "left")
            .fillna(0, ["_nn", "_ne"]))
     tot = _bucketed(tot)
-    tot = keyed_running_sum(tot, [], ["ts", "article_id"], F.col("_nn"), ["_day", "_rng"], "node_count")
-    tot = keyed_running_sum(tot, [], ["ts", "article_id"], F.col("_ne"), ["_day", "_rng"], "edge_count")
-    tot = keyed_running_sum(tot, [], ["ts", "article_id"], F.lit(1), ["_day", "_rng"], "event_id")
-    totals = mat(tot.select("article_id", "ts", F.col("node_count").cast("long").alias("node_count"),
-                            F.col("edge_count").cast("long").alias("edge_count"),
-                            F.col("event_id").cast("long").alias("event_id")))
+    base = prior or GraphPrior(None, None)
+    for value, out, before in ((F.col("_nn"), "node_count", base.node_count), (F.col("_ne"), "edge_count", base.edge_count),
+                               (F.lit(1), "event_id", base.event_count)):
+        tot = keyed_running_sum(tot, [], ["ts", "article_id"], value, ["_day", "_rng"], out)
+        tot = tot.withColumn(out, F.col(out).cast("long") + F.lit(before))
+    totals = mat(tot.select("article_id", "ts", "node_count", "edge_count", "event_id"))
 
     first_edges = py.filter(F.col("kk") == 1)
-    nb_ts = ["ts"] * given
-    nb_new = (first_edges.select(F.col("entity_1").alias("entity"), "article_id", *nb_ts)
-              .unionByName(first_edges.select(F.col("entity_2").alias("entity"), "article_id", *nb_ts))
-              .groupBy("entity", "article_id", *nb_ts).agg(F.count(F.lit(1)).alias("_nb")))
-    # a given pair may bring a neighbour in an article that does not mention the entity
-    ce = (ea.select("entity", "article_id", "ts", "p").join(nb_new, ["entity", "article_id", *nb_ts], "full" if given else "left")
-          .fillna(0, ["_nb"]))
+    nb_new = (first_edges.select(F.col("entity_1").alias("entity"), "article_id")
+              .unionByName(first_edges.select(F.col("entity_2").alias("entity"), "article_id"))
+              .groupBy("entity", "article_id").agg(F.count(F.lit(1)).alias("_nb")))
+    touched = ea.select("entity", "article_id", "ts")
+    if given:  # a given pair touches its ends whether or not the article mentions them
+        touched = touched.unionByName(py.select(F.explode(F.array("entity_1", "entity_2")).alias("entity"), "article_id", "ts")).distinct()
+    ce = touched.join(nb_new, ["entity", "article_id"], "left").fillna(0, ["_nb"])
     ce = keyed_running_sum(_bucketed(ce), ["entity"], ["ts", "article_id"], F.col("_nb"), ["_day", "_rng"], "degree")
     if given:
-        ce = ce.filter(F.col("p").isNotNull())
-    ce = (ce.drop("_day", "_rng", "_nb").join(totals.select("article_id", "node_count"), "article_id")
+        ce = positions(ce, ["entity"], ["ts", "article_id"], ["_day", "_rng"], "q")
+    else:  # touches are the entity's articles
+        ce = ce.join(ea.select("entity", "article_id", F.col("p").alias("q")), ["entity", "article_id"])
+    ce = ce.drop("_day", "_rng", "_nb").withColumn("_c0", F.lit(None).cast("double"))
+    if prior is not None:
+        held = prior.nodes.select(F.col("id").alias("entity"), F.col("degree").alias("_d0"), F.col("centrality").alias("_c"))
+        ce = ce.join(held, "entity", "left").withColumn("degree", F.col("degree") + F.coalesce("_d0", F.lit(0))).withColumn("_c0", F.col("_c")).drop("_c", "_d0")
+    ce = (ce.join(totals.select("article_id", "node_count"), "article_id")
           .withColumn("degree", F.col("degree").cast("long"))
           .withColumn("centrality", F.col("degree").cast("double") /
                       F.greatest(F.lit(1), F.col("node_count") - 1).cast("double")))
@@ -162,13 +200,13 @@ def entity_changes(fold: GraphFold, sentiment_threshold: float = SENTIMENT_DELTA
                    centrality_threshold: float = CENTRALITY_DELTA_THRESHOLD) -> DataFrame:
     """Flat entity change rows (one per mentioned entity and article), rounded to 6 places."""
     ea = fold.entity_articles
-    ce = fold.centrality.select("entity", "article_id", "p", "centrality")
-    prev = ce.select("entity", F.col("p").alias("_pp"), F.col("centrality").alias("old_c"))
-    rows = (ea.join(ce.drop("p"), ["entity", "article_id"])
-              .withColumn("_pp", F.col("p") - 1)
-              .join(prev, ["entity", "_pp"], "left"))
+    ce = fold.centrality.select("entity", "article_id", "q", "centrality", "_c0")
+    prev = ce.select("entity", F.col("q").alias("_pq"), F.col("centrality").alias("old_c"))
+    rows = (ea.join(ce, ["entity", "article_id"])
+              .withColumn("_pq", F.col("q") - 1)
+              .join(prev, ["entity", "_pq"], "left"))
     old_s = F.coalesce(F.col("x_old"), F.lit(0.0))
-    old_c = F.coalesce(F.col("old_c"), F.lit(0.0))
+    old_c = F.coalesce(F.col("old_c"), F.col("_c0"), F.lit(0.0))
     d_m = F.col("k_last") - F.col("k_first") + 1
     d_s = F.col("x_last") - old_s
     d_c = F.col("centrality") - old_c
@@ -190,10 +228,11 @@ def edge_changes(fold: GraphFold, strength_threshold: float = STRENGTH_DELTA_THR
                      F.col("strength").alias("_os"), F.col("joint_sentiment").alias("_oj"))
     if "ord" in py.columns:  # a record may give a pair twice: one change from before its first to after its last step
         py = py.groupBy("article_id", "ts", "entity_1", "entity_2").agg(
-            F.max_by("strength", "kk").alias("strength"), F.max_by("joint_sentiment", "kk").alias("joint_sentiment"), F.min("kk").alias("kk"))
+            F.max_by("strength", "kk").alias("strength"), F.max_by("joint_sentiment", "kk").alias("joint_sentiment"), F.min("kk").alias("kk"),
+            F.max("_s0").alias("_s0"), F.max("_j0").alias("_j0"))
     rows = py.withColumn("_kp", F.col("kk") - 1).join(prev, ["entity_1", "entity_2", "_kp"], "left")
-    o_s = F.coalesce(F.col("_os"), F.lit(0.0))
-    o_j = F.coalesce(F.col("_oj"), F.lit(0.0))
+    o_s = F.coalesce(F.col("_os"), F.col("_s0"), F.lit(0.0))
+    o_j = F.coalesce(F.col("_oj"), F.col("_j0"), F.lit(0.0))
     d_s = F.col("strength") - o_s
     d_j = F.col("joint_sentiment") - o_j
     keep = (F.abs(F.round(d_s, 9)) >= strength_threshold) | (F.abs(F.round(d_j, 9)) >= joint_threshold)
@@ -273,11 +312,10 @@ def node_state(fold: GraphFold, mentions: DataFrame) -> DataFrame:
         F.max("k_last").alias("mention_count"),
         F.max_by("x_last", "k_last").alias("sentiment"),
         F.max_by("etype_last", F.when(F.col("etype_last").isNotNull(), F.col("k_last"))).alias("type"),
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-        F.max_by("article_id", "p").alias("_last_article"))
-    cent = fold.centrality.select("entity", F.col("article_id").alias("_last_article"), "centrality")
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    cent = fold.centrality.groupBy("entity").agg(F.max_by("centrality", "q").alias("centrality"))
     rate = hourly_rate_final(mentions)
-    return (last.join(cent, ["entity", "_last_article"], "left").join(rate, "entity", "left")
+    return (last.join(cent, "entity", "left").join(rate, "entity", "left")
             .select(F.col("entity").alias("id"), F.coalesce("type", F.lit("")).alias("type"),
                     F.col("mention_count").cast("long").alias("mention_count"),
                     _r6(F.col("sentiment")).alias("sentiment"),
@@ -319,7 +357,7 @@ def degree_centrality(fold: GraphFold, mode: str = "as_touched") -> DataFrame:
         deg = ce.groupBy("entity").agg(F.max("degree").alias("degree"))
         return deg.select(F.col("entity").alias("id"), "degree",
                           _r6(F.col("degree") / F.greatest(F.lit(1), n_nodes - 1)).alias("centrality"))
-    return ce.groupBy("entity").agg(F.max_by(F.struct("degree", "centrality"), "p").alias("s")).select(
+    return ce.groupBy("entity").agg(F.max_by(F.struct("degree", "centrality"), "q").alias("s")).select(
         F.col("entity").alias("id"), F.col("s.degree").cast("long").alias("degree"),
         _r6(F.col("s.centrality")).alias("centrality"))
 

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cooccurrence as co
-from ..operators import graph_state as gs
 from ..operators import intake as it
 from ..operators import text as tx
+from ..operators.held_graph import HeldGraph
 from ..sources import schemas
 
 CORRELATION_TIMEOUT_SECONDS = 45
@@ -99,18 +99,14 @@ def enriched_to_pairs(enriched: DataFrame) -> DataFrame:
     return p.select("article_id", F.col("processed_at").cast("timestamp_ntz").alias("ts"), "p.entity_1", "p.entity_2", "p.count", "ord")
 
 
-def start_graph_deltas(enriched_stream: DataFrame, state_path: str, out_path: str, checkpoint: str):
-    """ST2: enriched batches -> change events. Each batch is stored under its batch_id (idempotent); the fold
-    runs over the stored results with the pairs they give, and the entity and relationship changes of this
-    batch's articles are written under ``out_path``/entities and ``out_path``/relationships."""
+def start_graph_deltas(enriched_stream: DataFrame, state_path: str, checkpoint: str, **held):
+    """ST2: enriched batches -> change events. Each batch is folded, with the pairs it gives, onto the graph held under
+    ``state_path`` (``HeldGraph``), which keeps the change rows of every version; a replayed batch changes nothing."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
-        spark = batch.sparkSession
-        stored = spark.read.parquet(state_path).filter(F.col("batch_id") <= batch_id).drop("batch_id")
-        fold = gs.fold_graph(enriched_to_mentions(stored), ["ord"], pairs=enriched_to_pairs(stored))
-        mine = batch.select("article_id").distinct()
-        for kind, rows in (("entities", gs.entity_changes(fold)), ("relationships", gs.edge_changes(fold))):
-            rows.join(mine, "article_id", "left_semi").write.mode("overwrite").parquet(f"{out_path}/{kind}/batch_id={batch_id}")
+        graph = HeldGraph(batch.sparkSession, state_path, **held)
+        batch = batch.persist()
+        graph.apply(batch_id, enriched_to_mentions(batch), ["ord"], pairs=enriched_to_pairs(batch))
+        batch.unpersist()
     return enriched_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
 
 

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from mentiongraph.operators.held_graph import HeldGraph
 from mentiongraph.streaming import pipelines as pl
 
 SF = "/root/testdata/sf0.001"
@@ -55,13 +56,14 @@ def test_graph_deltas_keep_the_given_pairs(spark, tmp_path):
     for i, r in enumerate(records):
         spark.createDataFrame([json.dumps(r)], "string").coalesce(1).write.mode("append").text(str(tmp_path / "in"))
         stream = spark.readStream.schema(schemas.ENRICHED).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-        q = pl.start_graph_deltas(stream, str(tmp_path / "state"), str(tmp_path / "out"), str(tmp_path / "ck"))
+        q = pl.start_graph_deltas(stream, str(tmp_path / "state"), str(tmp_path / "ck"))
         q.processAllAvailable()
         q.stop()
-    edges = {(r.article_id, r.source, r.target): r for r in spark.read.parquet(str(tmp_path / "out/relationships")).collect()}
+    held = HeldGraph(spark, str(tmp_path / "state"))
+    edges = {(r.article_id, r.source, r.target): r for r in held.changes("relationships").collect()}
     assert set(edges) == {("a", "Anna", "Carl"), ("b", "Anna", "Bob")}
     assert edges["a", "Anna", "Carl"].new_strength == 2.0 and edges["a", "Anna", "Carl"].new_joint_sentiment == 0.75
     assert edges["b", "Anna", "Bob"].new_strength == 2.9 and edges["b", "Anna", "Bob"].new_joint_sentiment == 0.5
-    entities = {(r.article_id, r.entity_id): r for r in spark.read.parquet(str(tmp_path / "out/entities")).collect()}
+    entities = {(r.article_id, r.entity_id): r for r in held.changes("entities").collect()}
     assert set(entities) == {("a", "Anna"), ("a", "Bob"), ("a", "Carl"), ("b", "Bob")}
     assert entities["b", "Bob"].old_mentions == 1 and entities["b", "Bob"].new_centrality == 0.5
