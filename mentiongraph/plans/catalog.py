@@ -253,7 +253,7 @@ SELECT CAST(floor(epoch(event_time) / 2592000) * 2592000 AS BIGINT) AS bucket_st
 FROM hist_e WHERE event_time >= TIMESTAMP '1995-01-01 00:00:00' AND event_time <= TIMESTAMP '2002-01-01 00:00:00'
 GROUP BY 1""")
 def q_sentiment_trend(spark, sf_dir):
-    t = hs.sentiment_trend(_history(spark, sf_dir), "1995-01-01 00:00:00", "2002-01-01 00:00:00", "30d")
+    t = hs.sentiment_trend(_history(spark, sf_dir).entity_rows, "1995-01-01 00:00:00", "2002-01-01 00:00:00", "30d")
     return t.select(F.unix_seconds("bucket_start").alias("bucket_start"),
                     gs._r6(F.col("avg_sentiment")).alias("avg_sentiment"), "samples")
 
@@ -278,6 +278,82 @@ def q_replay_after(spark, sf_dir):
     return hs.replay_after(hs.nested_events(_history(spark, sf_dir)), 5000, 1000, "part-42").select("event_id", "article_id")
 
 
+# --------------------------------------------------------------------------- state carried between batches (G14 ST2 S9 S10 T9 T2)
+
+from ..operators.held_graph import HeldGraph  # noqa: E402
+from ..operators.stored_history import StoredHistory  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+# the whole table is applied in two batches, cut here
+BATCH_CUT = "1995-06-17 00:00:00"
+
+
+def _halves(rows, ts):
+    cut = F.lit(BATCH_CUT).cast("timestamp_ntz")
+    return rows.filter(F.col(ts) < cut), rows.filter(F.col(ts) >= cut)
+
+
+def _held(spark, sf_dir) -> HeldGraph:
+    graph = HeldGraph(spark, scratch_path(spark, "held-graph"))
+    for batch_id, part in enumerate(_halves(adapters.mentions(spark, sf_dir), "ts")):
+        graph.apply(batch_id, part, adapters.MENTION_ORDER)
+    return graph
+
+
+@register("held_nodes", ORACLE["node_state"])
+def q_held_nodes(spark, sf_dir):
+    return _held(spark, sf_dir).state()[0]
+
+
+@register("held_edges", ORACLE["edge_state"])
+def q_held_edges(spark, sf_dir):
+    return _held(spark, sf_dir).state()[1]
+
+
+@register("held_entity_deltas", ENTITY_DELTAS_SQL)
+def q_held_entity_deltas(spark, sf_dir):
+    return _held(spark, sf_dir).changes("entities").drop("version")
+
+
+def _stored(spark, sf_dir) -> StoredHistory:
+    """The change history stored in two batches, snapshots with it."""
+    h = _history(spark, sf_dir)
+    stored = StoredHistory(spark, scratch_path(spark, "history"))
+    events, entities, relations = (_halves(x, "event_time") for x in (h.events, h.entity_rows, h.edge_rows))
+    for batch_id in (0, 1):
+        stored.append(batch_id, events[batch_id], entities[batch_id].drop("event_id"), relations[batch_id].drop("event_id"))
+    return stored
+
+
+STORED_STATE_AT = f"""
+WITH RECURSIVE {S.HISTORY_CTES}{S.SNAPSHOT_CTES}{S.state_sel_cte(STATE_AT)},
+num AS (SELECT count(*) AS base_snapshot_id FROM snaps, sel WHERE snapshot_event_id <= sel.s_id),
+app AS (SELECT count(*) AS applied_changes FROM hist_ev h, sel WHERE h.event_time > sel.s_time AND h.event_time <= TIMESTAMP '{STATE_AT}')"""
+
+
+@register("stored_state_at", STORED_STATE_AT + f""",
+chosen AS (SELECT h.* FROM hist_e h, sel
+           WHERE h.event_id <= sel.s_id OR (h.event_time > sel.s_time AND h.event_time <= TIMESTAMP '{STATE_AT}'))
+SELECT entity_id AS id, arg_max(new_mentions, event_id) AS mention_count, arg_max(new_sentiment, event_id) AS sentiment,
+       arg_max(coalesce(new_centrality, 0.0), event_id) AS centrality, any_value(base_snapshot_id) AS base_snapshot_id,
+       any_value(applied_changes) AS applied_changes
+FROM chosen, num, app GROUP BY entity_id""")
+def q_stored_state_at(spark, sf_dir):
+    return _stored(spark, sf_dir).state_at(STATE_AT)
+
+
+@register("stored_snapshots", f"""
+WITH RECURSIVE {S.HISTORY_CTES}{S.SNAPSHOT_CTES}
+SELECT row_number() OVER (ORDER BY snapshot_event_id) AS snapshot_id, snapshot_time, snapshot_event_id AS last_event_id FROM snaps""")
+def q_stored_snapshots(spark, sf_dir):
+    return _stored(spark, sf_dir).snapshots().drop("adopted")
+
+
+@register("stored_events", f"WITH {S.HISTORY_CTES} SELECT event_id, event_time, CAST(article_id AS VARCHAR) AS article_id FROM hist_ev")
+def q_stored_events(spark, sf_dir):
+    return _stored(spark, sf_dir).events().drop("event_date")
+
+
 # --------------------------------------------------------------------------- graph algorithms
 
 from ..operators import graph_algo as ga  # noqa: E402

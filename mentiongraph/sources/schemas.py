@@ -55,3 +55,10 @@ DLQ = T.StructType([
     T.StructField("stack_trace", T.StringType()),
     T.StructField("raw_value", T.StringType()),
 ])
+
+CHANGE_EVENT = (
+    "schema_version int, timestamp long, article_id string, "
+    "entity_changes array<struct<id:string,old_mentions:long,new_mentions:long,delta_mentions:long,old_sentiment:double,new_sentiment:double,"
+    "delta_sentiment:double,old_centrality:double,new_centrality:double,delta_centrality:double>>, "
+    "relationship_changes array<struct<source:string,target:string,old_strength:double,new_strength:double,delta_strength:double,"
+    "old_joint_sentiment:double,new_joint_sentiment:double,delta_joint_sentiment:double>>, node_count long, edge_count long")

@@ -14,6 +14,7 @@ from ..operators import cooccurrence as co
 from ..operators import intake as it
 from ..operators import text as tx
 from ..operators.held_graph import HeldGraph
+from ..operators.stored_history import StoredHistory, flatten_changes
 from ..sources import schemas
 
 CORRELATION_TIMEOUT_SECONDS = 45
@@ -110,6 +111,21 @@ def start_graph_deltas(enriched_stream: DataFrame, state_path: str, checkpoint:
     return enriched_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
 
 
+def change_event_stream(spark: SparkSession, path: str, max_files: int = 25) -> DataFrame:
+    """Nested change events as JSON files."""
+    return spark.readStream.schema(schemas.CHANGE_EVENT).option("maxFilesPerTrigger", max_files).json(path)
+
+
+def start_history(changes: DataFrame, path: str, checkpoint: str, **rule):
+    """ST4: change events -> stored history with snapshots (``StoredHistory``); events without a time or an article are
+    not stored, and a replayed batch changes nothing."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.filter("timestamp is not null and article_id is not null").persist()
+        StoredHistory(batch.sparkSession, path, **rule).append(batch_id, *flatten_changes(batch))
+        batch.unpersist()
+    return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
+
+
 def hourly_counts(events: DataFrame, key: str = "entity", ts: str = "ts", delay: str = "30 minutes") -> DataFrame:
     """ST7 windowed form: mentions per key per hour with a watermark bounding the state."""
     return (events.withWatermark(ts, delay).groupBy(F.window(ts, "1 hour"), key)
