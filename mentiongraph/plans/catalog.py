@@ -318,7 +318,7 @@ def q_held_entity_deltas(spark, sf_dir):
 def _stored(spark, sf_dir) -> StoredHistory:
     """The change history stored in two batches, snapshots with it."""
     h = _history(spark, sf_dir)
-    stored = StoredHistory(spark, scratch_path(spark, "history"))
+    stored = StoredHistory(spark, scratch_path(spark, "history"), dates="year")  # a few events a day
     events, entities, relations = (_halves(x, "event_time") for x in (h.events, h.entity_rows, h.edge_rows))
     for batch_id in (0, 1):
         stored.append(batch_id, events[batch_id], entities[batch_id].drop("event_id"), relations[batch_id].drop("event_id"))
