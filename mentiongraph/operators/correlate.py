@@ -1,9 +1,9 @@
 """Three-stage correlation by article id (J6, A13, A18) in batch form.
 
 raw article -> enriched result within ``timeout_s`` -> change event within ``timeout_s`` of the
-enriched result. Each hop is an equi-join on the article id with a time-range condition; a missing
-right side is reported as a timeout at that step. The streaming form with watermarks is
-``streaming.pipelines.correlate``.
+enriched result. Each hop is an equi-join on the article id with a time-range condition, of which the
+first match in time counts; a missing right side is reported as a timeout at that step. The streaming form, with
+event-time timers, is ``streaming.pipelines.correlate``.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ def correlate_stages(raw: DataFrame, enriched: DataFrame, changes: DataFrame, ti
     e = enriched.withColumnRenamed("article_id", "_e_id")
     j1 = raw.join(e, (F.col("article_id") == F.col("_e_id")) &
                   F.col("t_enriched").between(F.col("t_raw"), F.col("t_raw") + gap), "left").drop("_e_id")
+    j1 = j1.groupBy("article_id", "t_raw").agg(F.min(F.struct("t_enriched", "mean_sentiment")).alias("e")).select("article_id", "t_raw", "e.*")
     c = changes.withColumnRenamed("article_id", "_c_id")
     j2 = j1.join(c, (F.col("article_id") == F.col("_c_id")) & F.col("t_enriched").isNotNull() &
                  F.col("t_change").between(F.col("t_enriched"), F.col("t_enriched") + gap), "left").drop("_c_id")
+    j2 = j2.groupBy("article_id", "t_raw", "t_enriched", "mean_sentiment").agg(F.min(F.struct("t_change", "node_count", "edge_count")).alias("c")) \
+        .select("article_id", "t_raw", "t_enriched", "mean_sentiment", "c.*")
     return j2.select(
         "article_id",
         F.col("t_enriched").isNotNull().alias("step2"),

@@ -1,4 +1,4 @@
-"""Processing metrics per tumbling interval (A14, A15) and delivery totals."""
+"""Processing metrics per tumbling interval."""
 
 from __future__ import annotations
 
@@ -23,11 +23,3 @@ def processing_metrics(events: DataFrame, interval_s: int = 3600) -> DataFrame:
                     _r6(F.col("processed_ok") / F.lit(float(interval_s))).alias("articles_per_second"),
                     _r6(F.coalesce(F.col("_lat"), F.lit(0.0))).alias("avg_latency_ms"),
                     _r6(F.greatest(F.lit(0.0), F.col("window_start") + interval_s - F.col("_last"))).alias("lag_seconds"))
-
-
-def delivery_totals(deliveries: DataFrame) -> DataFrame:
-    """Sent, dropped and drop rate = dropped / max(1, sent + dropped)."""
-    g = deliveries.agg(F.count(F.when(F.col("sent"), 1)).alias("sent"),
-                       F.count(F.when(~F.col("sent"), 1)).alias("dropped"))
-    return g.select("sent", "dropped",
-                    _r6(F.col("dropped") / F.greatest(F.lit(1), F.col("sent") + F.col("dropped"))).alias("drop_rate"))

@@ -1,20 +1,15 @@
-"""Routing change events to subscribers.
-
-A subscriber has topic terms (F5) and a set of entity subscriptions. An event goes to a subscriber
-when some term is a substring of the event haystack (article id and changed entity ids, F6) and,
-if the subscriber has subscriptions, some changed entity is subscribed (F7); no terms / no
-subscriptions match everything.
-
-The theta join is turned into equi-joins: terms carry no whitespace, so a term can only occur
-inside one whitespace-free token of the haystack; every token is exploded into its substrings of
-length >= 3 (short ids, bounded per token) and joined to the terms on equality. Subscriptions are
-an equi-join on the exploded entity ids. Subscribers without terms or subscriptions match every
-event; that part is the only one that pairs the two sides wholesale and is taken from a
-subscriber set whose size is checked before it is broadcast.
-
-Rate limit (W5): per subscriber, fixed windows of ``window_us`` opened by the first message after
-the previous window, at most ``per_window`` messages sent per window. Window starts are a per-key
-pointer chain (``functions.chains``); a message joins its window by (key, time bucket).
+"""Routing change events to subscribers.
+
+A subscriber has topic terms (F5: three characters or more, in lower case, without white space) and a set
+of entity subscriptions. An event goes to a subscriber when some term is a substring of the event's
+haystack (article id and changed entity ids, F6) and some changed entity is subscribed; a subscriber
+without terms, or without subscriptions, passes that half.
+
+A term can only lie inside one token of the haystack. Tokens repeat from event to event, so
+matching runs over the distinct ones: an index of their trigrams, where each term looks up its rarest
+trigram only and the tokens found are checked for the whole term. Subscriptions are an equi-join on
+entity ids. Subscribers without any filter get every event; they are named once (``open_clients``),
+not paired with each event.
 """
 
 from __future__ import annotations
@@ -22,72 +17,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chains import chain_from_starts, keyed_first_at_or_after
-from ..functions.scan import positions
+TRIGRAM = 3
 
-RATE_LIMIT_PER_SEC = 30
-BROADCAST_MAX_CLIENTS = 100_000
 
+def _trigrams(text: Column) -> Column:
+    """The distinct substrings of three characters; none of a shorter text."""
+    n = F.char_length(text)
+    places = F.when(n >= TRIGRAM, F.sequence(F.lit(1), n - (TRIGRAM - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(TRIGRAM))))
 
-def _substrings_expr(col: str, min_len: int = 3) -> Column:
-    return F.expr(
-        f"CASE WHEN length({col}) >= {min_len} THEN flatten(transform(sequence(1, length({col}) - {min_len - 1}), "
-        f"s -> transform(sequence({min_len}, length({col}) - s + 1), l -> substring({col}, s, l)))) "
-        f"ELSE array() END")
+
+def matching_tokens(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, token): the distinct tokens that contain each of the distinct terms of three characters or more."""
+    index = tokens.select("token", F.explode(_trigrams(F.col("token"))).alias("tri"))
+    often = index.groupBy("tri").agg(F.count(F.lit(1)).alias("df"))
+    # a term with a trigram that no token has is in no token; the inner joins drop it by the count of its trigrams
+    wanted = terms.select("term", F.size(_trigrams(F.col("term"))).alias("size"), F.explode(_trigrams(F.col("term"))).alias("tri")).join(often, "tri")
+    rarest = wanted.groupBy("term").agg(F.min(F.struct("df", "tri")).alias("r"), F.count(F.lit(1)).alias("known"), F.max("size").alias("size")) \
+        .filter("known = size").select("term", F.col("r.tri").alias("tri"))
+    return index.join(rarest, "tri").filter(F.contains("token", "term")).select("term", "token")
+
+
+def _event_tokens(event_entities: DataFrame) -> DataFrame:
+    ids = event_entities.select("event_id", F.explode(F.array(F.col("entity_id"), F.col("article_id").cast("string"))).alias("id"))
+    return ids.select("event_id", F.explode(F.split(F.lower("id"), r"\s+")).alias("token")).distinct()
 
 
 def route(event_entities: DataFrame, client_terms: DataFrame, client_subs: DataFrame, clients: DataFrame) -> DataFrame:
-    """J8 -> (client_id, event_id).
+    """J8 -> (client_id, event_id) of the subscribers with a filter; see ``open_clients`` for the others.
 
     event_entities: (event_id, article_id, entity_id); client_terms: (client_id, term);
     client_subs: (client_id, entity); clients: (client_id).
     """
-    hay = (event_entities.select("event_id", F.lower(F.col("entity_id")).alias("tok"))
-           .unionByName(event_entities.select("event_id", F.lower(F.col("article_id").cast("string")).alias("tok")))
-           .select("event_id", F.explode(F.split("tok", r"\s+")).alias("tok")).distinct())
-    grams = hay.select("event_id", F.explode(_substrings_expr("tok")).alias("term")).distinct()
-    topic = grams.join(client_terms.select("client_id", "term"), "term").select("client_id", "event_id").distinct()
+    tokens = _event_tokens(event_entities)
+    found = matching_tokens(tokens.select("token").distinct(), client_terms.select("term").distinct())
+    topic = client_terms.select("client_id", "term").distinct().join(found, "term").join(tokens, "token").select("client_id", "event_id").distinct()
     subs = (event_entities.select("event_id", F.col("entity_id").alias("entity"))
             .join(client_subs.select("client_id", "entity"), "entity").select("client_id", "event_id").distinct())
-    both = topic.join(subs, ["client_id", "event_id"], "left_semi")
-    no_terms = clients.join(client_terms, "client_id", "left_anti").select("client_id")
-    no_subs = clients.join(client_subs, "client_id", "left_anti").select("client_id")
-    extra = []
-    events = event_entities.select("event_id").distinct()
-    if not no_terms.isEmpty():
-        extra.append(subs.join(no_terms, "client_id", "left_semi"))
-    if not no_subs.isEmpty():
-        extra.append(topic.join(no_subs, "client_id", "left_semi"))
-    open_all = no_terms.join(no_subs, "client_id", "left_semi")
-    n_open = open_all.count() if not open_all.isEmpty() else 0
-    if n_open:
-        if n_open > BROADCAST_MAX_CLIENTS:
-            raise ValueError("too many subscribers without any filter to pair with every event")
-        extra.append(events.join(F.broadcast(open_all), how="inner", on=F.lit(True)).select("client_id", "event_id"))
-    out = both
-    for e in extra:
-        out = out.unionByName(e)
-    return out.distinct()
-
-
-def rate_limit(deliveries: DataFrame, ts: str = "event_time", per_window: int = RATE_LIMIT_PER_SEC,
-               window_us: int = 1_000_000) -> DataFrame:
-    """W5 -> deliveries with ``sent`` (bool): first ``per_window`` messages of each window per client."""
-    d = deliveries.withColumn("_day", F.date_trunc("day", F.col(ts)))
-    msgs = positions(d, ["client_id"], [ts, "event_id"], ["_day"], "pos").drop("_day")
-    nxt = keyed_first_at_or_after(msgs, ["client_id"], "pos", ts, window_us)
-    starts = msgs.filter(F.col("pos") == 1).select("client_id", "pos")
-    wins = chain_from_starts(nxt, ["client_id"], "pos", "_first_after", starts)
-    wt = wins.join(msgs.select("client_id", "pos", F.unix_micros(F.col(ts).cast("timestamp")).alias("_ws")), ["client_id", "pos"])
-    wt = wt.select("client_id", F.col("pos").alias("_wpos"), "_ws",
-                   F.explode(F.array(F.floor(F.col("_ws") / window_us), F.floor(F.col("_ws") / window_us) + 1)).alias("_b"))
-    m = msgs.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_b", F.floor(F.col("_t") / window_us))
-    j = (m.join(wt, ["client_id", "_b"])
-         .filter((F.col("_t") >= F.col("_ws")) & (F.col("_t") < F.col("_ws") + window_us)))
-    return j.select("client_id", "event_id", ts, "pos", (F.col("pos") - F.col("_wpos") + 1 <= per_window).alias("sent"))
-
-
-def per_client_totals(limited: DataFrame) -> DataFrame:
-    """Sent and dropped per client."""
-    return limited.groupBy("client_id").agg(F.count(F.when(F.col("sent"), 1)).alias("sent"),
-                                            F.count(F.when(~F.col("sent"), 1)).alias("dropped"))
+    kinds = (clients.select("client_id").distinct()
+             .join(client_terms.select("client_id", F.lit(True).alias("by_topic")).distinct(), "client_id", "left")
+             .join(client_subs.select("client_id", F.lit(True).alias("by_entity")).distinct(), "client_id", "left"))
+    met = topic.withColumn("t", F.lit(True)).join(subs.withColumn("s", F.lit(True)), ["client_id", "event_id"], "full").join(kinds, "client_id")
+    passes = (F.col("t").isNotNull() | F.col("by_topic").isNull()) & (F.col("s").isNotNull() | F.col("by_entity").isNull())
+    return met.filter(passes).select("client_id", "event_id")
+
+
+def open_clients(client_terms: DataFrame, client_subs: DataFrame, clients: DataFrame) -> DataFrame:
+    """(client_id) of the subscribers without terms and without subscriptions: every event goes to them."""
+    filtered = client_terms.select("client_id").unionByName(client_subs.select("client_id")).distinct()
+    return clients.select("client_id").distinct().join(filtered, "client_id", "left_anti")
+
+
+def deliveries(routed: DataFrame, open_to_all: DataFrame, events: DataFrame) -> DataFrame:
+    """(client_id, delivered): events per subscriber; one that is open to all gets the number of distinct events."""
+    every = events.select("event_id").distinct().agg(F.count(F.lit(1)).alias("delivered"))
+    whole = open_to_all.select("client_id", every.select("delivered").scalar().alias("delivered"))
+    return routed.groupBy("client_id").agg(F.count(F.lit(1)).alias("delivered")).unionByName(whole)

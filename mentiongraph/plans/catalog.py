@@ -696,7 +696,7 @@ from ..operators import metrics as mt  # noqa: E402
 from ..operators import routing as rt  # noqa: E402
 
 
-def _routing(spark, sf_dir):
+def _subscribers(spark, sf_dir):
     h = _history(spark, sf_dir)
     ev_ent = h.entity_rows.select("event_id", "article_id", "entity_id")
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
@@ -707,33 +707,21 @@ def _routing(spark, sf_dir):
     subs = (li.join(sup, li.l_suppkey == sup.s_suppkey)
             .select(F.col("s_name").alias("client_id"),
                     F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("entity")).distinct())
-    routed = rt.route(ev_ent, terms, subs, clients.select("client_id"))
-    return h, routed
+    return ev_ent, terms, subs, clients.select("client_id")
 
 
 @register("route_events", f"WITH RECURSIVE {S.HISTORY_CTES}{S.ROUTING_CTES}\nSELECT client_id, event_id FROM routed")
 def q_route_events(spark, sf_dir):
-    return _routing(spark, sf_dir)[1]
+    return rt.route(*_subscribers(spark, sf_dir))
 
 
-def _limited(spark, sf_dir):
-    h, routed = _routing(spark, sf_dir)
-    return rt.rate_limit(routed.join(h.events.select("event_id", "event_time"), "event_id"))
-
-
-@register("rate_limited", f"""WITH RECURSIVE {S.HISTORY_CTES}{S.ROUTING_CTES}
-SELECT client_id, count(*) FILTER (WHERE sent) AS sent, count(*) FILTER (WHERE NOT sent) AS dropped
-FROM limited GROUP BY client_id""")
-def q_rate_limited(spark, sf_dir):
-    return rt.per_client_totals(_limited(spark, sf_dir))
-
-
-@register("delivery_totals", f"""WITH RECURSIVE {S.HISTORY_CTES}{S.ROUTING_CTES}
-SELECT count(*) FILTER (WHERE sent) AS sent, count(*) FILTER (WHERE NOT sent) AS dropped,
-       {S.r6("CAST(count(*) FILTER (WHERE NOT sent) AS DOUBLE) / greatest(1, count(*))")} AS drop_rate
-FROM limited""")
-def q_delivery_totals(spark, sf_dir):
-    return mt.delivery_totals(_limited(spark, sf_dir))
+@register("client_deliveries", f"""WITH RECURSIVE {S.HISTORY_CTES}{S.ROUTING_CTES}
+SELECT client_id, count(*) AS delivered FROM routed GROUP BY client_id
+UNION ALL SELECT 'everything' AS client_id, count(*) AS delivered FROM hist_ev""")
+def q_client_deliveries(spark, sf_dir):
+    events, terms, subs, clients = _subscribers(spark, sf_dir)
+    clients = clients.unionByName(spark.range(1).select(F.lit("everything").alias("client_id")))
+    return rt.deliveries(rt.route(events, terms, subs, clients), rt.open_clients(terms, subs, clients), events)
 
 
 # --------------------------------------------------------------------------- correlation

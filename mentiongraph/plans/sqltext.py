@@ -204,22 +204,4 @@ subs AS (SELECT DISTINCT s.s_name AS client_id, 'part-' || CAST(l.l_partkey AS V
          FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey),
 tm AS (SELECT DISTINCT c.client_id, h.event_id FROM clients c JOIN hist_hay h ON contains(h.hay, c.term)),
 sm AS (SELECT DISTINCT s.client_id, e.event_id FROM subs s JOIN hist_e e ON e.entity_id = s.entity),
-routed AS (SELECT client_id, event_id FROM tm INTERSECT SELECT client_id, event_id FROM sm),
-msg AS MATERIALIZED (
-  SELECT r.client_id, r.event_id, h.event_time,
-         row_number() OVER (PARTITION BY r.client_id ORDER BY h.event_time, r.event_id) AS pos
-  FROM routed r JOIN hist_ev h USING (event_id)),
-mnx AS MATERIALIZED (
-  SELECT a.client_id, a.pos,
-         (SELECT min(b.pos) FROM msg b WHERE b.client_id = a.client_id
-            AND b.event_time >= a.event_time + INTERVAL 1 SECOND) AS nxt
-  FROM msg a),
-wch AS (
-  SELECT DISTINCT client_id, CAST(1 AS BIGINT) AS pos FROM msg
-  UNION ALL
-  SELECT w.client_id, x.nxt FROM wch w JOIN mnx x ON x.client_id = w.client_id AND x.pos = w.pos WHERE x.nxt IS NOT NULL),
-wstart AS MATERIALIZED (SELECT w.client_id, w.pos AS wpos, m.event_time AS wt FROM wch w JOIN msg m USING (client_id, pos)),
-limited AS (
-  SELECT m.client_id, m.event_id, m.pos - s.wpos + 1 <= 30 AS sent
-  FROM msg m JOIN wstart s ON s.client_id = m.client_id AND m.event_time >= s.wt
-   AND m.event_time < s.wt + INTERVAL 1 SECOND)"""
+routed AS (SELECT client_id, event_id FROM tm INTERSECT SELECT client_id, event_id FROM sm)"""

@@ -7,6 +7,8 @@ never duplicates rows). Watermarks bound the state of the keyed stateful parts.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,17 +134,66 @@ def hourly_counts(events: DataFrame, key: str = "entity", ts: str = "ts", delay:
             .agg(F.count(F.lit(1)).alias("mentions")))
 
 
-def correlate(raw: DataFrame, enriched: DataFrame, changes: DataFrame,
-              timeout_s: int = CORRELATION_TIMEOUT_SECONDS) -> DataFrame:
-    """J6/ST6: raw -> enriched within 45 s -> change within 45 s, as stream-stream left outer joins with
-    watermarks; a null right side after the watermark passes is the timeout row. The right-hand
-    event time is dropped after the first join so the second join has one event-time column."""
-    r = raw.select(F.col("id").alias("article_id"), F.col("t_raw")).withWatermark("t_raw", f"{timeout_s} seconds")
-    e = enriched.select(F.col("article_id").alias("e_id"), "t_enriched").withWatermark("t_enriched", f"{timeout_s} seconds")
-    j1 = r.join(e, F.expr(f"article_id = e_id AND t_enriched BETWEEN t_raw AND t_raw + INTERVAL {timeout_s} SECONDS"),
-                "leftOuter")
-    j1 = j1.select("article_id", "t_raw", F.col("t_enriched").isNotNull().alias("step2"))
-    c = changes.select(F.col("article_id").alias("c_id"), "t_change").withWatermark("t_change", f"{timeout_s} seconds")
-    j2 = j1.join(c, F.expr(f"article_id = c_id AND t_change BETWEEN t_raw AND t_raw + INTERVAL {2 * timeout_s} SECONDS"),
-                 "leftOuter")
-    return j2.select("article_id", "t_raw", "step2", F.col("t_change").isNotNull().alias("step3"))
+CORRELATED = "article_id string, t_raw timestamp, t_enriched timestamp, t_change timestamp, timeout_step string"
+
+
+def _hop(times: list[int], start: int, limit: int, watermark: int) -> tuple[int | None, int | None]:
+    """(first time in [start, start + limit], None) once no earlier one can come, (None, None) once none can come at all,
+    else (None, the time that the watermark has to pass)."""
+    inside = [t for t in times if start <= t <= start + limit]
+    until = min(inside) if inside else start + limit
+    return (None, until) if watermark <= until else (until if inside else None, None)
+
+
+def _correlate_key(limit: int):
+    import pandas as pd
+
+    def step(key, batches, state):
+        raws, enriched, changes = (json.loads(x) for x in state.get) if state.exists else ([], [], [])
+        kinds = {"raw": raws, "enriched": enriched, "change": changes}
+        for batch in batches:
+            for kind, t in zip(batch["kind"], batch["us"]):
+                kinds[kind].append(int(t))
+        watermark = state.getCurrentWatermarkMs() * 1000
+        out, wait = None, None
+        if raws:
+            start = min(raws)
+            second, wait = _hop(enriched, start, limit, watermark)
+            if wait is None and second is None:
+                out = (start, None, None, "step2")
+            elif wait is None:
+                third, wait = _hop(changes, second, limit, watermark)
+                if wait is None:
+                    out = (start, second, third, "step3" if third is None else None)
+        else:  # what came before its raw record, which may still come while the watermark has not passed it
+            wait = max(enriched + changes)
+            wait = wait if watermark <= wait else None
+        if wait is None:
+            state.remove()
+        else:
+            state.update(tuple(json.dumps(kinds[k]) for k in ("raw", "enriched", "change")))
+            state.setTimeoutTimestamp(max(wait // 1000, watermark // 1000) + 1)
+        if out is not None:
+            row = {"article_id": [key[0]], **{n: pd.to_datetime([t], unit="us") for n, t in zip(("t_raw", "t_enriched", "t_change"), out)}, "timeout_step": [out[3]]}
+            yield pd.DataFrame(row)
+
+    return step
+
+
+def correlate(raw: DataFrame, enriched: DataFrame, changes: DataFrame, timeout_s: int = CORRELATION_TIMEOUT_SECONDS,
+              delay: str = "45 seconds") -> DataFrame:
+    """J6/ST6: the first enriched result within ``timeout_s`` of the raw record, then the first change within ``timeout_s`` of that
+    result -> one row per article, with the step at which it timed out.
+
+    Keyed state with event-time timers: a hop is decided once the watermark (``delay`` behind each stream's newest
+    record, the slowest stream counts) has passed its first match, or its limit. An article that timed out at step 2 takes no change.
+    State holds one article's times and goes with its row; results whose raw record never comes go with the watermark.
+    """
+    def side(df: DataFrame, id_col: str, ts: str, kind: str) -> DataFrame:
+        return df.select(F.col(id_col).alias("article_id"), F.lit(kind).alias("kind"), F.col(ts).alias("t")) \
+            .filter("article_id is not null and t is not null").withWatermark("t", delay)
+
+    rows = side(raw, "id", "t_raw", "raw").unionByName(side(enriched, "article_id", "t_enriched", "enriched")) \
+        .unionByName(side(changes, "article_id", "t_change", "change")).withColumn("us", F.unix_micros("t"))
+    return rows.groupBy("article_id").applyInPandasWithState(
+        _correlate_key(timeout_s * 1_000_000), CORRELATED, "raw string, enriched string, change string", "append", "EventTimeTimeout")

@@ -1,12 +1,9 @@
-"""Routing fixture 15 and a brute-force check of the rate-limit windows."""
+"""Routing against fixture 15 and brute force."""
 
-import datetime as dt
 import random
 
 from mentiongraph.operators import routing as rt
 
-T0 = dt.datetime(2024, 1, 1, 12, 0, 0)
-
 
 def test_route_fixture_15(spark):
     ev = spark.createDataFrame([(1, "a1", "Bob"), (2, "a2", "Alice")], "event_id long, article_id string, entity_id string")
@@ -14,7 +11,7 @@ def test_route_fixture_15(spark):
     terms = spark.createDataFrame([], "client_id string, term string")
     subs = spark.createDataFrame([("c1", "Alice")], "client_id string, entity string")
     got = sorted((r.client_id, r.event_id) for r in rt.route(ev, terms, subs, clients).collect())
-    assert got == [("c1", 2), ("c2", 1), ("c2", 2)]
+    assert got == [("c1", 2)] and [r.client_id for r in rt.open_clients(terms, subs, clients).collect()] == ["c2"]
 
 
 def test_route_topic_substring(spark):
@@ -27,23 +24,29 @@ def test_route_topic_substring(spark):
     assert got == [1, 3]
 
 
-def test_rate_limit_brute_force(spark):
-    rnd = random.Random(5)
-    rows = []
-    for c in ("a", "b"):
-        t = T0
-        for i in range(150):
-            t = t + dt.timedelta(milliseconds=rnd.choice([0, 5, 20, 300, 1200]))
-            rows.append((c, i, t))
-    df = spark.createDataFrame(rows, "client_id string, event_id long, event_time timestamp_ntz")
-    got = {(r.client_id, r.event_id): r.sent for r in rt.rate_limit(df, per_window=30).collect()}
-    for c in ("a", "b"):
-        start, n = None, 0
-        for cc, eid, t in rows:
-            if cc != c:
-                continue
-            if start is None or (t - start).total_seconds() >= 1.0:
-                start, n = t, 0
-            sent = n < 30
-            n += 1
-            assert got[(c, eid)] == sent
+def test_route_equals_brute_force(spark):
+    rnd = random.Random(11)
+    names = ["Anna Bell", "bell", "BELLA", "ab", "Carl-Bell", "x", "Ann", "Ärgernis", "part-42", "42"]
+    events = [(e, f"art-{e % 5} y", rnd.choice(names)) for e in range(12) for _ in range(rnd.randint(1, 3))]
+    clients = [f"c{k}" for k in range(14)]
+    terms = [(c, rnd.choice(["bell", "ann", "art-3", "ella", "zzz", "rt-", "ärg", "bellbell", "42x"])) for c in clients[:9] for _ in range(rnd.randint(0, 2))]
+    subs = [(c, rnd.choice([*names, "nobody"])) for c in clients[4:12] for _ in range(rnd.randint(0, 2))]
+    want, free = set(), set()
+    for c in clients:
+        t, s = [x for k, x in terms if k == c], [x for k, x in subs if k == c]
+        if not t and not s:
+            free.add(c)
+            continue
+        for e in {r[0] for r in events}:
+            ids = [r[2] for r in events if r[0] == e]
+            hay = " ".join([f"art-{e % 5} y", *ids]).lower()
+            if (not t or any(x in hay for x in t)) and (not s or any(i in s for i in ids)):
+                want.add((c, e))
+    ev = spark.createDataFrame(events, "event_id long, article_id string, entity_id string")
+    args = (spark.createDataFrame(terms, "client_id string, term string"), spark.createDataFrame(subs, "client_id string, entity string"),
+            spark.createDataFrame([(c,) for c in clients], "client_id string"))
+    got = rt.route(ev, *args)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+    assert {r.client_id for r in rt.open_clients(*args).collect()} == free and free
+    totals = {r.client_id: r.delivered for r in rt.deliveries(got, rt.open_clients(*args), ev).collect()}
+    assert totals == {c: 12 for c in free} | {c: sum(k == c for k, _ in want) for c in {k for k, _ in want}}

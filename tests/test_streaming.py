@@ -67,3 +67,41 @@ def test_graph_deltas_keep_the_given_pairs(spark, tmp_path):
     entities = {(r.article_id, r.entity_id): r for r in held.changes("entities").collect()}
     assert set(entities) == {("a", "Anna"), ("a", "Bob"), ("a", "Carl"), ("b", "Bob")}
     assert entities["b", "Bob"].old_mentions == 1 and entities["b", "Bob"].new_centrality == 0.5
+
+
+def test_correlation_stream_equals_batch(spark, tmp_path):
+    """Each hop has its own 45 s; time-outs come once; nothing follows a step-2 time-out; a result may arrive before its raw record."""
+    from mentiongraph.operators.correlate import correlate_stages
+
+    raw = [("a", 0), ("b", 0), ("c", 0), ("d", 0), ("e", 3), ("f", 2)]
+    enriched = [("a", 10), ("b", 46), ("c", 40), ("d", 5), ("e", 3), ("e", 30), ("f", 47), ("lost", 9)]
+    changes = [("a", 20), ("b", 50), ("c", 60), ("d", 51), ("e", 48), ("e", 40), ("f", 92), ("f", 93)]
+    want = {("a", 10, 20, None), ("b", None, None, "step2"), ("c", 40, 60, None), ("d", 5, None, "step3"), ("e", 3, 40, None), ("f", 47, 92, None)}
+
+    def write(name, rows):
+        cols = ("id" if name == "raw" else "article_id", f"t_{name}")
+        spark.createDataFrame([(a, 1_700_000_000 + t) for a, t in rows], f"{cols[0]} string, s long").select(
+            cols[0], F.timestamp_seconds("s").alias(cols[1])).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        return spark.readStream.schema(f"{cols[0]} string, {cols[1]} timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+
+    sides = {"raw": raw, "enriched": enriched, "change": changes}
+    for part in (lambda r: r[1] < 20, lambda r: 20 <= r[1] < 70, lambda r: r[1] >= 70):
+        streams = [write(n, [r for r in rows if part(r)] or [("none", 1)]) for n, rows in sides.items()]
+        q = (pl.correlate(*streams, delay="30 seconds").writeStream.outputMode("append").format("parquet")
+             .option("checkpointLocation", str(tmp_path / "ck")).start(str(tmp_path / "out")))
+        q.processAllAvailable()
+        q.stop()
+    for t in (400, 900):  # later records move the watermark on
+        streams = [write(n, [(f"end{t}", t)]) for n in sides]
+        q = (pl.correlate(*streams, delay="30 seconds").writeStream.outputMode("append").format("parquet")
+             .option("checkpointLocation", str(tmp_path / "ck")).start(str(tmp_path / "out")))
+        q.processAllAvailable()
+        q.stop()
+    rows = [r for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.article_id in "abcdef"]
+    sec = lambda t: None if t is None else int(t.timestamp()) - 1_700_000_000
+    assert len(rows) == 6 and {(r.article_id, sec(r.t_enriched), sec(r.t_change), r.timeout_step) for r in rows} == want
+
+    frame = lambda name, rows, more="": spark.createDataFrame(rows, f"article_id string, s long").select(
+        "article_id", F.timestamp_seconds("s").alias(name), *[F.lit(0).cast("double" if c == "mean_sentiment" else "long").alias(c) for c in more.split()])
+    batch = correlate_stages(frame("t_raw", raw), frame("t_enriched", enriched, "mean_sentiment"), frame("t_change", changes, "node_count edge_count"))
+    assert {(r.article_id, r.step2, r.step3, r.timeout_step) for r in batch.collect()} == {(a, e is not None, c is not None, s) for a, e, c, s in want}
