@@ -623,6 +623,34 @@ def q_mentions_text(spark, sf_dir):
     return tx.mentions(_sents(spark, sf_dir)).groupBy("doc_id", "sent_idx", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
+SPANS_SQL = f"""
+gp AS (SELECT doc_id, sent_idx, char_start,
+              unnest(regexp_extract_all(sentence, '(?s)(.*?)({tx.CAPITALISED_TOKEN})', 1)) AS gap,
+              unnest(regexp_extract_all(sentence, '(?s)(.*?)({tx.CAPITALISED_TOKEN})', 2)) AS entity,
+              generate_subscripts(regexp_extract_all(sentence, '{tx.CAPITALISED_TOKEN}'), 1) AS pos FROM sents),
+spans AS (SELECT doc_id, sent_idx, entity, char_start + sum(length(gap) + length(entity)) OVER (
+                 PARTITION BY doc_id, sent_idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS char_end FROM gp)"""
+
+
+@register("mention_sentence", f"""WITH {SENT_SQL}, {SPANS_SQL}
+SELECT doc_id, sent_idx, entity, CAST(char_end - length(entity) AS INTEGER) AS char_start, CAST(char_end AS INTEGER) AS char_end FROM spans""")
+def q_mention_sentence(spark, sf_dir):
+    found = tx.mention_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "sent_idx", "entity", "char_start", "char_end")
+
+
+@register("mention_dedupe", f"""WITH {SENT_SQL}, {SPANS_SQL},
+n AS (SELECT doc_id, count(*) AS n FROM sents GROUP BY doc_id),
+c0 AS (SELECT doc_id, n, unnest(range(0, n, 6)) AS a FROM n),
+c AS (SELECT doc_id, a, a + 7 AS b FROM c0 WHERE a = 0 OR a + 1 < n - 1)
+SELECT s.doc_id, count(*) AS found, count(DISTINCT (s.sent_idx, s.char_end)) AS kept
+FROM spans s JOIN c ON c.doc_id = s.doc_id AND s.sent_idx BETWEEN c.a AND c.b GROUP BY s.doc_id""")
+def q_mention_dedupe(spark, sf_dir):
+    found = tx.chunk_mentions(tx.chunk_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    kept = tx.dedupe_mentions(found).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("found")).join(kept, "doc_id")
+
+
 def _lex(words):
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
