@@ -191,6 +191,51 @@ def test_fingerprints(docs, empty):
     assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
     same = {r.fingerprint for r in got if r.doc_id in (28, 42)}
     assert len(same) == 1 and fingerprints.fingerprints(empty).count() == 0
+    marks = collections.Counter(r.fingerprint for r in got)
+    for r in got:
+        if r.doc_id % 50:
+            assert r.near_docs is None and r.near_classes is None and r.nearest is None
+            continue
+        apart = {f: bin(int(f, 16) ^ int(r.fingerprint, 16)).count("1") for f in marks}
+        near = {f for f in marks if apart[f] <= 5}
+        assert r.near_docs == sum(marks[f] for f in near) - 1 and r.near_classes == len(near) - 1
+        signed = lambda f: int(f, 16) - (int(f, 16) >> 63 << 64)
+        assert r.nearest == min(near - {r.fingerprint}, key=lambda f: (apart[f], signed(f)), default=None)
+
+
+def _simhash(text):
+    import xxhash
+
+    terms = {xxhash.xxh64(w.encode(), seed=42).intdigest() for w in WORD.findall(text)}
+    return sum(1 << b for b in range(64) if 2 * sum(t >> b & 1 for t in terms) > len(terms))
+
+
+def test_fingerprint_bits_and_likeness(docs):
+    rows = sorted(((i, x) for i, x in texts() if i is not None), key=lambda v: (-v[0], v[1]))
+    got = {(r.doc_id, r.edited_sha256): r for r in fingerprints.fingerprints(docs).collect()}
+    for k, (i, x) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        edited = x[:len(x) - len(x) // 2] + following[:len(x) // 2]
+        r = got[i, hashlib.sha256(edited.encode()).hexdigest()]
+        a, b, c = map(_simhash, (x, edited, following))
+        assert r.fingerprint == f"{a:016x}" and r.edited_fingerprint == f"{b:016x}"
+        assert r.near_edited == 1 - bin(a ^ b).count("1") / 64 and r.near_next == 1 - bin(a ^ c).count("1") / 64
+
+
+def test_all_fingerprints_within_the_radius_are_found(spark):
+    rnd = np.random.default_rng(6)
+    base = [int(x) for x in rnd.integers(0, 2**63, 40)]
+    marks = set(base)
+    for x in base:
+        for n in (1, 2, 3, 4, 5, 5, 6, 7):
+            marks.add(x ^ sum(1 << int(b) for b in rnd.choice(64, n, replace=False)))
+    signed = sorted(x - 2**64 if x >= 2**63 else x for x in marks)
+    classes = spark.createDataFrame([(x, 1) for x in signed], "fp long, members long")
+    wanted = spark.createDataFrame([(x,) for x in base], "q long")
+    got = {(r.q, r.fp) for r in fingerprints.near_fingerprints(classes, wanted).collect()}
+    assert got == {(q, f) for q in base for f in signed if f != q and bin((q ^ f) & (2**64 - 1)).count("1") <= 5}
+    three = {(r.q, r.fp) for r in fingerprints.near_fingerprints(classes, wanted, radius=3).collect()}
+    assert three == {(q, f) for q, f in got if bin((q ^ f) & (2**64 - 1)).count("1") <= 3}
 
 
 def test_packing(docs, empty):
