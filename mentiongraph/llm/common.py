@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from ..session import materialize, scratch_path  # noqa: F401  (re-exported for the operators)
 
 PIECE_BYTES = 2 << 20
+SQUEEZED_ROWS = 1000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -94,9 +95,11 @@ def squeezed(docs: DataFrame, rest: bool = False) -> DataFrame:
 
     def run(batches):
         c = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            z = [c.compress(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(z, pa.binary())] + ([batch.column("rest")] if rest else []), names)
+        for whole in batches:
+            for first in range(0, whole.num_rows, SQUEEZED_ROWS):
+                batch = whole.slice(first, SQUEEZED_ROWS)
+                z = [c.compress(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(z, pa.binary())] + ([batch.column("rest")] if rest else []), names)
 
     return map_arrow(rows if rest else rows.drop("rest"), run, schema)
 

@@ -35,6 +35,7 @@ from .components import components
 from .tables import Scratch
 
 ALONE = 0
+GROUP_BYTES = 1 << 20  # texts hashed at once
 
 
 def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -85,7 +86,7 @@ def _screen(n: int, percent: int, parts: int):
         out = postings.Writer(parts, distinct=True)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            for first, _, texts in text_groups(batch):
+            for first, _, texts in text_groups(batch, limit=GROUP_BYTES):
                 words, off = word_hashes([t.lower() for t in texts])
                 sizes, names, seen, grams, classes = [], [], set(), [], []
                 for i in range(len(texts)):
@@ -133,7 +134,7 @@ def _fragments(n: int, cuts: int):
     def run(batches):
         for batch in batches:
             wanted = batch.column("c").to_pylist()
-            for first, _, texts in text_groups(batch, "z"):
+            for first, _, texts in text_groups(batch, "z", GROUP_BYTES):
                 words, off = word_hashes([t.lower() for t in texts])
                 cs, fs, arrays, ns, signs = [], [], [], [], []
                 for i in range(len(texts)):
@@ -349,7 +350,7 @@ def _classed(n: int):
     def run(batches):
         for batch in batches:
             wanted, keep = batch.column("wanted").to_pylist(), []
-            for first, _, texts in text_groups(batch):
+            for first, _, texts in text_groups(batch, limit=GROUP_BYTES):
                 words, off = word_hashes([t.lower() for t in texts])
                 keep += [set_class(shingle_set(words[off[i]:off[i + 1]], n)) == wanted[first + i] for i in range(len(texts))]
             yield batch.filter(pa.array(keep, pa.bool_()))
