@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..session import materialize, scratch_path  # noqa: F401  (re-exported for the operators)
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 SQUEEZED_ROWS = 1000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, dtype=bool)
