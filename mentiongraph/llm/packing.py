@@ -21,7 +21,8 @@ from .common import id_text, map_arrow, partitions, text_groups
 from .merge_rounds import PairTable
 from .tables import Scratch
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
+LEARN_PIECES = 16_000
 SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space for str.split only
 _lengths: dict[int, "PieceLengths"] = {}
 
@@ -60,8 +61,8 @@ class PieceLengths(dict):
             fixed.append(len(stretches) - 1)  # added tokens
             split.append([p for s in stretches for p in self._pieces(s)])
         new = list(set().union(*split).difference(self))
-        for k in range(0, len(new), 100_000):
-            self.learn(new[k:k + 100_000])
+        for k in range(0, len(new), LEARN_PIECES):
+            self.learn(new[k:k + LEARN_PIECES])
         return [n + sum(map(self.__getitem__, s)) for n, s in zip(fixed, split)]
 
     def _pieces(self, text: str) -> list[str]:

@@ -23,7 +23,7 @@ from .merge_rounds import NONE, PairTable
 SPACE = "▁"
 CACHE_BYTES = 48 << 20
 ENTRY_BYTES = 150          # Python's own cost of a table entry, about
-LEARN_SYMBOLS = 1 << 20
+LEARN_SYMBOLS = 1 << 18
 _models: dict[int, "Pieces"] = {}
 
 
