@@ -296,7 +296,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, all_pairs: bool
     and no link. Rows with null doc_id are left out; repeated rows are members of one class; an empty
     table gives empty results; further columns are not read.
     """
-    spark, parts, scratch = docs.sparkSession, partitions(docs.sparkSession), Scratch(docs.sparkSession)
+    spark, parts, scratch = docs.sparkSession, partitions(docs.sparkSession), Scratch(docs.sparkSession, free_shuffles=True)
     docs = id_text(docs).where("doc_id is not null")
     screen = postings.exchange(map_arrow(docs, _screen(n, percent, parts), postings.SCHEMA), parts)
     table = scratch.write("screen", map_arrow(screen, _screened, "doc int, h long, c long, n long"))
