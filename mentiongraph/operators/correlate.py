@@ -1,4 +1,4 @@
-"""Three-stage correlation by article id (J6, A13, A18) in batch form.
+"""Three-stage correlation by article id (J6, A13) in batch form, and an article's progress through the stages.
 
 raw article -> enriched result within ``timeout_s`` -> change event within ``timeout_s`` of the
 enriched result. Each hop is an equi-join on the article id with a time-range condition, of which the
@@ -8,9 +8,10 @@ event-time timers, is ``streaming.pipelines.correlate``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import schemas
 from .graph_state import _r6
 
 TIMEOUT_SECONDS = 45
@@ -37,3 +38,36 @@ def correlate_stages(raw: DataFrame, enriched: DataFrame, changes: DataFrame, ti
          .alias("timeout_step"),
         _r6(F.coalesce(F.col("mean_sentiment"), F.lit(0.0))).alias("mean_sentiment"),
         "node_count", "edge_count")
+
+
+# The types of progress events that carry a payload, and how much of a sentence an entity view shows
+STAGES = ("step1", "step2", "step3", "step4", "timeout", "error")
+STATUS = "status"
+SENTENCE_SHOWN = 120
+
+
+def entity_view(entities) -> Column:
+    """Text, type, sentiment, confidence and the start of the sentence of each mention (an array of mention structs)."""
+    def view(e):
+        shown = F.substring(F.replace(F.coalesce(e["sentence"], F.lit("")), F.lit("\\n"), F.lit(" ")), 1, SENTENCE_SHOWN)
+        return F.struct(F.coalesce(e["text"], F.lit("")).alias("text"), F.coalesce(e["type"], F.lit("")).alias("type"),
+                        F.coalesce(e["sentiment_score"], F.lit(0.0)).alias("sentiment"),
+                        F.coalesce(e["confidence"], F.lit(0.0)).alias("confidence"), shown.alias("sentence"))
+    return F.transform(F.coalesce(entities, F.array().cast(schemas.ENRICHED["entities"].dataType)), view)
+
+
+def article_progress(events: DataFrame, order: str, title: str | None = None) -> DataFrame:
+    """One row per article: ``first_order`` (order by it for the order of first sight), the latest payload of each
+    stage as a struct of the other columns, null if there was none, and the last title of step 1 that is not blank.
+
+    ``events`` has article_id, type, ``order`` (unique) and the payload's columns. Status messages and blank article ids
+    are no progress; an unknown type only shows that the article was seen. One aggregation with partial sums, on a
+    batch or, in update mode, on a stream.
+    """
+    rows = events.filter((F.col("article_id").cast("string") != "") & ~F.col("type").eqNullSafe(F.lit(STATUS)))
+    payload = F.struct(*[c for c in events.columns if c not in ("article_id", "type")])
+    latest = [F.max_by(payload, F.when(F.col("type") == s, F.col(order))).alias(s) for s in STAGES]
+    if title is not None:
+        shown = (F.col("type") == "step1") & (F.col(title) != "")
+        latest.append(F.max_by(title, F.when(shown, F.col(order))).alias("title"))
+    return rows.groupBy("article_id").agg(F.min(order).alias("first_order"), *latest)

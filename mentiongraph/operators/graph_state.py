@@ -388,3 +388,13 @@ def to_epoch_form(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
                      F.unix_millis(F.col("first_seen").cast("timestamp")).alias("first_seen"),
                      F.unix_millis(F.col("last_strengthened").cast("timestamp")).alias("last_strengthened"))
     return n, e
+
+
+def top_nodes(nodes: DataFrame, k: int = 10) -> DataFrame:
+    """L2: the k nodes with most mentions, ties by id (a top-k in every task, then one of these)."""
+    return nodes.orderBy(F.desc("mention_count"), "id").limit(k)
+
+
+def top_edges(edges: DataFrame, k: int = 10) -> DataFrame:
+    """L2: the k strongest edges, ties by their ends."""
+    return edges.orderBy(F.desc("strength"), "source", "target").limit(k)

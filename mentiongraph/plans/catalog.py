@@ -86,6 +86,16 @@ def q_edge_state(spark, sf_dir):
     return gs.edge_state(_fold(spark, sf_dir))
 
 
+@register("top_nodes", f"SELECT * FROM ({ORACLE['node_state']}) ORDER BY mention_count DESC, id LIMIT 10")
+def q_top_nodes(spark, sf_dir):
+    return gs.top_nodes(q_node_state(spark, sf_dir))
+
+
+@register("top_edges", f"SELECT * FROM ({ORACLE['edge_state']}) ORDER BY strength DESC, source, target LIMIT 10")
+def q_top_edges(spark, sf_dir):
+    return gs.top_edges(q_edge_state(spark, sf_dir))
+
+
 @register("degree_centrality", f"""
 WITH {S.GRAPH_CTES}
 SELECT entity AS id, CAST(arg_max(degree, p) AS BIGINT) AS degree, CAST(round(CAST(arg_max(centrality, p) AS DECIMAL(38,12)), 6) AS DOUBLE) AS centrality
@@ -552,6 +562,50 @@ def q_bounded_seen_ids(spark, sf_dir):
     return it.retain_seen(seen, fresh, "published_at_s").select("query", "id", F.col("rank").cast("long").alias("rank"))
 
 
+PRIORITY_TTL = 86400  # a few requests a key and day at the smallest size
+PRIORITY_SQL = f"""
+WITH q AS (SELECT CAST(user_id % 40 AS VARCHAR) AS key, event_type || ' ' || CAST(user_id AS VARCHAR) AS topic, ts FROM events WHERE event_type <> 'error'),
+l AS (SELECT key, topic, max(ts) AS requested_at FROM q GROUP BY key, topic),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY requested_at DESC, topic) - 1 AS rank, max(requested_at) OVER (PARTITION BY key) AS newest FROM l),
+p AS (SELECT key, rank, topic, requested_at FROM r WHERE rank < 10 AND requested_at >= newest - INTERVAL {PRIORITY_TTL} SECOND)"""
+
+
+def _priority(spark, sf_dir):
+    """The requests of events, registered in two batches."""
+    from ..operators.priority import PriorityTopics
+
+    ev = table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
+    asked = ev.select((F.col("user_id") % 40).cast("string").alias("key"), F.col("ts").alias("requested_at"), F.col("event_type"),
+                      F.when(F.col("event_type") == "error", F.lit(" \t")).otherwise(
+                          F.format_string(" %s \t%d ", F.initcap("event_type"), "user_id")).alias("topic"))
+    topics = PriorityTopics(spark, scratch_path(spark, "priority"), ttl_seconds=PRIORITY_TTL)
+    cut = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    topics.register(0, asked.filter(F.col("requested_at") < cut))
+    topics.register(1, asked.filter(F.col("requested_at") >= cut))
+    return topics, asked
+
+
+@register("priority_topics", PRIORITY_SQL + "\nSELECT key, rank, topic, requested_at FROM p")
+def q_priority_topics(spark, sf_dir):
+    return _priority(spark, sf_dir)[0].topics().select(
+        "key", F.col("rank").cast("long").alias("rank"), "topic", F.col("requested_at").cast("timestamp_ntz").alias("requested_at"))
+
+
+@register("active_queries", PRIORITY_SQL + """,
+d AS (SELECT key, arg_max(event_type || ' ' || CAST(user_id AS VARCHAR), (ts, user_id)) AS term
+      FROM (SELECT CAST(user_id % 40 AS VARCHAR) AS key, * FROM events WHERE event_type <> 'error') GROUP BY key),
+u AS (SELECT key, 0 AS src, rank AS pos, topic AS term FROM p
+      UNION ALL SELECT key, 1, 0, upper(term) FROM d UNION ALL SELECT key, 1, 1, 'News' FROM d UNION ALL SELECT key, 1, 2, 'NEWS' FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY key, lower(term) ORDER BY src, pos) AS rn FROM u)
+SELECT key, row_number() OVER (PARTITION BY key ORDER BY src, pos) - 1 AS rank, term FROM f WHERE rn = 1""")
+def q_active_queries(spark, sf_dir):
+    topics, asked = _priority(spark, sf_dir)
+    own = asked.filter("event_type <> 'error'").groupBy("key").agg(F.max_by(
+        F.upper(it.collapse_ws(F.col("topic"))), F.struct("requested_at", F.substring_index(it.strip_ws(F.col("topic")), "\t", -1).cast("long"))).alias("term"))
+    defaults = own.select("key", F.posexplode(F.array("term", F.lit("News"), F.lit("NEWS"))).alias("pos", "term"))
+    return topics.queries(defaults).select("key", F.col("rank").cast("long").alias("rank"), "term")
+
+
 @register("high_water", """
 SELECT count(*) AS n_new, CAST(coalesce(max(doc_id), 100) AS BIGINT) AS high_water FROM documents WHERE doc_id > 100""")
 def q_high_water(spark, sf_dir):
@@ -757,6 +811,35 @@ def q_client_deliveries(spark, sf_dir):
 from ..operators import correlate as cr  # noqa: E402
 
 
+# events as progress messages: an article is a user, a blank one and status messages are among them
+_PROGRESS_TYPES = {"view": "step1", "click": "step2", "purchase": "step3", "signup": "step4", "error": "timeout"}
+
+
+@register("article_progress", """
+WITH e AS (SELECT event_id, value, props AS title,
+                  CASE WHEN user_id % 29 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS article_id,
+                  CASE WHEN event_id % 11 = 0 THEN 'status' WHEN event_id % 7 = 0 THEN 'error' WHEN event_id % 5 = 0 THEN 'other'
+                       WHEN event_type = 'view' THEN 'step1' WHEN event_type = 'click' THEN 'step2' WHEN event_type = 'purchase' THEN 'step3'
+                       WHEN event_type = 'signup' THEN 'step4' WHEN event_type = 'error' THEN 'timeout' END AS type FROM events)
+SELECT article_id, min(event_id) AS first_event,
+       max(event_id) FILTER (WHERE type = 'step1') AS step1, max(event_id) FILTER (WHERE type = 'step2') AS step2,
+       max(event_id) FILTER (WHERE type = 'step3') AS step3, max(event_id) FILTER (WHERE type = 'step4') AS step4,
+       max(event_id) FILTER (WHERE type = 'timeout') AS timeout, max(event_id) FILTER (WHERE type = 'error') AS error,
+       arg_max(value, event_id) FILTER (WHERE type = 'step4') AS state,
+       arg_max(title, event_id) FILTER (WHERE type = 'step1' AND title <> '') AS title
+FROM e WHERE article_id <> '' AND type IS DISTINCT FROM 'status' GROUP BY article_id""")
+def q_article_progress(spark, sf_dir):
+    stage = F.when(F.col("event_id") % 11 == 0, F.lit(cr.STATUS)).when(F.col("event_id") % 7 == 0, F.lit("error")) \
+        .when(F.col("event_id") % 5 == 0, F.lit("other"))
+    for event_type, name in _PROGRESS_TYPES.items():
+        stage = stage.when(F.col("event_type") == event_type, F.lit(name))
+    article = F.when(F.col("user_id") % 29 == 0, F.lit("")).otherwise(F.col("user_id").cast("string"))
+    ev = table(spark, sf_dir, "events").select(article.alias("article_id"), stage.alias("type"), "event_id", "value", F.col("props").alias("title"))
+    p = cr.article_progress(ev, "event_id", "title")
+    return p.select("article_id", F.col("first_order").alias("first_event"), *[F.col(f"{s}.event_id").alias(s) for s in cr.STAGES],
+                    F.col("step4.value").alias("state"), "title")
+
+
 @register("correlate_stages", f"""
 WITH {S.GRAPH_CTES},
 enr AS (SELECT article_id, min(ts) AS t_enriched, avg(score) AS mean_s FROM m GROUP BY article_id),

@@ -1,4 +1,4 @@
-"""Structured Streaming wrappers (S1, S4-S8, ST1, ST2, ST4, ST6, ST7).
+"""Structured Streaming wrappers (S1, S4-S8, ST1-ST4, ST6, ST7).
 
 Each stream hop is a ``foreachBatch`` over the same batch functions, with a checkpoint location and
 sinks keyed by ``batch_id`` (a re-run batch overwrites its own output partition, so redelivery
@@ -16,6 +16,7 @@ from ..operators import cooccurrence as co
 from ..operators import intake as it
 from ..operators import text as tx
 from ..operators.held_graph import HeldGraph
+from ..operators.held_metrics import HeldMetrics
 from ..operators.stored_history import StoredHistory, flatten_changes
 from ..sources import schemas
 
@@ -113,6 +114,18 @@ def start_graph_deltas(enriched_stream: DataFrame, state_path: str, checkpoint:
     return enriched_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
 
 
+def start_metrics(enriched_stream: DataFrame, state_path: str, checkpoint: str, **rule):
+    """ST3: enriched batches -> metrics (``HeldMetrics``), over a held graph of its own; a replayed batch changes nothing."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        mentions, pairs = enriched_to_mentions(batch), enriched_to_pairs(batch)
+        graph = HeldGraph(batch.sparkSession, f"{state_path}/graph")
+        graph.apply(batch_id, mentions, ["ord"], pairs=pairs)
+        HeldMetrics(graph, f"{state_path}/metrics", **rule).apply(batch_id, mentions, pairs)
+        batch.unpersist()
+    return enriched_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
+
+
 def change_event_stream(spark: SparkSession, path: str, max_files: int = 25) -> DataFrame:
     """Nested change events as JSON files."""
     return spark.readStream.schema(schemas.CHANGE_EVENT).option("maxFilesPerTrigger", max_files).json(path)
@@ -134,6 +147,60 @@ def hourly_counts(events: DataFrame, key: str = "entity", ts: str = "ts", delay:
             .agg(F.count(F.lit(1)).alias("mentions")))
 
 
+HOUR_US = 3_600_000_000
+
+
+def _rolling_key(span: int):
+    import numpy as np
+    import pandas as pd
+
+    def step(key, batches, state):
+        stored = state.get if state.exists else (b"", b"", b"", 0)
+        own, ids, before = ([np.frombuffer(x, np.int64)] for x in stored[:3])
+        done = stored[3]  # so many of the own sightings, the earliest, are already out
+        for batch in batches:
+            now = batch["kind"].to_numpy() == 0
+            own.append(batch["us"].to_numpy(np.int64)[now])
+            ids.append(batch["id"].to_numpy(np.int64)[now])
+            before.append(batch["us"].to_numpy(np.int64)[~now])
+        own, ids, before = (np.concatenate(x) for x in (own, ids, before))
+        order = np.lexsort((ids, own))
+        own, ids, before = own[order], ids[order], np.sort(before)
+        watermark, end = state.getCurrentWatermarkMs() * 1000, (int(key[1]) + 1) * span
+        ready = int(np.searchsorted(own, watermark))  # earlier than the watermark: no more of these come
+        if ready > done:
+            t = own[done:ready]
+            # of the span before: the own ones are all in this part, the others in the part before
+            count = np.arange(done + 1, ready + 1) - np.searchsorted(own, t - span) + len(before) - np.searchsorted(before, t - span)
+            yield pd.DataFrame({"key": key[0], "ts": pd.to_datetime(t, unit="us"), "id": ids[done:ready], "mentions": count})
+        if watermark > end:
+            state.remove()
+        else:
+            state.update((own.tobytes(), ids.tobytes(), before.tobytes(), ready))
+            wait = int(own[ready]) if ready < len(own) else end
+            state.setTimeoutTimestamp(max(wait, watermark) // 1000 + 1)
+
+    return step
+
+
+def rolling_hours(events: DataFrame, key: str = "entity", ts: str = "ts", tiebreak: str = "event_id", delay: str = "30 minutes") -> DataFrame:
+    """ST7: (key, ts, id, mentions): each sighting with the number of its key's sightings in the hour up to it, both ends
+    counted, itself the last of its instant (order ``tiebreak``, a long); equal to ``windows.rolling_hour_count``.
+
+    Keyed state with event-time timers over (key, hour): a sighting goes to its own hour and, as one before, to the next,
+    so a hot key's state is two hours of sightings, ends with its hour, and hours of one key lie in different tasks. A row
+    comes out once the watermark has passed it. Sightings without a key or a time are left out.
+    """
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("t", F.col(ts).cast("timestamp")).withWatermark("t", delay)
+    rows = rows.select("t", F.col(key).cast("string").alias("key"), F.col(tiebreak).cast("long").alias("id"), us.alias("us"),
+                       F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"))
+    rows = rows.withColumn("part", F.floor(F.col("us") / F.lit(HOUR_US)).cast("long") + F.col("kind"))
+    return rows.groupBy("key", "part").applyInPandasWithState(
+        _rolling_key(HOUR_US), "key string, ts timestamp, id long, mentions long", "own binary, ids binary, before binary, done long",
+        "append", "EventTimeTimeout")
+
+
 CORRELATED = "article_id string, t_raw timestamp, t_enriched timestamp, t_change timestamp, timeout_step string"
 
 

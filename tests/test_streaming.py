@@ -105,3 +105,75 @@ def test_correlation_stream_equals_batch(spark, tmp_path):
         "article_id", F.timestamp_seconds("s").alias(name), *[F.lit(0).cast("double" if c == "mean_sentiment" else "long").alias(c) for c in more.split()])
     batch = correlate_stages(frame("t_raw", raw), frame("t_enriched", enriched, "mean_sentiment"), frame("t_change", changes, "node_count edge_count"))
     assert {(r.article_id, r.step2, r.step3, r.timeout_step) for r in batch.collect()} == {(a, e is not None, c is not None, s) for a, e, c, s in want}
+
+
+def test_rolling_hours_stream_equals_batch(spark, tmp_path):
+    """Sightings out of order inside a batch, at one instant, and exactly an hour apart; the last record moves the watermark past all."""
+    from mentiongraph.operators.windows import rolling_hour_count
+
+    start = 1_704_067_200 + 1_800
+    seen = [("a", s) for s in (0, 0, 10, 1_799, 1_800, 3_600, 3_601, 5_400, 5_400, 7_199, 9_001)] + [("b", s) for s in (5, 3_605, 3_606, 20_000)]
+    rows = [(i, k, start + s) for i, (k, s) in enumerate(seen)]
+    late = [(100, "end", start + 90_000)]
+
+    def frame(part):
+        return spark.createDataFrame(part, "event_id long, entity string, s long").select("event_id", "entity", F.timestamp_seconds("s").alias("ts"))
+
+    for part in ([r for r in rows if r[2] < start + 3_601][::-1], [r for r in rows if r[2] >= start + 3_601], late):
+        frame(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("event_id long, entity string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = (pl.rolling_hours(stream, delay="10 minutes").writeStream.outputMode("append").format("parquet")
+             .option("checkpointLocation", str(tmp_path / "ck")).start(str(tmp_path / "out")))
+        q.processAllAvailable()
+        q.stop()
+    got = sorted((r.key, r.ts, r.id, r.mentions) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = rolling_hour_count(frame(rows), "entity", "ts", "event_id", "mentions").collect()
+    assert got == sorted((r.entity, r.ts, r.event_id, r.mentions) for r in want)
+
+
+def test_metrics_stream_equals_a_sequence(spark, tmp_path):
+    """Ranks after each of three articles, one a batch, equal those of an update in plain Python; a replayed batch changes nothing."""
+    from mentiongraph.operators.held_metrics import HeldMetrics
+    from mentiongraph.sources import schemas
+
+    articles = [("a", ["A", "B", "C"], [("A", "B"), ("B", "C"), ("A", "nobody")]), ("b", ["D", "E", "F", "G"], [("D", "C"), ("E", "D"), ("F", "E"), ("G", "F")]),
+                ("c", ["A"], [("A", "A"), ("A", "G")])]
+    rank, near_of = {}, {}
+    metrics = None
+    for i, (article, names, pairs) in enumerate(articles):
+        record = {"article_id": article, "processed_at": f"2024-01-01T00:00:0{i}.000Z",
+                  "entities": [{"text": n, "type": "X", "sentiment_score": 0.5} for n in names],
+                  "co_occurrence_pairs": [{"entity_1": a, "entity_2": b, "count": 1} for a, b in pairs]}
+        spark.createDataFrame([json.dumps(record)], "string").coalesce(1).write.mode("append").text(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schemas.ENRICHED).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        q = pl.start_metrics(stream, str(tmp_path / "state"), str(tmp_path / "ck"), iterations=4, samples=2)
+        q.processAllAvailable()
+        q.stop()
+
+        touched = set(names)
+        for n in names:
+            near_of.setdefault(n, set())
+        for a, b in pairs:
+            if a != b and a in near_of and b in near_of:
+                near_of[a].add(b)
+                near_of[b].add(a)
+                touched |= {a, b}
+        near = set(touched)
+        for _ in range(2):
+            near |= {x for n in near for x in near_of[n]}
+        pr = {n: rank.get(n) or 1 / len(near) for n in near}
+        for _ in range(4):
+            pr = {n: 0.15 / len(near) + sum(0.85 * pr[x] / len(near_of[x] & near) for x in near_of[n] & near) for n in near}
+        rank.update({n: x / sum(pr.values()) for n, x in pr.items()})
+
+        metrics = HeldMetrics(HeldGraph(spark, str(tmp_path / "state/graph")), str(tmp_path / "state/metrics"))
+        got = {r.node: r.pagerank for r in metrics.ranks().collect()}
+        assert set(got) == set(rank) and all(abs(got[n] - rank[n]) < 1e-12 for n in rank)
+        assert {r.node for r in metrics.touched().filter(F.col("version") == i + 1).collect()} == touched
+    row = metrics.rows().orderBy(F.desc("version")).first()
+    assert (row.updates_processed, row.node_count, row.edge_count, row.n_touched) == (3, 7, 7, 2)
+    assert [r.node for r in row.top_pagerank] == sorted(rank, key=lambda n: (-rank[n], n)) or len(set(round(x, 9) for x in rank.values())) < len(rank)
+    before = metrics.ranks().collect()
+    empty = spark.createDataFrame([], "article_id string, ts timestamp_ntz, entity string")
+    metrics.apply(2, empty, spark.createDataFrame([], "entity_1 string, entity_2 string"))
+    assert sorted(metrics.ranks().collect()) == sorted(before) and metrics.tables.newest().version == 3
