@@ -8,6 +8,8 @@ never duplicates rows). Watermarks bound the state of the keyed stateful parts.
 from __future__ import annotations
 
 import json
+import traceback
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,17 +20,18 @@ from ..operators import text as tx
 from ..operators.held_graph import HeldGraph
 from ..operators.held_metrics import HeldMetrics
 from ..operators.stored_history import StoredHistory, flatten_changes
+from ..session import materialize
 from ..sources import schemas
 
 CORRELATION_TIMEOUT_SECONDS = 45
 
 
 def raw_article_stream(spark: SparkSession, path: str, max_files: int = 25) -> DataFrame:
-    """JSON raw articles from a folder (the bus connector is an option switch: format('kafka'))."""
+    """JSON raw articles from a folder, one a line, each with the file it came from."""
     return (spark.readStream.schema(schemas.RAW_ARTICLE)
             .option("maxFilesPerTrigger", max_files)
             .option("columnNameOfCorruptRecord", "_corrupt_record")
-            .json(path))
+            .json(path).withColumn("source_file", F.col("_metadata.file_path")))
 
 
 def coerce_articles(raw: DataFrame) -> DataFrame:
@@ -68,23 +71,86 @@ def enrich(articles: DataFrame, headline_terms: list[str] | None = None) -> Data
                       .alias("co_occurrence_pairs"))
 
 
+def _source_position(raw: DataFrame, source: str) -> list:
+    """The dead letter's first columns: partition and offset where the source has them, the file where it is one."""
+    def of(name, kind):
+        return F.col(name).cast(kind) if name in raw.columns else F.lit(None).cast(kind)
+    return [F.unix_millis(F.current_timestamp()).alias("failed_at"), F.lit(source).alias("source_topic"), of("partition", "int").alias("source_partition"),
+            of("offset", "long").alias("source_offset"), of("source_file", "string").alias("source_file")]
+
+
 def dead_letters(raw: DataFrame, source: str) -> DataFrame:
     """Records that failed to parse, with error detail and source position."""
     bad = raw.filter(F.col("_corrupt_record").isNotNull())
-    return bad.select(F.unix_millis(F.current_timestamp()).alias("failed_at"), F.lit(source).alias("source_topic"),
-                      F.lit(None).cast("int").alias("source_partition"), F.lit(None).cast("long").alias("source_offset"),
+    return bad.select(*_source_position(raw, source),
                       F.lit("unknown").alias("article_id"), F.lit("ParseError").alias("error_type"),
                       F.lit("malformed record").alias("error_message"), F.lit("").alias("stack_trace"),
                       F.col("_corrupt_record").alias("raw_value"))
 
 
-def start_enrichment(raw: DataFrame, out_path: str, dlq_path: str, checkpoint: str, headline_terms=None):
-    """ST1: raw -> enriched + DLQ; both writes happen inside one batch, idempotent per batch_id."""
+def extract_records(raw: DataFrame, extract: Callable[[str, str], list[dict]], source: str) -> DataFrame:
+    """``extract(title, content)`` on each parsed record by itself -> the dead letter's columns and ``entities``.
+
+    A record whose extraction raises gets its error type, message and trace and no entities; the others of the batch go
+    on. Entities are dictionaries of ``schemas.MENTION``'s fields; fields left out are null.
+    """
+    fields = [f.name for f in schemas.MENTION]
+    good = raw.filter(F.col("_corrupt_record").isNull())
+    value = F.to_json(F.struct(*[c for c in schemas.RAW_ARTICLE.names if c != "_corrupt_record"]))
+    rows = good.select(*_source_position(raw, source), F.coalesce("id", F.lit("unknown")).alias("article_id"), value.alias("raw_value"),
+                       F.coalesce("title", F.element_at("raw_metadata", F.lit("title")), F.lit("")).alias("_title"),
+                       F.coalesce("content", F.lit("")).alias("_content"))
+    out = rows.drop("_title", "_content").schema
+    for name in ("error_type", "error_message", "stack_trace"):
+        out = out.add(name, "string")
+    out = out.add("entities", schemas.ENRICHED["entities"].dataType)
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for title, content in zip(batch["_title"], batch["_content"]):
+                try:
+                    found.append((None, None, None, [{f: m.get(f) for f in fields} for m in extract(title, content)]))
+                except Exception as e:  # one bad record is a dead letter, not the end of its batch
+                    found.append((type(e).__name__, str(e), traceback.format_exc(), None))
+            batch = batch.drop(columns=["_title", "_content"])
+            for i, name in enumerate(("error_type", "error_message", "stack_trace", "entities")):
+                batch[name] = [f[i] for f in found]
+            yield batch
+
+    return rows.mapInPandas(run, out)
+
+
+def enrich_extracted(done: DataFrame) -> DataFrame:
+    """ST1 body for ``extract_records``: its records without an error -> ENRICHED shape, pairs by the sentences that mentions share."""
+    good = done.filter("error_type is null")
+    m = good.select("article_id", F.explode("entities").alias("e")).select(
+        "article_id", F.xxhash64("e.sentence").alias("sent_idx"), F.col("e.text").alias("entity")).filter("entity is not null")
+    pairs = co.cooccurrence_pairs(m).groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct(
+        "entity_1", "entity_2", F.col("count").cast("int").alias("count")))).alias("co_occurrence_pairs"))
+    return good.join(pairs, "article_id", "left").select(
+        "article_id", F.current_timestamp().alias("processed_at"), "entities",
+        F.coalesce("co_occurrence_pairs", F.array().cast(schemas.ENRICHED["co_occurrence_pairs"].dataType)).alias("co_occurrence_pairs"))
+
+
+def start_enrichment(raw: DataFrame, out_path: str, dlq_path: str, checkpoint: str, headline_terms=None,
+                     extract: Callable[[str, str], list[dict]] | None = None):
+    """ST1: raw -> enriched + DLQ; both writes happen inside one batch, idempotent per batch_id. With ``extract``, a model's
+    extraction record by record in place of the built-in one; a record that it fails on is a dead letter (S8)."""
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        enrich(coerce_articles(batch.filter(F.col("_corrupt_record").isNull())), headline_terms) \
-            .write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-        dead_letters(batch, "raw_ingestion").write.mode("overwrite").parquet(f"{dlq_path}/batch_id={batch_id}")
+        failed = dead_letters(batch, "raw_ingestion")
+        parsed = batch.filter(F.col("_corrupt_record").isNull())
+        if extract is None:
+            enriched = enrich(coerce_articles(parsed), headline_terms)
+        else:
+            terms = F.array(*map(F.lit, headline_terms or [])).cast("array<string>")
+            chosen = it.headline_filter(parsed.withColumn("_head", F.coalesce("title", F.element_at("raw_metadata", F.lit("title")), F.lit(""))), terms, "_head")
+            done = materialize(extract_records(chosen.drop("_head"), extract, "raw_ingestion"), "extracted")
+            enriched = enrich_extracted(done)
+            failed = failed.unionByName(done.filter("error_type is not null").select(failed.columns))
+        enriched.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        failed.write.mode("overwrite").parquet(f"{dlq_path}/batch_id={batch_id}")
         batch.unpersist()
     return raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
 

@@ -177,3 +177,30 @@ def test_metrics_stream_equals_a_sequence(spark, tmp_path):
     empty = spark.createDataFrame([], "article_id string, ts timestamp_ntz, entity string")
     metrics.apply(2, empty, spark.createDataFrame([], "entity_1 string, entity_2 string"))
     assert sorted(metrics.ranks().collect()) == sorted(before) and metrics.tables.newest().version == 3
+
+
+def test_a_failing_record_is_a_dead_letter(spark, tmp_path):
+    """A malformed line and a record on which the extraction raises leave the others of their batch enriched."""
+    def extract(title, content):
+        if "poison" in content:
+            raise ValueError(f"cannot read {title}")
+        return [{"text": w, "type": "X", "sentence": s, "sentiment_score": 0.5} for s in content.split(".") for w in s.split()]
+
+    lines = [json.dumps({"id": "a", "title": "One oil", "content": "Anna Bob. Carl"}), "{broken", json.dumps({"id": "b", "title": "Two OIL", "content": "poison"}),
+             json.dumps({"id": "c", "title": "Three", "content": "poison"}), json.dumps({"id": "d", "raw_metadata": {"title": "oil"}, "content": None})]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.json").write_text("\n".join(lines))
+    raw = pl.raw_article_stream(spark, str(tmp_path / "in"))
+    for name, more in (("model", {"extract": extract}), ("built", {})):
+        q = pl.start_enrichment(raw, str(tmp_path / name), str(tmp_path / f"{name}-dlq"), str(tmp_path / f"{name}-ck"), ["oil"], **more)
+        q.processAllAvailable()
+        q.stop()
+    rows = {r.article_id: r for r in spark.read.parquet(str(tmp_path / "model")).collect()}
+    assert set(rows) == {"a", "d"} and [e.text for e in rows["a"].entities] == ["Anna", "Bob", "Carl"] and rows["d"].entities == []
+    assert [(p.entity_1, p.entity_2, p["count"]) for p in rows["a"].co_occurrence_pairs] == [("Anna", "Bob", 1)]
+    bad = {r.article_id: r for r in spark.read.parquet(str(tmp_path / "model-dlq")).collect()}
+    assert {k: v.error_type for k, v in bad.items()} == {"unknown": "ParseError", "b": "ValueError"}
+    assert bad["b"].error_message == "cannot read Two OIL" and "extract" in bad["b"].stack_trace and json.loads(bad["b"].raw_value)["content"] == "poison"
+    assert all(r.source_file.endswith("x.json") for r in bad.values())
+    assert {r.article_id for r in spark.read.parquet(str(tmp_path / "built")).collect()} == {"a", "b", "d"}
+    assert [r.raw_value for r in spark.read.parquet(str(tmp_path / "built-dlq")).collect()] == ["{broken"]
