@@ -83,3 +83,12 @@ def test_entity_view(spark):
                     "'confidence', cast(null as double), 'char_start', 0, 'char_end', 4)) as e, cast(null as array<int>) as n")
     view = row.select(cr.entity_view(F.col("e")).alias("v")).first().v[0]
     assert view.sentence == "a b" + "x" * 117 and view.sentiment == 0.5 and view.confidence == 0.0
+
+
+def test_processing_metrics(spark):
+    from mentiongraph.operators.metrics import processing_metrics
+
+    rows = [(10, "ok", 2.0), (20, "ok", 4.0), (30, "error", 9.0), (40, "skipped", 9.0), (50, None, None), (3_700, "skipped", 1.0), (9_000, "ok", 1.0)]
+    events = spark.createDataFrame(rows, "s long, event_type string, value double").withColumn("ts", F.timestamp_seconds("s"))
+    got = [tuple(r) for r in processing_metrics(events, now=F.timestamp_seconds(F.lit(7_200))).orderBy("window_start").collect()]
+    assert got == [(0, 3, 1, 1, round(3 / 3600, 6), 3.0, 7_150.0), (3_600, 0, 0, 1, 0.0, 0.0, 3_500.0), (7_200, 1, 0, 0, round(1 / 3600, 6), 1.0, 0.0)]
