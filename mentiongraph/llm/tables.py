@@ -1,54 +1,3 @@
 """Intermediate tables in the shared scratch folder, dropped once the next step no longer needs them."""
 
-from __future__ import annotations
-
-from contextlib import contextmanager, nullcontext
-
-from pyspark.sql import DataFrame, SparkSession
-
-from .common import scratch_path
-
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def freed_shuffles(spark: SparkSession):
-    """Inside it, Spark deletes the shuffle files of a statement when the statement ends, not when the driver next collects garbage."""
-    before = spark.conf.get(FREE_SHUFFLES)
-    spark.conf.set(FREE_SHUFFLES, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(FREE_SHUFFLES, before)
-
-
-class Scratch:
-    """Writes tables under the folder of ``spark.checkpoint.dir`` and deletes them by name."""
-
-    def __init__(self, spark: SparkSession, free_shuffles: bool = False):
-        """``free_shuffles``: a write frees its shuffle files at once; for frames that no later statement shuffles again."""
-        self.spark, self.paths, self.free_shuffles = spark, {}, free_shuffles
-
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        """Write ``df`` and read it back; an older table of that name is deleted after the write."""
-        old, path = self.paths.get(name), scratch_path(self.spark, name)
-        with freed_shuffles(self.spark) if self.free_shuffles else nullcontext():
-            df.write.parquet(path)
-        self.paths[name] = path
-        if old:
-            self._delete(old)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _delete(self, path: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            path = self.paths.pop(name, None)
-            if path:
-                self._delete(path)
-
-    def keep(self, *names: str) -> None:
-        """Delete all tables but these."""
-        self.drop(*(name for name in list(self.paths) if name not in names))
+from ..session import FREE_SHUFFLES, Scratch, freed_shuffles  # noqa: F401  (re-exported for the operators)
