@@ -365,10 +365,10 @@ def test_near_pairs_equal_brute_force(spark):
             for at in rng.choice(400, copy // 3, replace=False):
                 words[at] = "x"
             rows.append((len(rows), " ".join(words)))
-    marks = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), query_step=5).localCheckpoint()
+    marks = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), query_step=5, radius=3).localCheckpoint()
     fp = {r.doc_id: int(r.fingerprint, 16) for r in marks.collect()}
     want = {(a, f"{fp[b]:016x}") for a in fp for b in fp if a % 5 == 0 and (fp[a] ^ fp[b]).bit_count() <= 3}
-    got = [tuple(r) for r in fingerprints.near_pairs(marks, query_step=5).collect()]
+    got = [tuple(r) for r in fingerprints.near_pairs(marks, query_step=5, radius=3).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > len({a for a, _ in want})
     near = {a: sum((fp[a] ^ fp[b]).bit_count() <= 3 for b in fp) - 1 for a in fp if a % 5 == 0}
     assert {r.doc_id: r.near_docs for r in marks.collect() if r.near_docs is not None} == near
