@@ -1,9 +1,10 @@
 """SimHash fingerprints of documents, with DataFrame functions only.
 
-Terms are the distinct words of a text, each of weight one: of a near copy by five-word shingles at 0.75 or more, nearly
-all words stay the same, while each changed word changes five shingles, and words that fill every text do not outvote the
-others. The 64 signed votes are summed as 16 longs of four 16-bit lanes:
-a term adds ``(hash >> k) & 0x0001000100010001`` to the k-th long, at most 32,767 terms to one sum.
+Terms are the words of a text: of a near copy by five-word shingles at 0.75 or more, nearly all words stay the same, while
+each changed word changes five shingles. A word found n times in the text has the weight 1 + floor(log2(n)), so that words
+that fill every text do not outvote the others: of its occurrences the first, second, fourth, eighth and so on have one vote
+each. The 64 signed votes are summed as 16 longs of four 16-bit lanes: a vote adds ``(hash >> k) & 0x0001000100010001`` to
+the k-th long, at most 32,767 votes to one sum.
 
 Neighbours within a Hamming radius come from permuted block tables: 64 bits in radius + 3 blocks; two
 fingerprints that differ in at most radius bits agree on three whole blocks, so one of the tables, each
@@ -24,6 +25,7 @@ from .tables import Scratch
 LANES = 0x0001000100010001
 CHUNK = 32767
 KEY_BLOCKS = 3
+DOUBLINGS = 31  # a word has fewer than 2 ** 31 occurrences in a text
 
 
 def _signed(x: int) -> int:
@@ -43,9 +45,26 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / 64
 
 
-def simhash(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., fp): the fingerprint of ``text`` per row, 0 without words; keys must be unique and fixed-width columns."""
-    terms = F.array_distinct(F.transform(words_of(F.col("text")), lambda x: F.xxhash64(x)))
+def _has_vote(hashes: Column, x: Column, i: Column) -> Column:
+    """Whether the i-th of sorted hashes is the first, second, fourth, eighth ... of those equal to it."""
+    def at_least(n: int) -> Column:  # whether n equal ones end here
+        return F.get(hashes, i - (n - 1)).eqNullSafe(x)
+
+    vote = F.when(~at_least(2), True)
+    for k in range(1, DOUBLINGS):
+        vote = vote.when(~at_least(2**k), False).when(~at_least(2**k + 1), True)
+    return vote.otherwise(False)
+
+
+def simhash(texts: DataFrame, keys: list[str], weighted: bool = True) -> DataFrame:
+    """(keys..., fp): the fingerprint of ``text`` per row, 0 without words; keys must be unique and fixed-width columns.
+    Without ``weighted`` every word has the weight one, however often it occurs."""
+    hashes = F.transform(words_of(F.col("text")), lambda x: F.xxhash64(x))
+    if weighted:
+        texts = texts.select(*keys, F.sort_array(hashes).alias("hashes"))
+        terms = F.filter("hashes", lambda x, i: _has_vote(F.col("hashes"), x, i))
+    else:
+        terms = F.array_distinct(hashes)
     votes = texts.select(*keys, F.posexplode_outer(terms).alias("i", "t"))
     votes = votes.select(*keys, F.coalesce(F.floor(F.col("i") / CHUNK), F.lit(0)).cast("int").alias("chunk"), "t")
     sums = votes.groupBy(*keys, "chunk").agg(
@@ -91,7 +110,7 @@ def near_fingerprints(classes: DataFrame, queries: DataFrame, radius: int = 5) -
     return pairs.join(classes, "fp").select("q", "fp", "members")
 
 
-def fingerprints(docs: DataFrame, query_step: int = 50, radius: int = 5) -> DataFrame:
+def fingerprints(docs: DataFrame, query_step: int = 50, radius: int = 5, weighted: bool = False) -> DataFrame:
     """Per input row with an id: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next, near_docs, near_classes, nearest.
 
@@ -99,7 +118,7 @@ def fingerprints(docs: DataFrame, query_step: int = 50, radius: int = 5) -> Data
     many of the next document by descending doc_id (after the last: the first). near_docs: for ids
     divisible by ``query_step``, how many other documents have a fingerprint within ``radius`` bits
     (null for others); near_classes: how many other fingerprints these have, nearest: of them the one with the fewest bits apart
-    (ties: the smallest as a signed number). ``near_pairs`` gives all of them. Null text is empty, with fingerprint 0; rows with null doc_id are left out;
+    (ties: the smallest as a signed number). ``near_pairs`` gives all of them. ``weighted``: see :func:`simhash`. Null text is empty, with fingerprint 0; rows with null doc_id are left out;
     repeated ids follow each other by text; an empty table gives an empty result; further columns are
     not read.
     """
@@ -110,7 +129,7 @@ def fingerprints(docs: DataFrame, query_step: int = 50, radius: int = 5) -> Data
     facts = ordered.select("bucket", "at", "doc_id", "ghost", F.char_length("text").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"))
     both = ordered.select("bucket", "at", F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.when(F.col("ghost") == 0, edited).alias("text")))).alias("v"))
-    marks = simhash(both.select("bucket", "at", "v.side", F.coalesce("v.text", F.lit("")).alias("text")), ["bucket", "at", "side"])
+    marks = simhash(both.select("bucket", "at", "v.side", F.coalesce("v.text", F.lit("")).alias("text")), ["bucket", "at", "side"], weighted)
     pair = marks.groupBy("bucket", "at").agg(F.max(F.when(F.col("side") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("side") == 1, F.col("fp"))).alias("edited_fp"))
     w = Window.partitionBy("bucket").orderBy("at")
     rows = facts.join(pair, ["bucket", "at"]).withColumn("next_fp", F.lead("fp").over(w)).where("ghost = 0")

@@ -53,7 +53,7 @@ def op5_quality_rules(spark, sf_dir):
 
 @register("op6_simhash_fingerprints")
 def op6_simhash_fingerprints(spark, sf_dir):
-    return fingerprints.fingerprints(read_documents(spark, sf_dir), query_step=50, radius=5)
+    return fingerprints.fingerprints(read_documents(spark, sf_dir), query_step=50, radius=5, weighted=True)
 
 
 @register("op7_length_bucket_packing")

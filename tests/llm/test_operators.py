@@ -222,6 +222,29 @@ def test_fingerprint_bits_and_likeness(docs):
         assert r.near_edited == 1 - bin(a ^ b).count("1") / 64 and r.near_next == 1 - bin(a ^ c).count("1") / 64
 
 
+def test_fingerprints_weigh_words_by_their_count(spark, tmp_path):
+    """A word found n times has the weight 1 + floor(log2(n)): in simhash, and in the query's two fingerprints."""
+    import xxhash
+
+    from mentiongraph.llm import queries
+
+    def want(text):
+        weight = {xxhash.xxh64(w.encode(), seed=42).intdigest(): n.bit_length() for w, n in collections.Counter(WORD.findall(text)).items()}
+        return sum(1 << b for b in range(64) if 2 * sum(n for t, n in weight.items() if t >> b & 1) > sum(weight.values()))
+
+    rnd = np.random.default_rng(8)
+    found = ["", "a", "a a", "a a a a b b c", " ".join(["x"] * 40_000 + ["y"] * 3 + ["z"])]
+    found += [" ".join(f"w{int(x)}" for x in rnd.exponential(6, 50 * k)) for k in range(1, 12)]
+    rows = list(enumerate(found))
+    got = {r.id: r.fp & (2**64 - 1) for r in fingerprints.simhash(spark.createDataFrame(rows, "id long, text string"), ["id"]).collect()}
+    assert got == {i: want(x) for i, x in rows} and any(want(x) != _simhash(x) for x in found)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.QUERIES["op6_simhash_fingerprints"](spark, str(tmp_path)).collect():
+        x, following = found[r.doc_id], found[(r.doc_id - 1) % len(found)]
+        edited = x[:len(x) - len(x) // 2] + following[:len(x) // 2]
+        assert r.fingerprint == f"{want(x):016x}" and r.edited_fingerprint == f"{want(edited):016x}"
+
+
 def test_all_fingerprints_within_the_radius_are_found(spark):
     rnd = np.random.default_rng(6)
     base = [int(x) for x in rnd.integers(0, 2**63, 40)]
