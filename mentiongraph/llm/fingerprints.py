@@ -6,9 +6,9 @@ that fill every text do not outvote the others: of its occurrences the first, se
 each. The 64 signed votes are summed as 16 longs of four 16-bit lanes: a vote adds ``(hash >> k) & 0x0001000100010001`` to
 the k-th long, at most 32,767 votes to one sum.
 
-Neighbours within a Hamming radius come from permuted block tables: 64 bits in radius + 3 blocks; two
-fingerprints that differ in at most radius bits agree on three whole blocks, so one of the tables, each
-keyed by three blocks (for five bits 56 tables with keys of 24 bits), holds both under one key. Equal fingerprints are one class.
+Neighbours within a Hamming radius come from permuted block tables: 64 bits in radius + 2 blocks; two
+fingerprints that differ in at most radius bits agree on two whole blocks, so one of the tables, each
+keyed by two blocks (for five bits 21 tables with keys of 18 bits), holds both under one key. Equal fingerprints are one class.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .tables import Scratch
 
 LANES = 0x0001000100010001
 CHUNK = 32767
-KEY_BLOCKS = 3
+KEY_BLOCKS = 2
 DOUBLINGS = 31  # a word has fewer than 2 ** 31 occurrences in a text
 
 
@@ -33,7 +33,7 @@ def _signed(x: int) -> int:
 
 
 def block_masks(radius: int) -> list[int]:
-    """A mask for each choice of three of the radius + 3 blocks, whose widths differ by one bit at most."""
+    """A mask for each choice of two of the radius + 2 blocks, whose widths differ by one bit at most."""
     blocks = radius + KEY_BLOCKS
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
@@ -134,7 +134,7 @@ def fingerprints(docs: DataFrame, query_step: int = 50, radius: int = 5, weighte
     w = Window.partitionBy("bucket").orderBy("at")
     rows = facts.join(pair, ["bucket", "at"]).withColumn("next_fp", F.lead("fp").over(w)).where("ghost = 0")
     rows = rows.select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", F.coalesce("next_fp", "fp").alias("next_fp"))
-    rows = Scratch(docs.sparkSession).write("fingerprints", rows)
+    rows = Scratch(docs.sparkSession, free_shuffles=True).write("fingerprints", rows)  # the texts were shuffled, no later step needs them
     classes = rows.groupBy("fp").agg(F.count("*").alias("members"))
     queries = rows.where(F.col("doc_id") % query_step == 0).select(F.col("fp").alias("q")).distinct()
 

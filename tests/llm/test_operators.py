@@ -245,6 +245,20 @@ def test_fingerprints_weigh_words_by_their_count(spark, tmp_path):
         assert r.fingerprint == f"{want(x):016x}" and r.edited_fingerprint == f"{want(edited):016x}"
 
 
+def test_fingerprints_free_the_shuffled_texts(docs, monkeypatch):
+    """The step that shuffles texts is written with its shuffle files freed."""
+    freed, scratch = [], fingerprints.Scratch
+
+    class Seen(scratch):
+        def write(self, name, df, in_place=False):
+            freed.append((name, self.free_shuffles))
+            return super().write(name, df, in_place)
+
+    monkeypatch.setattr(fingerprints, "Scratch", Seen)
+    fingerprints.fingerprints(docs).count()
+    assert freed == [("fingerprints", True)]
+
+
 def test_all_fingerprints_within_the_radius_are_found(spark):
     rnd = np.random.default_rng(6)
     base = [int(x) for x in rnd.integers(0, 2**63, 40)]
