@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from mentiongraph.operators import routing as rt
 from mentiongraph.plans import catalog
 from mentiongraph.session import Scratch
 
@@ -31,3 +32,17 @@ def test_only_the_tables_that_a_query_reads_are_kept(spark, tables, monkeypatch,
     monkeypatch.setattr(Scratch, "__init__", lambda self, *a, **k: (init(self, *a, **k), made.append(self))[0])
     rows = catalog.QUERIES[name](spark, tables)
     assert rows.count() > 0 and [set(s.paths) for s in made] == [read]
+
+
+def test_routing_by_written_tables_equals_the_lazy_one(spark):
+    rnd = random.Random(12)
+    events = spark.createDataFrame([(e, f"art-{e % 7}", f"part-{rnd.randrange(30)}") for e in range(40) for _ in range(2)],
+                                   "event_id long, article_id string, entity_id string")
+    clients = spark.createDataFrame([(f"c{i}",) for i in range(6)], "client_id string")
+    terms = spark.createDataFrame([(f"c{i}", f"part-{i}") for i in range(4)], "client_id string, term string")
+    subs = spark.createDataFrame([(f"c{i}", f"part-{rnd.randrange(30)}") for i in range(6) for _ in range(9)], "client_id string, entity string")
+    scratch = Scratch(spark, free_shuffles=True)
+    written = rt.route(events, terms, subs, clients, scratch)
+    got = sorted(map(tuple, written.collect()))
+    assert got and got == sorted(map(tuple, rt.route(events, terms, subs, clients).collect()))
+    assert set(scratch.paths) == {"route-tokens", "route-found"}
