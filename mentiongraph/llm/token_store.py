@@ -7,13 +7,16 @@ small table beside the blocks. Decoding looks up ``LIMIT`` bits at a time in one
 all blocks of a batch in step, each from its checkpoint.
 
 Ids come from the vocabulary's own library. Pieces between white space are encoded independently of
-each other by word-level vocabularies, so each worker keeps a bounded table of pieces it has seen.
+each other by word-level vocabularies, and so are the units (words, digits, runs of marks) that the
+split rule cuts them into. Each worker keeps bounded tables of pieces it has seen. New pieces of Latin
+letters and ASCII marks are cut here and their units go to the library's model alone, which skips its
+normaliser and pattern engine; all other pieces go through the whole library.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
+import struct
 import zlib
 from dataclasses import dataclass
 
@@ -29,11 +32,13 @@ from .tables import Scratch
 
 LIMIT = 16
 BLOCK = 256
-CACHE_BYTES = 48 << 20
+GROUP_IDS = 400_000
+CACHE_BYTES = 96 << 20
 ENTRY_BYTES = 150          # Python's own cost of a table entry, about
 LEARN_PIECES = 2000
-# a word of Latin letters (U+0130 becomes two characters in lower case), which is one unit of the split rule, and perhaps one mark, which is another
-PLAIN = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([.,;:!?])?").fullmatch
+# units of the split rule, for lower-case pieces; a piece with any other character is not covered by them
+UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u024F]+|[0-9]|[!-/:-@\\[-`{-~]+").findall
+LOWER = bytes(range(256)).decode("latin-1").lower().encode("latin-1")
 _encoders: dict[int, "Encoder"] = {}
 
 
@@ -41,11 +46,14 @@ _encoders: dict[int, "Encoder"] = {}
 
 
 class Encoder(dict):
-    """White-space-free piece -> its ids as little-endian unsigned 32-bit integers, from the library."""
+    """White-space-free piece -> its ids as little-endian unsigned 32-bit integers, from the library.
+
+    Two tables of ``CACHE_BYTES``: when this one is full it becomes ``old``, and pieces seen again come back from there.
+    """
 
     def __init__(self, data: bytes):
         super().__init__()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.library, self.rules = Tokenizer.from_str(data.decode()), bpe_files.parse(data)
         self.library.no_truncation()
@@ -53,62 +61,83 @@ class Encoder(dict):
         if not self.rules.lower or not self.rules.added:
             raise ValueError("piecewise encoding needs a word-level vocabulary with an added token")
         self.mark = next(iter(self.rules.added))
-        suffix = self.rules.strings[self.rules.final_ids[ord("a")]][1:]
-        self.ends_word = np.array([self.rules.strings.get(i, "").endswith(suffix) for i in range(max(self.rules.strings) + 1)])
+        self.tokenize = self.library.model.tokenize
+        self.compose = normalizers.NFC().normalize_str  # Python's Unicode tables are newer
+        self.packed = [struct.pack("<I", i) for i in range(max(self.rules.strings) + 1)]
+        self.characters = dict(enumerate(bpe_files.byte_characters()))
+        self.old: dict[str, bytes] = {}
+        self.waiting: set[str] = set()
         self.held = 0
 
-    def learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces. Plain words go to the library as one text, cut again after each token that ends a word; a
-        word and the mark after it are encoded apart; other pieces have an added token (which none holds) between them."""
-        plain, marked, other = set(), [], []
-        for p in pieces:
-            m = PLAIN(p)
-            if m is None:
-                other.append(p)
-            elif m[2]:
-                marked.append((p, m[1], m[2]))
-                plain.update(x for x in (m[1], m[2]) if x not in self)
+    def __missing__(self, piece: str) -> bytes | None:
+        """Ids of a piece that is not in the table; None if it waits for the whole library."""
+        ids = self.old.pop(piece, None)
+        if ids is None:
+            if piece.isascii() and piece.isalpha() and piece.islower():
+                ids = self._unit(piece)
             else:
-                plain.add(p)
-        self._cut(list(plain), " ", lambda ids: np.flatnonzero(self.ends_word[ids]) + 1, 0)
-        for p, word, mark in marked:
-            self._keep(p, self[word] + self[mark])
-        self._cut(other, self.mark, lambda ids: np.append(np.flatnonzero(ids == self.rules.added[self.mark]), len(ids)), 1)
+                lower = piece.lower()
+                units = UNITS(lower)
+                if sum(map(len, units)) != len(lower):
+                    self.waiting.add(piece)
+                    return None
+                ids = self._unit(lower) if len(units) == 1 else b"".join(map(self.__getitem__, units))
+        self._keep(piece, ids)
+        return ids
+
+    def _unit(self, unit: str) -> bytes:
+        if not unit.isascii():
+            unit = unit.encode().decode("latin-1").translate(self.characters)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(unit)])
+
+    def _keep(self, piece: str, ids: bytes) -> None:
+        self[piece] = ids
+        self.held += len(ids) + len(piece) + ENTRY_BYTES
 
-    def _cut(self, pieces: list[str], between: str, ends, skip: int) -> None:
+    def learn(self, pieces: list[str]) -> None:
+        """Ids of any new pieces, from the whole library: with an added token (which none holds) between them."""
         for k in range(0, len(pieces), LEARN_PIECES):
             some = pieces[k:k + LEARN_PIECES]
-            ids = np.array(self.library.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.library.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             data, at = ids.tobytes(), 0
-            for p, end in zip(some, ends(ids).tolist(), strict=True):
+            ends = np.append(np.flatnonzero(ids == self.rules.added[self.mark]), len(ids))
+            for p, end in zip(some, ends.tolist(), strict=True):
                 self._keep(p, data[4 * at:4 * end])
-                at = end + skip
-
-    def _keep(self, piece: str, ids: bytes) -> None:
-        self[piece] = ids
-        self.held += len(ids) + len(piece) + ENTRY_BYTES
+                at = end + 1
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def pieces(self, text: str) -> list[str] | None:
+        """The pieces of a text, or None where white space alone does not part them."""
+        # added tokens may span white space, and str.split knows four separators more than the library
+        if (self.rules.splitter and self.rules.splitter.search(text)) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return None
+        try:
+            return text.encode("latin-1").translate(LOWER).decode("latin-1").split()  # composed already
+        except UnicodeEncodeError:
+            return self.compose(text).split()
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if self.held > CACHE_BYTES:
+            self.old = dict(self)
             self.clear()
             self.held = 0
-        split, odd = [], set()
-        for i, t in enumerate(texts):
-            # added tokens may span white space, and str.split knows four separators more than the library
-            if (self.rules.splitter and self.rules.splitter.search(t)) or any(c in t for c in "\x1c\x1d\x1e\x1f"):
-                odd.add(i)
-                split.append([])
-            else:
-                t = t if t.isascii() else unicodedata.normalize("NFC", t)
-                split.append(t.lower().split() if t.isascii() else t.split())
-        new = set().union(*split).difference(self) if split else set()
-        if new:
-            self.learn(list(new))
-        get = self.__getitem__
-        return [self.whole(texts[i]) if i in odd else b"".join(map(get, s)) for i, s in enumerate(split)]
+        out, late = [], []
+        for text in texts:
+            pieces = self.pieces(text)
+            found = [self.whole(text)] if pieces is None else list(map(self.__getitem__, pieces))
+            if self.waiting and None in found:
+                late.append((len(out), pieces))
+                found = []
+            out.append(b"".join(found))
+        if late:
+            self.learn(list(self.waiting))
+            self.waiting.clear()
+            for i, pieces in late:
+                out[i] = b"".join(map(self.__getitem__, pieces))
+        return out
 
 
 def encoder(broadcast) -> Encoder:
@@ -177,14 +206,18 @@ def canonical(lengths: np.ndarray, limit: int = LIMIT) -> Code:
     return Code(lengths.astype(np.uint64), codes, symbol, width)
 
 
-def write_bits(ids: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
-    """(bit stream as bytes, bit offset of every id and of the end)."""
+def write_bits(ids: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents of ``counts`` ids after each other: (bit streams as bytes, each from a whole byte on; byte at which each
+    starts, and the end; bit offset of every id in its document's stream)."""
     width = code.lengths[ids]
-    at = np.zeros(len(ids) + 1, dtype=np.uint64)
-    np.cumsum(width, out=at[1:])
-    total = int(at[-1])
-    words = np.zeros(total // 32 + 3, dtype=np.uint64)
-    place, shift = (at[:-1] >> np.uint64(5)).astype(np.int64), at[:-1] & np.uint64(31)
+    bits = np.zeros(len(ids) + 1, dtype=np.int64)
+    np.cumsum(width, out=bits[1:])
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    base = np.concatenate([[0], np.cumsum((np.diff(bits[bounds]) + 7) >> 3)])
+    inside = bits[:-1] - np.repeat(bits[bounds[:-1]], counts)
+    at = inside + np.repeat(base[:-1] << 3, counts)
+    words = np.zeros(int(base[-1]) // 4 + 3, dtype=np.uint64)
+    place, shift = at >> 5, (at & 31).astype(np.uint64)
     # a code of at most 16 bits lies in the 64 bits from its 32-bit word on; codes never share bits, so sums are unions
     value = code.codes[ids] << (np.uint64(64) - shift - width)
     new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
@@ -192,7 +225,7 @@ def write_bits(ids: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
         both = np.add.reduceat(value, new)
         words[place[new]] += both >> np.uint64(32)
         words[place[new] + 1] += both & np.uint64(0xFFFFFFFF)
-    return words.astype(">u4").view(np.uint8)[: (total + 7) // 8], at
+    return words.astype(">u4").view(np.uint8)[: int(base[-1])], base, inside
 
 
 def read_bits(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, code: Code) -> np.ndarray:
@@ -240,12 +273,7 @@ class TokenStore:
             for batch in batches:
                 n = batch.column("n_tokens").to_numpy()
                 streams, offsets = batch.column("bits").to_pylist(), batch.column("checkpoints").to_pylist()
-                i = 0
-                while i < len(n):
-                    j, held = i, 0
-                    while j < len(n) and (held == 0 or held + n[j] <= 400_000):
-                        held += int(n[j])
-                        j += 1
+                for i, j in _groups(n):
                     base = np.cumsum([0] + [len(s) for s in streams[i:j]])
                     marks = [np.frombuffer(o, np.int64) for o in offsets[i:j]]
                     starts = np.concatenate([m + 8 * b for m, b in zip(marks, base)])
@@ -255,7 +283,6 @@ class TokenStore:
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("doc_id")[i:j], batch.column("start")[i:j], batch.column("n_tokens")[i:j],
                          pa.array([x.astype("<u4").tobytes() for x in np.split(ids, ends[:-1])], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
-                    i = j
 
         blocks = self.spark.read.schema("doc_id long, start long, n_tokens long, checkpoints binary, bits binary").parquet(f"{self.path}/blocks")
         return map_arrow(blocks, run, "doc_id long, start long, n_tokens long, ids binary")
@@ -265,8 +292,10 @@ class TokenStore:
         return self.documents().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-def _tokenise(shared, end_id: int):
+def _tokenise(shared, end_id: int, size: int):
+    """Rows of documents, and a last one without doc_id that holds the counts of the range's ids."""
     def run(batches):
+        total = np.zeros(size, dtype=np.int64)
         e, z = encoder(shared), zstandard.ZstdCompressor(level=1)
         end, at = np.array([end_id], dtype="<u4").tobytes(), 0
         for batch in batches:
@@ -275,9 +304,12 @@ def _tokenise(shared, end_id: int):
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 inside = at + np.cumsum(n) - n  # a range is one task, read in order
                 at += int(n.sum())
+                total += np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=size)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[first:last], pa.array(inside), pa.array(n), pa.array([z.compress(_planes(x)) for x in ids], pa.binary())],
                     ["doc_id", "inside", "n_tokens", "z"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([at]), pa.array([0]), pa.array([z.compress(total.tobytes())], pa.binary())],
+                                         ["doc_id", "inside", "n_tokens", "z"])
 
     return run
 
@@ -287,42 +319,51 @@ def _planes(ids: bytes) -> bytes:
     return np.ascontiguousarray(np.frombuffer(ids, np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _ids(z: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+def _ids(batch: pa.RecordBatch):
+    """Groups of rows that hold about ``GROUP_IDS`` ids: (first row, end row, the rows' ids after each other)."""
+    n, d = batch.column("n_tokens").to_numpy(), zstandard.ZstdDecompressor()
+    for first, last in _groups(n):
+        parts = []
+        for z in batch.column("z")[first:last].to_pylist():
+            raw = np.frombuffer(d.decompress(z), np.uint8).reshape(4, -1)
+            parts.append(np.ascontiguousarray(raw.T).view("<u4").ravel())
+        yield first, last, np.concatenate(parts)
 
 
-def _count(size: int):
-    def run(batches):
-        total = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            held, n = [], 0
-            for z in batch.column("z").to_pylist():
-                held.append(_ids(z))
-                n += len(held[-1])
-                if n > 1_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=size)
-                    held, n = [], 0
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=size)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "n"])
+def _groups(n: np.ndarray):
+    i = 0
+    while i < len(n):
+        j, held = i, 0
+        while j < len(n) and (held == 0 or held + n[j] <= GROUP_IDS):
+            held += int(n[j])
+            j += 1
+        yield i, j
+        i = j
 
-    return run
+
+def _counts(batches):
+    """(id, n) of the rows that hold counts."""
+    d = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for z in batch.column("z").to_pylist():
+            total = np.frombuffer(d.decompress(z), np.int64)
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "n"])
 
 
 def _code(shared):
     def run(batches):
         code = shared.value
         for batch in batches:
-            bits, marks = [], []
-            for z in batch.column("z").to_pylist():
-                data, at = write_bits(_ids(z), code)
-                bits.append(data.tobytes())
-                marks.append(at[:-1:BLOCK].astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "start", "n_tokens", "range")]
-                                             + [pa.array(marks, pa.binary()), pa.array(bits, pa.binary())],
-                                             ["doc_id", "start", "n_tokens", "range", "checkpoints", "bits"])
+            n = batch.column("n_tokens").to_numpy()
+            for first, last, ids in _ids(batch):
+                data, base, at = write_bits(ids, n[first:last], code)
+                data, ends = data.tobytes(), np.cumsum(n[first:last])
+                bits = [data[a:b] for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
+                marks = [at[a:b:BLOCK].tobytes() for a, b in zip((ends - n[first:last]).tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(c)[first:last] for c in ("doc_id", "start", "n_tokens", "range")]
+                                                 + [pa.array(marks, pa.binary()), pa.array(bits, pa.binary())],
+                                                 ["doc_id", "start", "n_tokens", "range", "checkpoints", "bits"])
 
     return run
 
@@ -341,10 +382,11 @@ def write_store(docs: DataFrame, vocabulary: str, path: str | None = None, end_i
     docs = id_text(docs).where("doc_id is not null")
     docs = docs.withColumn("mixed", F.xxhash64("text"))  # samples of the range bounds carry no texts
     ranges = docs.repartitionByRange(partitions(spark), "doc_id", "mixed").sortWithinPartitions("doc_id", "mixed").drop("mixed")
-    coded = map_arrow(ranges, _tokenise(spark.sparkContext.broadcast(data), end_id), "doc_id long, inside long, n_tokens long, z binary")
+    coded = map_arrow(ranges, _tokenise(spark.sparkContext.broadcast(data), end_id, size), "doc_id long, inside long, n_tokens long, z binary")
     ids = scratch.write("ids", coded.withColumn("range", F.spark_partition_id()))
     counts = np.zeros(size, dtype=np.int64)
-    for r in map_arrow(ids.select("z"), _count(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row per vocabulary id
+    counted = ids.where("doc_id is null").select("z")  # a row per range
+    for r in map_arrow(counted, _counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row per vocabulary id
         counts[r.id] = r.n
     lengths = code_lengths(counts)
     # ids before each document: those before it in its range, and all of the ranges before (one row each)
@@ -354,7 +396,7 @@ def write_store(docs: DataFrame, vocabulary: str, path: str | None = None, end_i
         before.append((k, at))
         at += totals[k]
     offsets = spark.createDataFrame(before, "range int, before long")
-    rows = ids.join(F.broadcast(offsets), "range").withColumn("start", F.col("before") + F.col("inside")).sortWithinPartitions("range", "inside")
+    rows = ids.where("doc_id is not null").join(F.broadcast(offsets), "range").withColumn("start", F.col("before") + F.col("inside")).sortWithinPartitions("range", "inside")
     out = map_arrow(rows.select("doc_id", "start", "n_tokens", "range", "z"), _code(spark.sparkContext.broadcast(canonical(lengths))),
                     "doc_id long, start long, n_tokens long, range int, checkpoints binary, bits binary")
     out.write.partitionBy("range").parquet(f"{path}/blocks")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -74,6 +75,25 @@ def test_token_store_round_trip(docs, empty):
     assert got == sorted(want) and token_store.write_store(empty, WORDS).digests().count() == 0
 
 
+def test_token_store_encoder_equals_library_and_keeps_seen_pieces(monkeypatch):
+    """Ids of the library whichever way a piece takes; a full table forgets no piece of the last group, and a word is encoded once whatever marks follow it."""
+    from tokenizers import Tokenizer
+
+    t, rnd = Tokenizer.from_file(WORDS), random.Random(11)
+    with open(WORDS, "rb") as f:
+        e = token_store.Encoder(f.read())
+    pool = ["The", "straße.", "Don't", "WE'LL!!", "41.203", "x--'s", "Ünï", "ǅabc", "ȺB", "İx", "ΑΣ", "ｗide", "e\u0301a", "x\u0651\u08cc", "中文字", "µm²", "\x00\x7f", "\xa0", "\x85", "a\x1cb"]
+    texts = [" ".join(rnd.choices(pool, k=rnd.randrange(12))) for _ in range(300)] + ["", "<|endoftext|>a", *pool]
+    for x, ids in zip(texts, e.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+    seen, tokenize = [], e.tokenize
+    e.tokenize = lambda unit: seen.append(unit) or tokenize(unit)
+    monkeypatch.setattr(token_store, "CACHE_BYTES", 0)
+    first = e.encode_all(["qwertyx qwertyx, qwertyx!! Qwertyx"])
+    assert seen == ["qwertyx", ","]
+    assert e.encode_all(["qwertyx qwertyx, qwertyx!! Qwertyx"]) == first and len(seen) == 2
+
+
 def test_code_lengths_are_a_limited_prefix_code():
     n = np.array([2**i for i in range(30)] + [0, 3])
     lengths = token_store.code_lengths(n, 16)
