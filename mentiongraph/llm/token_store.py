@@ -237,17 +237,15 @@ def read_bits(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, code: Co
     at = starts[order].astype(np.int64)
     to = (np.cumsum(counts) - counts)[order]
     left = counts[order]
-    live = len(order)
-    step = 0
-    while live:
-        live = int(np.searchsorted(-left[:live], -step, side="left"))
-        if not live:
-            break
+    lives = np.searchsorted(-left, -np.arange(int(left.max(initial=0))), side="left")
+    both = code.symbol.astype(np.uint32) << np.uint32(5) | code.width  # a width takes five bits
+    for live in lives.tolist():  # blocks that hold an id at this step
         a = at[:live]
         bits = (window[a >> 3] >> (16 - (a & 7)).astype(np.uint32)) & np.uint32(0xFFFF)
-        out[to[:live] + step] = code.symbol[bits]
-        at[:live] = a + code.width[bits]
-        step += 1
+        found, place = both[bits], to[:live]
+        out[place] = found >> np.uint32(5)
+        a += (found & np.uint32(31)).astype(np.int64)
+        place += 1
     return out
 
 
@@ -341,14 +339,17 @@ def _groups(n: np.ndarray):
         i = j
 
 
-def _counts(batches):
-    """(id, n) of the rows that hold counts."""
-    d = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for z in batch.column("z").to_pylist():
-            total = np.frombuffer(d.decompress(z), np.int64)
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "n"])
+def _counts(size: int):
+    """(id, n) of the rows that hold counts, added up by task."""
+    def run(batches):
+        total, d = np.zeros(size, dtype=np.int64), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for z in batch.column("z").to_pylist():
+                total += np.frombuffer(d.decompress(z), np.int64)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "n"])
+
+    return run
 
 
 def _code(shared):
@@ -386,7 +387,7 @@ def write_store(docs: DataFrame, vocabulary: str, path: str | None = None, end_i
     ids = scratch.write("ids", coded.withColumn("range", F.spark_partition_id()))
     counts = np.zeros(size, dtype=np.int64)
     counted = ids.where("doc_id is null").select("z")  # a row per range
-    for r in map_arrow(counted, _counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row per vocabulary id
+    for r in map_arrow(counted, _counts(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row per vocabulary id
         counts[r.id] = r.n
     lengths = code_lengths(counts)
     # ids before each document: those before it in its range, and all of the ranges before (one row each)
