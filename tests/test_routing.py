@@ -50,3 +50,50 @@ def test_route_equals_brute_force(spark):
     assert {r.client_id for r in rt.open_clients(*args).collect()} == free and free
     totals = {r.client_id: r.delivered for r in rt.deliveries(got, rt.open_clients(*args), ev).collect()}
     assert totals == {c: 12 for c in free} | {c: sum(k == c for k, _ in want) for c in {k for k, _ in want}}
+
+
+def _most_rows(spark, df) -> int:
+    """The most rows that any operator of the plan puts out."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        run = df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset.ofRows(df._jdf.sparkSession(), df._jdf.queryExecution().analyzed()).queryExecution()
+        run.toRdd().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+    def walk(plan):
+        own = plan.metrics().apply("numOutputRows").value() if plan.metrics().contains("numOutputRows") else 0
+        return max([own, *(walk(plan.children().apply(i)) for i in range(plan.children().size()))])
+
+    return walk(run.executedPlan())
+
+
+def test_long_terms_meet_few_tokens(spark):
+    """Every trigram of these words lies in most of them; a term of ten letters is compared with the few that share eight."""
+    words = ["".join("ab"[k >> i & 1] for i in range(10)) for k in range(1024)]
+    tokens, terms = spark.createDataFrame([(w,) for w in words], "token string"), spark.createDataFrame([(w,) for w in [*words, "abbabbabbabba", "ab"]], "term string")
+    found = rt.matching_tokens(tokens, terms)
+    assert sorted(map(tuple, found.collect())) == sorted((w, w) for w in words)
+    assert _most_rows(spark, found) < 20_000
+
+
+def test_only_the_smaller_half_is_spread_over_events(spark, monkeypatch):
+    """Forty subscribers take every entity, each with a term that two events have: no step makes a row for each subscriber and event."""
+    names = [f"name-{k}" for k in range(30)]
+    events = [(e, f"art-{e}", n) for e in range(200) for n in names[e % 5::6]] + [(e, f"art-{e}", f"rare-{e // 2}x") for e in range(80)]
+    clients = [f"c{k}" for k in range(40)]
+    ev = spark.createDataFrame(events, "event_id long, article_id string, entity_id string")
+    args = (spark.createDataFrame([(c, f"re-{k}x") for k, c in enumerate(clients)], "client_id string, term string"),
+            spark.createDataFrame([(c, n) for c in clients for n in names], "client_id string, entity string"),
+            spark.createDataFrame([(c,) for c in clients], "client_id string"))
+    rows, write = [], rt.Scratch.write
+
+    def counted(self, name, df, **how):
+        rows.append(_most_rows(spark, df))
+        return write(self, name, df, **how)
+
+    monkeypatch.setattr(rt.Scratch, "write", counted)
+    got = rt.route(ev, *args)
+    rows.append(_most_rows(spark, got))
+    assert sorted(map(tuple, got.collect())) == sorted((f"c{k}", e) for k in range(40) for e in (2 * k, 2 * k + 1))
+    assert max(rows) < 5 * 200 * 40 / 4
