@@ -68,13 +68,14 @@ def _most_rows(spark, df) -> int:
     return walk(run.executedPlan())
 
 
-def test_long_terms_meet_few_tokens(spark):
+def test_long_terms_meet_few_tokens(spark, monkeypatch):
     """Every trigram of these words lies in most of them; a term of ten letters is compared with the few that share eight."""
     words = ["".join("ab"[k >> i & 1] for i in range(10)) for k in range(1024)]
     tokens, terms = spark.createDataFrame([(w,) for w in words], "token string"), spark.createDataFrame([(w,) for w in [*words, "abbabbabbabba", "ab"]], "term string")
     found = rt.matching_tokens(tokens, terms)
     assert sorted(map(tuple, found.collect())) == sorted((w, w) for w in words)
-    assert _most_rows(spark, found) < 20_000
+    monkeypatch.setattr(rt.F, "contains", lambda *_: rt.F.lit(True))  # the pairs that are compared
+    assert rt.matching_tokens(tokens, terms).count() < 20_000
 
 
 def test_only_the_smaller_half_is_spread_over_events(spark, monkeypatch):
